@@ -14,19 +14,19 @@ INTERNAL_NETS = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8",
 _V4 = (r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$")
 
 
+def _bind(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to ``use`` (keeps nested expressions small)."""
+    return F.transform(F.array(value), use).getItem(0)
+
+
 def ipv4_number(ip: Column) -> Column:
     """Dotted quad -> bigint, null when it is not a valid IPv4 address."""
     text = F.trim(ip)
-    octet = [F.split_part(text, F.lit("."), F.lit(i + 1)).cast("bigint") for i in range(4)]
-    number = octet[0] * 16777216 + octet[1] * 65536 + octet[2] * 256 + octet[3]
+    number = F.aggregate(F.split(text, r"\."), F.lit(0).cast("bigint"),
+                         lambda acc, octet: acc * 256 + octet.cast("bigint"))
     return F.when(text.rlike(_V4), number)
 
 
-def _bind(value: Column, use) -> Column:
-    """Evaluate ``value`` once and hand it to ``use`` (keeps nested expressions small)."""
-    return F.transform(F.array(value), use).getItem(0)
-
-
 def _groups(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ":"))
 
@@ -76,12 +76,10 @@ def in_networks(ip: Column, cidrs) -> Column:
             continue
         (v4 if net.version == 4 else v6).append(
             (int(net.network_address), int(net.broadcast_address)))
-    num = ipv4_number(ip)
-    in4 = any_of(num.between(lo, hi) for lo, hi in v4)
-    inside = lambda h: F.when(h.isNotNull(), any_of(
-        h.between(f"{lo:032x}", f"{hi:032x}") for lo, hi in v6))
-    return (F.when(ip.contains(":"), _bind(ipv6_hex(ip), inside))
-            .when(num.isNotNull(), in4))
+    within = lambda x, bounds: F.when(x.isNotNull(), any_of(x.between(lo, hi) for lo, hi in bounds))
+    hexed = [(f"{lo:032x}", f"{hi:032x}") for lo, hi in v6]
+    return (F.when(ip.contains(":"), _bind(ipv6_hex(ip), lambda h: within(h, hexed)))
+            .otherwise(_bind(ipv4_number(ip), lambda n: within(n, v4))))
 
 
 def is_internal(ip: Column) -> Column:

@@ -23,25 +23,30 @@ def _zoned(c: Column, glue: str) -> Column:
     return F.when(c.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), colon).otherwise(F.concat(c, F.lit(glue)))
 
 
-def parse_timestamp(raw: Column, year: int = 2026, offset: str = "+00:00") -> Column:
+def parse_timestamp(raw: Column, year: int = 2026, offset: str = "+00:00",
+                    expect: str | None = None) -> Column:
     """UTC timestamp truncated to seconds, or null.
 
     ``year`` and ``offset`` fill in what syslog headers lack; other naive values are UTC.
+    ``expect`` names the shape to test first (``apache`` or ``syslog``); the rest still apply.
     """
     s = F.trim(raw)
     rfc = F.regexp_replace(s, r"^[A-Z][a-z]{2}, ", "")
     squeezed = F.regexp_replace(s, r" +", " ")
-    parsed = (
-        F.when(s.rlike(ISO) | s.rlike(SPACED),
-               _zoned(F.regexp_replace(s, r"(\d) (\d)", "$1T$2"), "+00:00").try_cast("timestamp"))
-        .when(s.rlike(RFC),
-              F.try_to_timestamp(_zoned(rfc, " +00:00"), F.lit("d MMM yyyy HH:mm:ss XXX")))
-        .when(s.rlike(APACHE),
-              F.try_to_timestamp(_zoned(s, " +00:00"), F.lit("d/MMM/yyyy:HH:mm:ss XXX")))
-        .when(s.rlike(BRACKETED),
-              F.try_to_timestamp(F.concat(F.regexp_extract(s, BRACKETED, 1), F.lit(" +00:00")),
-                                 F.lit("dd/MMM/yyyy:HH:mm:ss XXX")))
-        .when(s.rlike(SYSLOG),
-              F.try_to_timestamp(F.concat(F.lit(f"{year} "), squeezed, F.lit(f" {offset}")),
-                                 F.lit("yyyy MMM d HH:mm:ss XXX"))))
+    at = lambda text, pattern: F.try_to_timestamp(text, F.lit(pattern))
+    bracketed = F.concat(F.regexp_extract(s, BRACKETED, 1), F.lit(" +00:00"))
+    shapes = {
+        "iso": (ISO, _zoned(s, "+00:00").try_cast("timestamp")),
+        "spaced": (SPACED, F.concat(F.translate(s, " ", "T"), F.lit("+00:00")).try_cast("timestamp")),
+        "rfc": (RFC, at(_zoned(rfc, " +00:00"), "d MMM yyyy HH:mm:ss XXX")),
+        "apache": (APACHE, at(_zoned(s, " +00:00"), "d/MMM/yyyy:HH:mm:ss XXX")),
+        "bracketed": (BRACKETED, at(bracketed, "dd/MMM/yyyy:HH:mm:ss XXX")),
+        "syslog": (SYSLOG, at(F.concat(F.lit(f"{year} "), squeezed, F.lit(f" {offset}")),
+                              "yyyy MMM d HH:mm:ss XXX")),
+    }
+    parsed = None
+    for name in sorted(shapes, key=lambda n: n != expect):
+        shape, value = shapes[name]
+        test = s.rlike(shape)
+        parsed = F.when(test, value) if parsed is None else parsed.when(test, value)
     return F.date_trunc("second", parsed)
