@@ -99,9 +99,7 @@ def sequence_cooldown(spark, sf):
     return fired_sequences(sequence_rows(rule_hits(events(spark, sf), rules, LOWER), rules), rules).select("key", "t")
 
 
-@query("threshold_then_sequence", "WITH " + _SEQ + """,
-th AS (SELECT user_id FROM events WHERE event_type = 'purchase' AND user_id < 0)
-SELECT 'R-BOTH-SEQ' AS rule_id, count(DISTINCT k) > 0 AS fired_any FROM q
+@query("threshold_then_sequence", "WITH " + _SEQ + """ SELECT 'R-BOTH-SEQ' AS rule_id, count(DISTINCT k) > 0 AS fired_any FROM q
 UNION ALL SELECT 'R-BOTH-TH', count(*) > 0 FROM events WHERE event_type = 'purchase'""")
 def threshold_then_sequence(spark, sf):
     """A rule with both reports its sequence only while its threshold stays quiet."""
@@ -293,10 +291,12 @@ def alert_fold(spark, sf):
 
 
 @query("rule_pack_brute_force", CAP + f""", h AS (SELECT *, (ts_s - (SELECT min(ts_s) FROM cap)) // 900 AS bucket FROM cap WHERE {FAILED})
-SELECT source_ip, bucket, count(*) AS observed FROM h GROUP BY 1, 2 HAVING count(*) >= 30""")
+SELECT source_ip, bucket, count(*) AS observed FROM h GROUP BY 1, 2 HAVING count(*) >= 10""")
 def brute_force(spark, sf):
-    """The shipped brute-force rule (D3)."""
-    df, rules = capture(spark, sf), pack("SOC-BRUTE-001")
+    """The shipped brute-force rule with its limit lowered to ten (D3)."""
+    rule = dict(next(r for r in RULES if r["id"] == "SOC-BRUTE-001"))
+    rule["threshold"] = {**rule["threshold"], "min_events": 10}
+    df, rules = capture(spark, sf), load_rules([rule])
     return threshold_groups(tumbling_buckets(rule_hits(df, rules), rules, origin_of(df)), rules).select(
         F.col("key").alias("source_ip"), "bucket", "observed")
 
@@ -313,7 +313,7 @@ def logon_after_brute_force(spark, sf):
                                         F.floor(F.col("t") / 1000000).alias("ts_s"), "prior_events")
 
 
-@query("run_summary", CAP + """ SELECT CAST(65 AS BIGINT) * 0 + count(DISTINCT source_ip || coalesce(host_name, '?') || user_name) AS alerts,
+@query("run_summary", CAP + """ SELECT count(DISTINCT source_ip || coalesce(host_name, '?') || user_name) AS alerts,
  CAST(1 AS BIGINT) AS rules_fired, (SELECT count(*) FROM cap) AS events_scanned, CAST(1 AS BIGINT) AS rules_total
 FROM cap WHERE event_dataset = 'web' AND url_path = '/.env'""")
 def summary(spark, sf):

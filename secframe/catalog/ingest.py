@@ -294,8 +294,8 @@ def sink(spark, sf):
 
 _IPS_SQL = r"""ips AS (SELECT DISTINCT unnest(regexp_extract_all(text,
   '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b')) AS ip FROM documents),
-num AS (SELECT ip, CASE WHEN list_max(list_transform(string_split(ip, '.'), x -> CAST(x AS INT))) <= 255
-  AND len(list_filter(string_split(ip, '.'), x -> len(x) > 1 AND x LIKE '0%')) = 0 THEN
+num AS (SELECT ip, CASE WHEN list_max(list_transform(string_split(ip, '.'), lambda x: CAST(x AS INT))) <= 255
+  AND len(list_filter(string_split(ip, '.'), lambda x: len(x) > 1 AND x LIKE '0%')) = 0 THEN
   CAST(split_part(ip, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(ip, '.', 2) AS BIGINT) * 65536
   + CAST(split_part(ip, '.', 3) AS BIGINT) * 256 + CAST(split_part(ip, '.', 4) AS BIGINT) END AS n FROM ips)"""
 
