@@ -17,8 +17,8 @@ from secframe.plans.rulepack import RULES
 from secframe.plans.rules import load_rules, rules_frame
 from secframe.session import materialize
 
-WINDOW = 90 * 60
-HOURS = 24
+MINUTES = 1440      # events are sparse: one day links far more alerts than the default 90 minutes
+WINDOW = MINUTES * 60
 
 
 def scored(spark, sf):
@@ -54,19 +54,19 @@ _BY_TIME = _edges_sql("last_s, alert_id")
 @query("alert_edges", "WITH " + _BY_SCORE + " SELECT a, b, kind, value FROM edges")
 def edges(spark, sf):
     """Neighbours in score order sharing an entity; weak entities need two kinds."""
-    return link_alerts(scored(spark, sf))
+    return link_alerts(scored(spark, sf), MINUTES)
 
 
 @query("alert_edges_by_time", "WITH " + _BY_TIME + " SELECT a, b, kind, value FROM edges")
 def edges_time(spark, sf):
     """The same with neighbours taken by last activity."""
-    return link_alerts(scored(spark, sf), order="time")
+    return link_alerts(scored(spark, sf), MINUTES, "time")
 
 
 @query("alert_components", "WITH RECURSIVE " + _BY_TIME + _COMP + " SELECT alert_id, component FROM comp")
 def components(spark, sf):
     """Alerts grouped into connected components (C4)."""
-    return correlate(scored(spark, sf), order="time")
+    return correlate(scored(spark, sf), MINUTES, "time")
 
 
 @query("event_components", """WITH RECURSIVE pairs AS (SELECT user_id, lead(user_id) OVER (PARTITION BY event_type ORDER BY event_id) AS nxt,
@@ -85,7 +85,7 @@ def event_components(spark, sf):
 
 def _incidents(spark, sf):
     a = scored(spark, sf)
-    inc, members = incidents(a, order="time", run_ts="2024-01-31 00:00:00")
+    inc, members = incidents(a, MINUTES, "time", run_ts="2024-01-31 00:00:00")
     return a, materialize(inc, "incidents"), members
 
 

@@ -1,0 +1,78 @@
+"""Streaming queries: the events table replayed as a file stream until it is used up."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from secframe.catalog.base import day_alerts, query, secs, table
+from secframe.catalog.detections import DAY, LOWER, _SEQ, _sequence_rule
+from secframe.catalog.ingest import apache_lines
+from secframe.functions.values import micros
+from secframe.plans.rules import load_rules
+from secframe.session import scratch_path
+from secframe.sources.registry import SOURCES
+from secframe.streaming import streams as S
+
+
+def replay(spark, sf) -> DataFrame:
+    """The events table as a stream."""
+    schema = table(spark, sf, "events").schema
+    e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return e.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("event_seq", F.col("event_id"))
+
+
+def drain(writer):
+    """Run a stream over everything available, then stop."""
+    q = writer.trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+@query("stream_threshold", """SELECT CAST(user_id AS VARCHAR) AS key, (epoch_us(ts) // 86400000000) * 86400 AS window_s, count(*) AS observed
+FROM events WHERE event_type = 'error' GROUP BY 1, 2 HAVING count(*) >= 2""")
+def stream_threshold(spark, sf):
+    """Tumbling threshold on the stream."""
+    rules = load_rules([{"id": "R-ERR", "condition": {"event_type": "error"},
+                         "threshold": {"field": "user_id", "min_events": 2, "window_minutes": DAY}}])
+    out = scratch_path(spark, "stream-counts")
+    counts = S.stream_threshold_counts(replay(spark, sf), rules, DAY, "40 days", LOWER)
+    drain(counts.writeStream.outputMode("update").foreachBatch(S.upsert_counts(out))
+          .option("checkpointLocation", scratch_path(spark, "ck")))
+    return S.current_counts(spark, out, rules).select("key", secs("window_start").alias("window_s"), "observed")
+
+
+@query("stream_sequence", "WITH RECURSIVE " + _SEQ + """,
+fired(k, t) AS (SELECT k, min(t) FROM q GROUP BY k
+  UNION ALL SELECT f.k, min(q.t) FROM fired f JOIN q ON q.k = f.k AND q.t > f.t + 86400000000 GROUP BY f.k)
+SELECT CAST(fired.k AS VARCHAR) AS key, fired.t, q.prior_events FROM fired JOIN q ON q.k = fired.k AND q.t = fired.t""")
+def stream_sequence(spark, sf):
+    """Sequence and cooldown on the stream equal the batch result (S3)."""
+    out = scratch_path(spark, "stream-sequence")
+    fired = S.stream_sequences(replay(spark, sf), _sequence_rule(), LOWER)
+    drain(fired.writeStream.outputMode("append").format("parquet").option("path", out)
+          .option("checkpointLocation", scratch_path(spark, "ck")))
+    return spark.read.schema(S.SEQUENCE_OUT).parquet(out).select("key", "t", "prior_events")
+
+
+@query("stream_ingest", """SELECT 'web' AS source, count(*) AS lines, count(*) FILTER (event_id % 40 <> 0) AS parsed,
+ count(*) FILTER (event_id % 40 = 0) AS parse_errors, CAST(sum(CASE WHEN event_id % 40 <> 0 AND event_id % 5 <> 0 THEN event_id ELSE 0 END) AS BIGINT) AS bytes FROM events""")
+def stream_ingest(spark, sf):
+    """Continuous ingest of rendered access-log lines with loss counts."""
+    base = scratch_path(spark, "stream-ingest")
+    drain(S.stream_ingest(apache_lines(replay(spark, sf)), SOURCES["web"], "web", f"{base}/events",
+                          f"{base}/loss", f"{base}/ck"))
+    loss = spark.read.parquet(f"{base}/loss").groupBy("source").agg(
+        *[F.sum(c).alias(c) for c in ("lines", "parsed", "parse_errors")])
+    stored = spark.read.parquet(f"{base}/events").agg(F.sum("network_bytes")).scalar()
+    return loss.select("*", stored.alias("bytes"))
+
+
+@query("stream_alert_dedup", """SELECT event_type, count(DISTINCT user_id) AS alerts FROM events
+WHERE event_type IN ('error', 'purchase') GROUP BY 1""")
+def stream_alert_dedup(spark, sf):
+    """Repeated alerts on the stream are dropped within the watermark."""
+    e = replay(spark, sf).filter(F.col("event_type").isin("error", "purchase")).select(
+        F.concat_ws("-", "event_type", F.col("user_id").cast("string")).alias("alert_id"), "event_type",
+        F.col("ts").alias("last_seen"))
+    out = scratch_path(spark, "stream-dedup")
+    drain(S.stream_unique_alerts(e, "40 days").writeStream.format("parquet").option("path", out)
+          .option("checkpointLocation", scratch_path(spark, "ck")))
+    return spark.read.parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).alias("alerts"))
