@@ -46,7 +46,7 @@ SELECT CAST(fired.k AS VARCHAR) AS key, fired.t, q.prior_events FROM fired JOIN
 def stream_sequence(spark, sf):
     """Sequence and cooldown on the stream equal the batch result (S3)."""
     out = scratch_path(spark, "stream-sequence")
-    fired = S.stream_sequences(replay(spark, sf), _sequence_rule(), LOWER)
+    fired = S.stream_sequences(replay(spark, sf), _sequence_rule(), LOWER, "40 days")
     drain(fired.writeStream.outputMode("append").format("parquet").option("path", out)
           .option("checkpointLocation", scratch_path(spark, "ck")))
     return spark.read.schema(S.SEQUENCE_OUT).parquet(out).select("key", "t", "prior_events")

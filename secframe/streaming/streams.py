@@ -75,20 +75,21 @@ SEQUENCE_OUT = "rule_ix int, key string, t bigint, prior_events bigint"
 SEQUENCE_STATE = "at array<bigint>, n array<bigint>, fired bigint"
 
 
-def stream_sequences(events: DataFrame, rules, lowercased=LOWERCASED, idle: str = "1 day") -> DataFrame:
+def stream_sequences(events: DataFrame, rules, lowercased=LOWERCASED, delay: str = "1 hour",
+                     idle: str = "1 day") -> DataFrame:
     """Sequence firings with cooldown, as events arrive.
 
     Rows are counted per (rule, key, instant) inside the micro-batch by the stateful operator;
     the state of a key is its prior counts per instant within the window and the last firing, and
-    is dropped after an idle period.  Events of one batch are put in time order; an event older
+    is dropped once the watermark is an idle period past its last event.  Events of one batch are put in time order; an event older
     than what its key has already seen still counts as a prior for later hits.
     """
     rules = load_rules(rules)
     spans = {i: r.span_micros("sequence") for i, r in enumerate(rules) if r.has_sequence}
     least = {i: int(r.requires.get("min_count", 1)) for i, r in enumerate(rules) if r.has_sequence}
-    hits = rule_hits(events, rules, lowercased)
+    hits = rule_hits(events.withWatermark("ts", delay), rules, lowercased)
     keyed = hits.filter(F.col("rule_ix").isin(list(spans))).select(
-        "rule_ix", key_by_rule(hits, rules, "sequence").alias("key"), "t", "is_prior")
+        "rule_ix", key_by_rule(hits, rules, "sequence").alias("key"), "t", "is_prior", "ts")
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def advance(group, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -114,11 +115,11 @@ def stream_sequences(events: DataFrame, rules, lowercased=LOWERCASED, idle: str
         newest = int(new.index.get_level_values("t").max())
         priors = priors.loc[newest - 2 * span:]
         state.update((priors.index.tolist(), priors.tolist(), fired))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(max(newest // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["rule_ix", "key", "t", "prior_events"])
 
     return keyed.groupBy("rule_ix", "key").applyInPandasWithState(
-        advance, SEQUENCE_OUT, SEQUENCE_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        advance, SEQUENCE_OUT, SEQUENCE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---------------------------------------------------------------- alerts and incidents
