@@ -3,13 +3,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from secframe.catalog.base import capture, events, query, secs, table
+from secframe.catalog.base import events as all_events, query, secs, table
 from secframe.functions.net import in_networks, ipv4_number, is_internal
 from secframe.functions.timeparse import parse_timestamp
 from secframe.functions.values import basename_if_path, first_of
 from secframe.operators.geo import locate
 from secframe.plans.settings import geo_prefixes
-from secframe.session import scratch_path
+from secframe.session import scratch_path, use_idle_cores
 from secframe.sources.normalize import conform
 from secframe.sources.registry import (SOURCES, error_kinds, good_events, ingest_loss, parse_lines,
                                        read_events, write_events)
@@ -20,6 +20,10 @@ DNS_HEADER = "\t".join(["@timestamp", "client_ip", "host", "query", "type", "ans
                         "response_bytes"])
 
 
+def events(spark, sf):
+    return use_idle_cores(all_events(spark, sf))
+
+
 def _iso():
     return F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+0000"))
 

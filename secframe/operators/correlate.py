@@ -72,7 +72,9 @@ def link_alerts(alerts: DataFrame, window_minutes: float = cfg.CORRELATION_MINUT
     (``order="time"``).  A value shared by very many alerts is never one group: score order looks
     back inside (value, score, hour) bins stitched at their ends, time order inside time slices.
     """
-    base = materialize(_correlation_keys(alerts), "alert-keys")
+    base = _correlation_keys(alerts)
+    if order == "score":        # read by three branches below
+        base = materialize(base, "alert-keys")
     listed = F.array(*[F.struct(F.lit(k).alias("kind"), F.col("sets")[k].alias("values"))
                        for k in STRONG + WEAK])
     rows = (base.select("*", F.explode(listed).alias("e"))
@@ -174,8 +176,8 @@ def build_incidents(alerts: DataFrame, components: DataFrame, run_ts=None) -> Da
         F.min("first_seen").alias("opened_at"), F.max("last_seen").alias("last_activity"),
         F.count(F.lit(1)).alias("alert_count"), F.count_distinct("rule_id").alias("rule_count"),
         F.array_sort(F.collect_set("rule_id")).alias("rules"),
+        kill_chain(F.col("tactic")).alias("tactics"),
         F.min_by("rule_name", at).alias("_first_name"), F.max_by("rule_name", at).alias("_last_name"))
-    shape = grouped.groupBy("component").agg(kill_chain(F.col("tactic")).alias("tactics"))
     skills = (grouped.select("component", F.explode("technique").alias("technique"))
               .groupBy("component").agg(F.array_sort(F.collect_set("technique")).alias("techniques")))
     noted = first_k(grouped.filter(F.coalesce("note", F.lit("")) != "")
@@ -187,7 +189,7 @@ def build_incidents(alerts: DataFrame, components: DataFrame, run_ts=None) -> Da
     lines = incident_timeline(grouped).select("component", F.col("events").alias("timeline"),
                                               "further")
     out = stats
-    for piece in (shape, skills, notes, entities, lines):
+    for piece in (skills, notes, entities, lines):
         out = out.join(piece, "component", "left")
     empty = F.array().cast("array<string>")
     who = F.get(F.coalesce(entity("user_name"), entity("host_name"), entity("source_ip")), F.lit(0))

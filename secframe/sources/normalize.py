@@ -158,6 +158,15 @@ def conform(df: DataFrame) -> DataFrame:
                      *[c for c in ("_error", "_rejected", "_blank") if c in have])
 
 
+def evaluated_once(df: DataFrame) -> DataFrame:
+    """The same rows behind a generator, so that filters above stay above.
+
+    Pushed below, a test on ``_error`` would drag the whole parse into the filter and repeat it
+    for every column mentioned.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def normalize(parsed: DataFrame, source_type: str, source: str | None = None, year: int = 2026,
               offset: str = "+00:00") -> DataFrame:
     """Parsed lines -> canonical events plus ``_error`` / ``_blank`` bookkeeping.
@@ -171,4 +180,5 @@ def normalize(parsed: DataFrame, source_type: str, source: str | None = None, ye
         ~F.col("_blank") & F.col("ts").isNull(), "unreadable timestamp")))
     if source is not None:
         df = df.withColumn("source", F.lit(source))
+    df = evaluated_once(df.select(*[c for c in df.columns if c not in ("value", "_line", "_ts")]))
     return conform(_families(_values(_aliased(df, source_type)), source_type))

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
 from secframe.schema import EVENT_SCHEMA
+from secframe.session import use_idle_cores
 from secframe.sources.lines import parse_apache, parse_delimited, parse_json, parse_syslog
 from secframe.sources.normalize import normalize
 
@@ -46,7 +47,7 @@ def parse_lines(lines: DataFrame, spec: dict, source: str | None = None,
 
 def read_source(spark: SparkSession, path: str, spec: dict, source: str) -> DataFrame:
     """Text scan of one source.  The header of a delimited file is its first line."""
-    lines = spark.read.text(path)
+    lines = use_idle_cores(spark.read.text(path))
     header = None
     if spec.get("type") == "csv":
         first = lines.filter(F.trim("value") != "").limit(1).collect()   # one line, by design
@@ -72,8 +73,8 @@ def read_sources(spark: SparkSession, root: str, sources: dict = SOURCES):
 
 def good_events(records: DataFrame) -> DataFrame:
     """Accepted events with a sequence number that is unique over all sources."""
-    ok = records.filter(F.col("_error").isNull() & ~F.col("_blank"))
-    return ok.withColumn("event_seq", F.monotonically_increasing_id()).select(
+    numbered = records.withColumn("event_seq", F.monotonically_increasing_id())
+    return numbered.filter(F.col("_error").isNull() & ~F.col("_blank")).select(
         *[f.name for f in EVENT_SCHEMA.fields])
 
 
