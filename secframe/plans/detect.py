@@ -13,7 +13,7 @@ from secframe.operators.travel import first_moves
 from secframe.plans.rules import load_rules, rules_frame
 from secframe.plans.settings import geo_prefixes
 from secframe.schema import LOWERCASED
-from secframe.session import materialize
+from secframe.session import materialize, use_idle_cores
 
 _MEMBER = ["alert_id", "rule_ix", "place", "t", "event_seq", *EVIDENCE]
 
@@ -108,7 +108,7 @@ def detect(events: DataFrame, rules, origin=None, prefixes: DataFrame | None = N
                   "source.ip" if r.mode == "travel" else None):
             if f:
                 needed |= {f, f.replace(".", "_")}
-    hits = rule_hits(events, rules, lowercased, keep=[c for c in events.columns if c in needed
+    hits = rule_hits(use_idle_cores(events), rules, lowercased, keep=[c for c in events.columns if c in needed
                                                       and c != "ts"])
     hits = with_evidence(hits)
     if len(modes) > 1 or any(r.has_sequence for r in rules):
