@@ -8,10 +8,12 @@ from secframe.catalog.base import (ALERTS_SQL, CAPTURE_SQL, capture, day_alerts,
                                    table)
 from secframe.catalog.detections import pack
 from secframe.operators.components import connected_components
-from secframe.operators.correlate import correlate, incidents, link_alerts
+from secframe.operators.correlate import HOUR, correlate, incidents, link_alerts
 from secframe.operators.enrich import enrich
 from secframe.operators.hits import rule_hits
+from secframe.operators.skew import previous_in_order
 from secframe.operators.respond import contain, response_plan
+from secframe.functions.values import floor_div, micros
 from secframe.operators import views as V
 from secframe.plans.rulepack import RULES
 from secframe.plans.rules import load_rules, rules_frame
@@ -76,10 +78,9 @@ reach(n, o) AS (SELECT DISTINCT user_id, user_id FROM events UNION SELECT r.n, w
 SELECT n AS node, min(o) AS component FROM reach GROUP BY n""")
 def event_components(spark, sf):
     """Components of a graph of users met one after the other (C4)."""
-    from pyspark.sql import Window
-    e = events(spark, sf)
-    nxt = F.lead("user_id").over(Window.partitionBy("event_type").orderBy("event_id"))
-    pairs = e.select(F.col("user_id").alias("a"), nxt.alias("b")).filter("b IS NOT NULL AND (a + b) % 41 = 0")
+    e = events(spark, sf).withColumn("hour", floor_div(micros(F.col("ts")), HOUR))
+    met = previous_in_order(e, ["event_type"], [("hour", False)], [F.col("event_id")], F.col("user_id"), "b")
+    pairs = met.select(F.col("user_id").alias("a"), "b").filter("b IS NOT NULL AND (a + b) % 41 = 0")
     return connected_components(pairs, e.select(F.col("user_id").alias("node")))
 
 

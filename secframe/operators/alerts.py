@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from secframe.operators.hits import DISTINCT_FIELDS, ENTITY_FIELDS
+from secframe.operators.hits import DISTINCT_FIELDS, ENTITY_FIELDS, literal_by_rule
 from secframe.operators.skew import first_k
 
 # fixed values: how much evidence an alert keeps
@@ -167,7 +167,18 @@ def fold_repeats(alerts: DataFrame) -> DataFrame:
     return out.select(*[changed.get(c, F.col(f"a.{c}")).alias(c) for c in alerts.columns])
 
 
-def finish(alerts: DataFrame, rules_df: DataFrame) -> DataFrame:
+def rule_columns(rules) -> list:
+    """Rule metadata picked by rule index: constants in the plan, so no join is needed."""
+    pick = lambda name, dtype: literal_by_rule([getattr(r, name) for r in rules], dtype)
+    techniques = F.array(*[F.array(*[F.lit(t) for t in r.technique]).cast("array<string>")
+                           for r in rules])[F.col("rule_ix")]
+    return [pick("id", "string").alias("rule_id"), pick("name", "string").alias("rule_name"),
+            pick("severity", "string").alias("severity"),
+            pick("confidence", "string").alias("confidence"), pick("risk", "int").alias("risk"),
+            pick("tactic", "string").alias("tactic"), techniques.alias("technique")]
+
+
+def finish(alerts: DataFrame, rules) -> DataFrame:
     """Rule metadata, timestamps and notes."""
     repeats = F.col("repeat_count") - 1
     note = F.concat_ws(" | ", F.when(F.col("note") != "", F.col("note")),
@@ -175,11 +186,8 @@ def finish(alerts: DataFrame, rules_df: DataFrame) -> DataFrame:
     note = F.when(repeats < 5, note).otherwise(
         F.concat_ws(" | ", F.when(F.col("note") != "", F.col("note")),
                     F.concat(F.lit("repeated hit x"), repeats.cast("string"))))
-    meta = rules_df.select("rule_ix", "rule_id", "rule_name", "severity", "confidence", "risk",
-                           "tactic", "technique")
-    return (alerts.join(meta, "rule_ix")
-            .select("alert_id", "rule_id", "rule_name", "severity", "confidence", "risk", "tactic",
-                    "technique", "count", F.timestamp_micros("first_t").alias("first_seen"),
+    return (alerts
+            .select("alert_id", *rule_columns(rules), "count", F.timestamp_micros("first_t").alias("first_seen"),
                     F.timestamp_micros("last_t").alias("last_seen"),
                     F.call_function("div", F.col("last_t") - F.col("first_t"),
                                     F.lit(1_000_000)).alias("window_seconds"),

@@ -145,7 +145,7 @@ def detect(events: DataFrame, rules, origin=None, prefixes: DataFrame | None = N
     if "single" in modes:
         single = A.single_event_alerts(hits, rules)
         found = single if found is None else found.unionByName(single)
-    return A.finish(found, rules_frame(spark, rules))
+    return A.finish(found, rules)
 
 
 def run_summary(events: DataFrame, alerts: DataFrame, rules) -> DataFrame:
