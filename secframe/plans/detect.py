@@ -111,7 +111,7 @@ def detect(events: DataFrame, rules, origin=None, prefixes: DataFrame | None = N
     hits = rule_hits(use_idle_cores(events), rules, lowercased, keep=[c for c in events.columns if c in needed
                                                       and c != "ts"])
     hits = with_evidence(hits)
-    if len(modes) > 1 or any(r.has_sequence for r in rules):
+    if modes != {"single"}:     # every other mode reads the matches more than once
         hits = materialize(hits, "hits")
 
     parts = []
@@ -137,9 +137,8 @@ def detect(events: DataFrame, rules, origin=None, prefixes: DataFrame | None = N
         members = parts[0]
         for p in parts[1:]:
             members = members.unionByName(p)
-        if len(parts) > 1 or "sequence" in modes:
-            members = materialize(members, "members")
-        found = A.summarize(members).withColumn("repeat_count", F.lit(1))
+        # entities, distinct values, samples and counts each read the members
+        found = A.summarize(materialize(members, "members")).withColumn("repeat_count", F.lit(1))
         if fold:
             found = A.fold_repeats(found)
     if "single" in modes:
