@@ -117,3 +117,15 @@ def test_journal(spark, tmp_path):
                                line("I2", "false-positive", "scanner"), json.dumps({"status": "x"})]) + "\n")
     latest = {r.case_id: r for r in V.latest_decisions(V.read_journal(spark, str(path))).collect()}
     assert set(latest) == {"I1", "I2"} and latest["I1"].note == "second"
+
+
+def test_streaming_refresh_handler(alerts, spark, tmp_path):
+    from secframe.streaming.streams import latest_incidents, refresh_incidents
+    a, i = str(tmp_path / "alerts"), str(tmp_path / "incidents")
+    refresh = refresh_incidents(a, i)
+    refresh(alerts(BRUTE, SCAN), 0)
+    assert latest_incidents(spark, i).count() == 2
+    refresh(alerts(PSH), 1)
+    refresh(alerts(PSH), 1)         # a repeated batch replaces itself
+    got = latest_incidents(spark, i)
+    assert got.count() == 2 and got.agg(F.max("alert_count")).first()[0] == 2
