@@ -1,11 +1,14 @@
 """Operators for training corpora, each with the query that applies it to its whole table."""
-from secframe.llm import decontaminate, quality
+from secframe.llm import decontaminate, lines, neardup, quality
 
 QUERIES = {
+    "op2_line_dedup": lines.op2_line_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op8_superminhash": neardup.op8_superminhash,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
 SQL = {
     "op6_quality_rules": quality.OP6_SQL,
+    "op8_superminhash": neardup.OP8_SQL,
     "op10_benchmark_decontamination": decontaminate.OP10_SQL,
 }
