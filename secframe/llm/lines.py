@@ -51,8 +51,11 @@ def _starts(wide: Column) -> Column:
 
 
 def shingle_set(wide: Column) -> Column:
-    """Distinct shingles of a stored wide line; an expression here would run once per shingle."""
-    return F.array_distinct(F.transform(_starts(wide), lambda i: F.substring(wide, i, F.lit(4 * SHINGLE))))
+    """Distinct shingles of a stored wide line, as hex text: Spark hashes sets of text, not of binary.
+
+    ``wide`` has to be a column; an expression would run once per shingle.
+    """
+    return F.array_distinct(F.transform(_starts(wide), lambda i: F.hex(F.substring(wide, i, F.lit(4 * SHINGLE)))))
 
 
 def signatures(lines: DataFrame) -> DataFrame:

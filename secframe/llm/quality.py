@@ -91,7 +91,7 @@ def host_verdicts(counted: DataFrame, host: str, limit: float = HOST_LIMIT) -> D
     hosts = counted.groupBy(F.col(host).alias("host")).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(c.cast("bigint")).alias(f"f_{r}") for r, c in rules().items()])
     rate = lambda r: F.col(f"f_{r}") / F.col("n")
-    total = hosts.groupBy(F.lit(1).alias("one")).agg(
+    total = hosts.agg(
         F.sum("n").alias("N"), F.count(F.lit(1)).alias("H"),
         *[F.sum(f"f_{r}").alias(f"k_{r}") for r in names],
         *[F.sum(rate(r) * F.col(f"f_{r}")).alias(f"q_{r}") for r in names])
@@ -104,8 +104,8 @@ def host_verdicts(counted: DataFrame, host: str, limit: float = HOST_LIMIT) -> D
         prior += [m.alias(f"m_{r}"),
                   F.greatest(F.lit(MIN_PRIOR), F.least(F.lit(MAX_PRIOR), weight)).alias(f"s_{r}")]
     # one row for the whole corpus
-    judged = hosts.withColumn("one", F.lit(1)).join(F.broadcast(total.select("one", *prior)), "one")
-    shrunk = {r: (F.col(f"f_{r}") + F.col(f"m_{r}") * F.col(f"s_{r}")) / (F.col("n") + F.col(f"s_{r}"))
+    judged = hosts.withColumn("p", total.select(F.struct(*prior)).scalar())
+    shrunk = {r: (F.col(f"f_{r}") + F.col(f"p.m_{r}") * F.col(f"p.s_{r}")) / (F.col("n") + F.col(f"p.s_{r}"))
               for r in names}
     failed = F.lit(False)
     for c in shrunk.values():
