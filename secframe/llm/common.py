@@ -24,9 +24,14 @@ class Scratch:
         self.paths: dict[str, str] = {}
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write once and read back: lineage ends here, and later readers still prune columns."""
+        """Write once and read back: lineage ends here, and later readers still prune columns.
+
+        Shuffle files of the plan just written go when the driver's garbage is collected, which a
+        large heap may put off until the disks are full; so it is asked for here.
+        """
         path = self.place(name)
         df.write.option("compression", "zstd").parquet(path)
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def place(self, name: str) -> str:

@@ -74,8 +74,12 @@ def similar_pairs(lines: DataFrame, scratch: Scratch, like: int = LIKE) -> DataF
     full = banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
     met = banded.join(full, "key").select("id", F.explode(F.array("lo", "hi")).alias("peer")).filter("id <> peer")
     pairs = met.select(F.least("id", "peer").alias("a"), F.greatest("id", "peer").alias("b")).distinct()
-    side = lambda c: lines.select(F.col("id").alias(c), _wide(F.col("norm")).alias(f"{c}_wide"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    pairs = scratch.keep(pairs, "pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = scratch.keep(lines.join(asked, "id", "left_semi"), "asked")
+    side = lambda c: texts.select(F.col("id").alias(c), F.col("norm").alias(f"{c}_norm"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select(
+        "a", "b", _wide(F.col("a_norm")).alias("a_wide"), _wide(F.col("b_norm")).alias("b_wide"))
     both = both.select("a", "b", shingle_set(F.col("a_wide")).alias("x"), shingle_set(F.col("b_wide")).alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     both = both.select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y")).alias("total"))
@@ -101,7 +105,7 @@ def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", like: in
     places = scratch.keep(at.select("own", "doc", "pos", digest.alias("digest")), "places")
 
     links = scratch.keep(similar_pairs(lines.select("id", "norm"), scratch, like), "links")
-    scratch.drop("bands")
+    scratch.drop("bands", "pairs", "asked")
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
     owner = connected_components(links, ends)
     group = lines.select("id", "digest").join(owner, F.col("id") == F.col("node"), "left").select(
