@@ -1,10 +1,12 @@
 """Operators for training corpora, each with the query that applies it to its whole table."""
-from secframe.llm import decontaminate, lines, neardup, quality
+from secframe.llm import decontaminate, lines, neardup, pieces, quality, warc
 
 QUERIES = {
     "op2_line_dedup": lines.op2_line_dedup,
+    "op4_sentencepiece": pieces.op4_sentencepiece,
     "op6_quality_rules": quality.op6_quality_rules,
     "op8_superminhash": neardup.op8_superminhash,
+    "op9_warc": warc.op9_warc,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
 SQL = {
