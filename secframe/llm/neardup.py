@@ -141,7 +141,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", lik
     member = named.select("id", "digest").join(classes, "digest").filter("id <> rep").select(
         F.col("id").alias("a"), F.col("rep").alias("b"))
     heads = named.join(classes, "digest").filter("id = rep").select("id", "keys")
-    banded = scratch.keep(heads.select("id", F.explode("keys").alias("key")).distinct(), "bands")
+    banded = scratch.keep(heads.select("id", F.explode("keys").alias("key")), "bands")
     full = banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
     met = banded.join(full, "key").select("id", F.explode(F.array("lo", "hi")).alias("peer")).filter("id <> peer")
     pairs = scratch.keep(met.select(F.least("id", "peer").alias("a"), F.greatest("id", "peer").alias("b")).distinct(), "pairs")
