@@ -147,7 +147,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", lik
     pairs = scratch.keep(met.select(F.least("id", "peer").alias("a"), F.greatest("id", "peer").alias("b")).distinct(), "pairs")
     scratch.drop("bands")
     asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = base.join(asked, "id", "left_semi").select("id", "text")
+    # the ids asked for grow with the corpus: merged at every size, never broadcast
+    texts = base.join(asked.hint("merge"), "id", "left_semi").select("id", "text")
     sets = scratch.keep(texts.mapInArrow(_sets, "id bigint, members array<bigint>").filter(F.size("members") > 0), "sets")
     side = lambda c: sets.select(F.col("id").alias(c), F.col("members").alias(f"{c}_set"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
