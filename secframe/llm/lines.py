@@ -14,8 +14,9 @@ from secframe.operators.components import connected_components
 SHINGLE = 8
 #: Lines link when their shingle sets have this Jaccard similarity, in hundredths.
 LIKE = 80
-#: The signature is a square of GRID x GRID values; its rows, columns and diagonals are the bands.
-GRID = 4
+#: The signature is a square of GRID x GRID values; its rows, columns and (broken) diagonals are the bands.
+#: Any five of the nine values hold a whole band, so pairs at 0.80 are met with probability 0.99.
+GRID = 3
 
 
 def _masks() -> list[int]:
@@ -31,9 +32,10 @@ def _masks() -> list[int]:
 
 
 def bands() -> list[list[int]]:
+    """The lines of the plane over the numbers modulo GRID: one column set, and a set per slope."""
     at = range(GRID)
-    return ([[GRID * r + c for c in at] for r in at] + [[GRID * r + c for r in at] for c in at]
-            + [[GRID * r + (r + d) % GRID for r in at] for d in at])
+    return [[GRID * r + c for r in at] for c in at] + [
+        [GRID * ((slope * c + r) % GRID) + c for c in at] for slope in at for r in at]
 
 
 def normal_form(line: Column) -> Column:
@@ -51,11 +53,12 @@ def _starts(wide: Column) -> Column:
 
 
 def shingle_set(wide: Column) -> Column:
-    """Distinct shingles of a stored wide line, as hex text: Spark hashes sets of text, not of binary.
+    """Distinct shingles of a wide line, as hex text: Spark hashes sets of text, not of binary.
 
-    ``wide`` has to be a column; an expression would run once per shingle.
+    The inner function works on a bound variable, since a binary column is copied at every use.
     """
-    return F.array_distinct(F.transform(_starts(wide), lambda i: F.hex(F.substring(wide, i, F.lit(4 * SHINGLE)))))
+    cut = lambda w: F.array_distinct(F.transform(_starts(w), lambda i: F.hex(F.substring(w, i, F.lit(4 * SHINGLE)))))
+    return F.transform(F.array(wide), cut)[0]
 
 
 def signatures(lines: DataFrame) -> DataFrame:
@@ -70,7 +73,7 @@ def similar_pairs(lines: DataFrame, scratch: Scratch, like: int = LIKE) -> DataF
     """(a, b) of distinct lines (id, norm) whose shingle sets are alike."""
     sig = signatures(lines)
     keys = F.array(*[F.xxhash64(F.lit(i), *[F.col(f"s{j}") for j in band]) for i, band in enumerate(bands())])
-    banded = scratch.keep(sig.select("id", F.explode(keys).alias("key")), "bands")
+    banded = sig.select("id", F.explode(keys).alias("key"))     # both uses share one exchange of signatures
     full = banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
     met = banded.join(full, "key").select("id", F.explode(F.array("lo", "hi")).alias("peer")).filter("id <> peer")
     pairs = met.select(F.least("id", "peer").alias("a"), F.greatest("id", "peer").alias("b")).distinct()
@@ -102,20 +105,20 @@ def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", like: in
     digest = F.unhex(F.md5("norm"))
     lines = scratch.keep(at.select("norm").distinct().select(
         F.monotonically_increasing_id().alias("id"), digest.alias("digest"), "norm"), "distinct")
-    places = scratch.keep(at.select("own", "doc", "pos", digest.alias("digest")), "places")
 
     links = scratch.keep(similar_pairs(lines.select("id", "norm"), scratch, like), "links")
-    scratch.drop("bands", "pairs", "asked")
+    scratch.drop("pairs", "asked")
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
     owner = connected_components(links, ends)
     group = lines.select("id", "digest").join(owner, F.col("id") == F.col("node"), "left").select(
         "digest", F.coalesce("component", "id").alias("group"))
+    places = at.select("own", "doc", "pos", digest.alias("digest"))
     placed = scratch.keep(places.join(group, "digest").select("own", "doc", "pos", "group"), "placed")
     order = F.struct("doc", "pos", "own")
     first = placed.groupBy("group").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     gone = placed.join(first, "group").filter(~((F.col("own") == F.col("first.own")) & (F.col("pos") == F.col("first.pos"))))
     gone = scratch.keep(gone.select("own", "pos").distinct().groupBy("own").agg(F.collect_list("pos").alias("gone")), "gone")
-    scratch.drop("distinct", "places", "placed", "links")
+    scratch.drop("distinct", "placed", "links")
 
     parts = F.split(F.col(text), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("gone"))
