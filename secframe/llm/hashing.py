@@ -27,7 +27,7 @@ def chain(parts) -> np.ndarray:
 class WordHashes(dict):
     """Word -> 64-bit hash, computed once per word; forgets everything beyond ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 120_000):
         super().__init__()
         self.limit = limit
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from secframe.llm.common import Scratch, table, text_of
 from secframe.llm.hashing import U64, WordHashes, chain, mix
+from secframe.llm.storage import slices
 from secframe.operators.components import connected_components
 
 SHINGLE = 5
@@ -24,7 +25,7 @@ LIKE = 75
 #: 48 bands of five values miss a pair at 0.75 about twice in a million times.
 BANDS, ROWS = 48, 5
 #: Set elements that are hashed at a time, over several documents.
-CHUNK = 40_000
+CHUNK = 20_000
 
 
 def shingle_sets(texts: list[bytes], words: WordHashes, width: int = SHINGLE) -> list[np.ndarray]:
@@ -57,7 +58,7 @@ def superminhash(sets: list[np.ndarray], m: int) -> np.ndarray:
         return sig
     e = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), sizes)
-    order = np.broadcast_to(np.arange(m, dtype=np.uint16), (len(e), m)).copy()
+    order = np.broadcast_to(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint32), (len(e), m)).copy()
     row = np.arange(len(e))
     for j in range(m):
         x = mix(e + U64((j + 1) * 0xD1342543DE82EF95 % 2 ** 64))
@@ -95,27 +96,21 @@ def _chunks(sets: list[np.ndarray], limit: int = CHUNK) -> Iterator[tuple[int, i
 
 def _signed(batches, words=WordHashes()):
     """(id, text) -> (id, n_shingles, digest, keys)."""
-    for batch in batches:
-        texts = [t.encode() for t in batch.column(1).to_pylist()]
-        n_all, digests, keys = [], [], []
-        for lo in range(0, len(texts), 256):
-            sets = shingle_sets(texts[lo:lo + 256], words)
-            n_all += [len(s) for s in sets]
-            digests += [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            for a, b in _chunks(sets):
-                keys.append(band_keys(superminhash(sets[a:b], BANDS * ROWS), BANDS, ROWS))
-        rows = np.concatenate(keys).view(np.int64).reshape(-1) if keys else np.zeros(0, np.int64)
-        offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS)
+    for batch in slices(batches, 1):
+        sets = shingle_sets([t.encode() for t in batch.column(1).to_pylist()], words)
+        digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+        keys = [band_keys(superminhash(sets[a:b], BANDS * ROWS), BANDS, ROWS) for a, b in _chunks(sets)]
+        offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n_all, pa.int64()), pa.array(digests, pa.binary()),
-             pa.ListArray.from_arrays(offsets, pa.array(rows))], ["id", "n", "digest", "keys"])
+            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
+             pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys).view(np.int64).reshape(-1)))],
+            ["id", "n", "digest", "keys"])
 
 
 def _sets(batches, words=WordHashes()):
     """(id, text) -> (id, members), one row per set."""
-    for batch in batches:
-        texts = [t.encode() for t in batch.column(1).to_pylist()]
-        sets = shingle_sets(texts, words)
+    for batch in slices(batches, 1):
+        sets = shingle_sets([t.encode() for t in batch.column(1).to_pylist()], words)
         offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
         flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(

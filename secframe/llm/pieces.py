@@ -14,13 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from secframe.llm.common import table, text_of
+from secframe.llm.storage import slices
 
 SPACE = "▁"
 NO_PAIR = np.int32(2 ** 31 - 1)
-#: Characters of distinct words that are merged at a time, and of texts in one output batch.
-ROUND_CHARS, BATCH_CHARS = 400_000, 2_000_000
+#: Characters of distinct words that are merged at a time.
+ROUND_CHARS = 400_000
 #: Words whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 MODEL = "piece_bpe_32k.model"
 
 
@@ -225,17 +226,6 @@ def coder(path: str) -> PieceBpe:
     return PieceBpe(path)
 
 
-def _slices(texts: list[str]):
-    start = chars = 0
-    for i, t in enumerate(texts):
-        if i > start and chars + len(t) > BATCH_CHARS:
-            yield start, i
-            start, chars = i, 0
-        chars += len(t)
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def _ids_array(ids: list[np.ndarray]) -> pa.Array:
     offsets = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
     flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
@@ -254,13 +244,10 @@ def round_trip(docs: DataFrame, carry: list[str], text: str = "text", path: str
 
     def run(batches):
         bpe = coder(path)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in _slices(texts):
-                ids = bpe.encode(texts[a:b])
-                back = pa.array([bpe.decode(x) for x in ids], pa.string())
-                rest = [batch.column(i + 1).slice(a, b - a) for i in range(len(carry))]
-                yield pa.RecordBatch.from_arrays([*rest, _ids_array(ids), back], [*carry, "ids", "decoded"])
+        for batch in slices(batches, 0):
+            ids = bpe.encode(batch.column(0).to_pylist())
+            back = pa.array([bpe.decode(x) for x in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], _ids_array(ids), back], [*carry, "ids", "decoded"])
 
     schema = base.select(*[F.col(f"`{c}`") for c in carry], F.array(F.lit(0)).alias("ids"), F.lit("").alias("decoded")).schema
     return base.mapInArrow(run, schema)

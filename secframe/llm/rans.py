@@ -19,14 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from secframe.llm.common import Scratch, spark_partitions, table, text_of
-from secframe.llm.storage import PartFile, open_store
+from secframe.llm.storage import PartFile, open_store, slices
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 #: Frequencies add up to 2 ** SCALE; states lie in [2 ** 31, 2 ** 63) and move 32 bits at a time.
 SCALE, LANES = 20, 1024
 BLOCK_TOKENS, FILE_BYTES = 131_072, 256 << 20
-REMEMBERED, SLICE_CHARS = 400_000, 1_000_000
+REMEMBERED = 300_000
 _U = np.uint64
 _HEAD = struct.Struct("<4sIQIQI")     # mark, documents, tokens, lanes, words, crc32 of the rest
 _MARK = b"rANB"
@@ -81,18 +81,13 @@ def tokenize(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str
 
     def run(batches):
         coder, shard, place = encoder(path), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            a = chars = 0
-            for b in range(1, len(texts) + 1):
-                chars += len(texts[b - 1])
-                if b == len(texts) or chars > SLICE_CHARS:
-                    n = b - a
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([shard] * n, pa.int32()), pa.array(range(place, place + n), pa.int64()),
-                         batch.column(0).slice(a, n), pa.array(coder.encode(texts[a:b]), pa.binary())],
-                        ["shard", "place", "doc_id", "ids"])
-                    a, chars, place = b, 0, place + n
+        for batch in slices(batches, 1):
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([shard] * n, pa.int32()), pa.array(range(place, place + n), pa.int64()),
+                 batch.column(0), pa.array(coder.encode(batch.column(1).to_pylist()), pa.binary())],
+                ["shard", "place", "doc_id", "ids"])
+            place += n
 
     return base.mapInArrow(run, "shard int, place bigint, doc_id bigint, ids binary")
 

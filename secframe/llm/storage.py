@@ -2,7 +2,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 
 
@@ -37,3 +41,15 @@ class PartFile:
 
     def close(self) -> None:
         self._out.close()
+
+
+def slices(batches, column: int, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of batches with about ``limit`` bytes of one text column each, and one row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
