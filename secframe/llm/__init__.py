@@ -1,9 +1,10 @@
 """Operators for training corpora, each with the query that applies it to its whole table."""
-from secframe.llm import decontaminate, lines, neardup, pieces, quality, rans, toxicity, warc
+from secframe.llm import decontaminate, licenses, lines, neardup, pieces, quality, rans, toxicity, warc
 
 QUERIES = {
     "op1_range_coding": rans.op1_range_coding,
     "op2_line_dedup": lines.op2_line_dedup,
+    "op3_license_scan": licenses.op3_license_scan,
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality_rules": quality.op6_quality_rules,
