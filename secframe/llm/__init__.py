@@ -1,5 +1,5 @@
 """Operators for training corpora, each with the query that applies it to its whole table."""
-from secframe.llm import decontaminate, licenses, lines, neardup, pieces, quality, rans, toxicity, warc
+from secframe.llm import decontaminate, licenses, lines, neardup, pieces, quality, rans, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_range_coding": rans.op1_range_coding,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_suffix_dedup": suffixes.op7_suffix_dedup,
     "op8_superminhash": neardup.op8_superminhash,
     "op9_warc": warc.op9_warc,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
