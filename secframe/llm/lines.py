@@ -1,8 +1,8 @@
 """Fuzzy line dedup: MinHash over character shingles, banding, exact Jaccard, union-find.
 
-Equal lines are one node from the start.  Distinct lines get a signature from plain aggregates over
-their exploded shingles, lines that share a band meet the smallest and largest line of that band,
-each such pair is checked on whole shingle sets, and components keep the line that comes first.
+Equal lines are one node from the start: their signature is one aggregate over exploded shingles.
+Lines that share a band meet the first and the last line of that band, each such pair is checked on
+whole shingle sets, and components keep the line that comes first.
 """
 from __future__ import annotations
 
@@ -52,38 +52,43 @@ def _starts(wide: Column) -> Column:
     return F.sequence(F.lit(1), F.greatest(F.length(wide) - 4 * SHINGLE + 1, F.lit(1)), F.lit(4))
 
 
-def shingle_set(wide: Column) -> Column:
-    """Distinct shingles of a wide line, as hex text: Spark hashes sets of text, not of binary.
+def shingle_hashes(wide: Column) -> Column:
+    """64-bit hashes of all shingles of a wide line.
 
     The inner function works on a bound variable, since a binary column is copied at every use.
     """
-    cut = lambda w: F.array_distinct(F.transform(_starts(w), lambda i: F.hex(F.substring(w, i, F.lit(4 * SHINGLE)))))
+    cut = lambda w: F.transform(_starts(w), lambda i: F.xxhash64(F.substring(w, i, F.lit(4 * SHINGLE))))
     return F.transform(F.array(wide), cut)[0]
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(id, s0..s15) of (id, norm)."""
-    at = lines.select("id", _wide(F.col("norm")).alias("wide"))
-    at = at.select("id", "wide", F.explode(_starts(F.col("wide"))).alias("i"))
-    h = at.select("id", F.xxhash64(F.substring(F.col("wide"), F.col("i"), F.lit(4 * SHINGLE))).alias("h"))
-    return h.groupBy("id").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"s{j}") for j, m in enumerate(_masks())])
+    """(d1, d2, s0, s1, ...) of lines (d1, d2, norm), one row per distinct line.
+
+    Equal lines have equal signatures, so they meet in the same aggregate and no text is moved.
+    """
+    at = lines.select("d1", "d2", _wide(F.col("norm")).alias("wide"))
+    at = at.select("d1", "d2", "wide", F.explode(_starts(F.col("wide"))).alias("i"))
+    h = at.select("d1", "d2", F.xxhash64(F.substring(F.col("wide"), F.col("i"), F.lit(4 * SHINGLE))).alias("h"))
+    return h.groupBy("d1", "d2").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"s{j}") for j, m in enumerate(_masks())])
 
 
-def similar_pairs(lines: DataFrame, scratch: Scratch, like: int = LIKE) -> DataFrame:
-    """(a, b) of distinct lines (id, norm) whose shingle sets are alike."""
-    sig = signatures(lines)
+def similar_pairs(signed: DataFrame, lines: DataFrame, scratch: Scratch, like: int = LIKE) -> DataFrame:
+    """(a, b) of distinct lines whose shingle sets are alike: ids of ``signed``, texts from ``lines`` (d1, d2, norm)."""
     keys = F.array(*[F.xxhash64(F.lit(i), *[F.col(f"s{j}") for j in band]) for i, band in enumerate(bands())])
-    banded = sig.select("id", F.explode(keys).alias("key"))     # both uses share one exchange of signatures
+    banded = signed.select("id", F.explode(keys).alias("key"))
     full = banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
     met = banded.join(full, "key").select("id", F.explode(F.array("lo", "hi")).alias("peer")).filter("id <> peer")
     pairs = met.select(F.least("id", "peer").alias("a"), F.greatest("id", "peer").alias("b")).distinct()
     pairs = scratch.keep(pairs, "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = scratch.keep(lines.join(asked, "id", "left_semi"), "asked")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    asked = scratch.keep(signed.select("id", "d1", "d2").join(ids, "id", "left_semi"), "asked")
+    # what is asked for grows with the corpus: merged at every size, never broadcast
+    texts = scratch.keep(lines.join(asked.hint("merge"), ["d1", "d2"]).select("id", "norm").dropDuplicates(["id"]), "texts")
     side = lambda c: texts.select(F.col("id").alias(c), F.col("norm").alias(f"{c}_norm"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select(
         "a", "b", _wide(F.col("a_norm")).alias("a_wide"), _wide(F.col("b_norm")).alias("b_wide"))
-    both = both.select("a", "b", shingle_set(F.col("a_wide")).alias("x"), shingle_set(F.col("b_wide")).alias("y"))
+    both = both.select("a", "b", shingle_hashes(F.col("a_wide")).alias("x"), shingle_hashes(F.col("b_wide")).alias("y"))
+    both = both.select("a", "b", F.array_distinct("x").alias("x"), F.array_distinct("y").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     both = both.select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y")).alias("total"))
     return both.filter(100 * F.col("shared") >= like * (F.col("total") - F.col("shared"))).select("a", "b")
@@ -102,23 +107,22 @@ def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", like: in
     own = F.unhex(F.md5(F.concat_ws("\x01", F.coalesce(F.col(id).cast("string"), F.lit("\x02")), text_of(text))))
     at = docs.select(own.alias("own"), F.col(id).alias("doc"), F.posexplode(F.split(text_of(text), "\n")).alias("pos", "line"))
     at = at.select("own", "doc", "pos", normal_form(F.col("line")).alias("norm")).filter("norm <> ''")
-    digest = F.unhex(F.md5("norm"))
-    lines = scratch.keep(at.select("norm").distinct().select(
-        F.monotonically_increasing_id().alias("id"), digest.alias("digest"), "norm"), "distinct")
-
-    links = scratch.keep(similar_pairs(lines.select("id", "norm"), scratch, like), "links")
-    scratch.drop("pairs", "asked")
+    # 128 bits tell lines apart
+    at = at.select("own", "doc", "pos", F.xxhash64("norm").alias("d1"), F.xxhash64(F.lit(1), "norm").alias("d2"), "norm")
+    texts = at.select("d1", "d2", "norm")
+    signed = scratch.keep(signatures(texts).withColumn("id", F.monotonically_increasing_id()), "signed")
+    links = scratch.keep(similar_pairs(signed, texts, scratch, like), "links")
+    scratch.drop("pairs", "asked", "texts")
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
     owner = connected_components(links, ends)
-    group = lines.select("id", "digest").join(owner, F.col("id") == F.col("node"), "left").select(
-        "digest", F.coalesce("component", "id").alias("group"))
-    places = at.select("own", "doc", "pos", digest.alias("digest"))
-    placed = scratch.keep(places.join(group, "digest").select("own", "doc", "pos", "group"), "placed")
+    group = signed.select("id", "d1", "d2").join(owner, F.col("id") == F.col("node"), "left").select(
+        "d1", "d2", F.coalesce("component", "id").alias("group"))
+    placed = scratch.keep(at.drop("norm").join(group, ["d1", "d2"]).select("own", "doc", "pos", "group"), "placed")
     order = F.struct("doc", "pos", "own")
     first = placed.groupBy("group").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     gone = placed.join(first, "group").filter(~((F.col("own") == F.col("first.own")) & (F.col("pos") == F.col("first.pos"))))
     gone = scratch.keep(gone.select("own", "pos").distinct().groupBy("own").agg(F.collect_list("pos").alias("gone")), "gone")
-    scratch.drop("distinct", "placed", "links")
+    scratch.drop("signed", "placed", "links")
 
     parts = F.split(F.col(text), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("gone"))
