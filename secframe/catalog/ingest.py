@@ -9,7 +9,7 @@ from secframe.functions.timeparse import parse_timestamp
 from secframe.functions.values import basename_if_path, first_of
 from secframe.operators.geo import locate
 from secframe.plans.settings import geo_prefixes
-from secframe.session import scratch_path, use_idle_cores
+from secframe.session import scratch_path
 from secframe.sources.normalize import conform
 from secframe.sources.registry import (SOURCES, error_kinds, good_events, ingest_loss, parse_lines,
                                        read_events, write_events)
@@ -21,7 +21,7 @@ DNS_HEADER = "\t".join(["@timestamp", "client_ip", "host", "query", "type", "ans
 
 
 def events(spark, sf):
-    return use_idle_cores(all_events(spark, sf))
+    return all_events(spark, sf).repartition("event_id")
 
 
 def _iso():

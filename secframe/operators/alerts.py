@@ -28,6 +28,11 @@ def alert_id(*parts) -> Column:
     return F.sha1(F.concat_ws("\u0001", *[p.cast("string") for p in parts]))
 
 
+def rule_name_of(rules) -> Column:
+    """The rule's own id, so that alert ids do not move with its place in the list."""
+    return literal_by_rule([r.id for r in rules], "string")
+
+
 def head_columns(**given) -> list:
     return [(given[n] if n in given else F.lit(None)).cast(t).alias(n) for n, t in HEAD]
 
@@ -145,7 +150,7 @@ def single_event_alerts(hits: DataFrame, rules) -> DataFrame:
                               F.col("ev.event_action").alias("action"),
                               F.col("ev.text").alias("text")))
     return folded.select(
-        alert_id(F.col("rule_ix"), F.lit("single"), F.col("ev.t"), F.col("ev.event_seq"))
+        alert_id(rule_name_of(rules), F.lit("single"), F.col("ev.t"), F.col("ev.event_seq"))
         .alias("alert_id"), "rule_ix", "count", F.col("ev.t").alias("first_t"), "last_t",
         "max_bytes", *head_columns(), entities.alias("entities"),
         F.map_from_arrays(F.array().cast("array<string>"),
@@ -182,10 +187,7 @@ def finish(alerts: DataFrame, rules) -> DataFrame:
     """Rule metadata, timestamps and notes."""
     repeats = F.col("repeat_count") - 1
     note = F.concat_ws(" | ", F.when(F.col("note") != "", F.col("note")),
-                       F.array_repeat(F.lit("repeated hit"), repeats))
-    note = F.when(repeats < 5, note).otherwise(
-        F.concat_ws(" | ", F.when(F.col("note") != "", F.col("note")),
-                    F.concat(F.lit("repeated hit x"), repeats.cast("string"))))
+                       F.when(repeats > 0, F.concat(F.lit("repeated hit x"), repeats.cast("string"))))
     return (alerts
             .select("alert_id", *rule_columns(rules), "count", F.timestamp_micros("first_t").alias("first_seen"),
                     F.timestamp_micros("last_t").alias("last_seen"),

@@ -13,15 +13,26 @@ def origin_of(events: DataFrame) -> Column:
     return events.agg(F.min(micros(F.col("ts")))).scalar()
 
 
-def tumbling_buckets(hits: DataFrame, rules, origin: Column) -> DataFrame:
-    """Threshold hits with their group ``key``, ``bucket`` and the rule's distinct value."""
-    spans = [r.span_micros("threshold") if r.threshold else 1 for r in rules]
+def distinct_value(hits: DataFrame, rules) -> Column:
+    """The value whose variety the rule counts, null where it is missing or the rule counts none."""
     resolver = Fields(hits)
     dval = F.lit(None).cast("string")
     for i, r in enumerate(rules):
         if r.threshold.get("distinct_field"):
             text = resolver.resolve(r.threshold["distinct_field"])[0].cast("string")
             dval = F.when(F.col("rule_ix") == i, F.when(text != "", text)).otherwise(dval)
+    return dval
+
+
+def distinct_limits(rules) -> list:
+    return [int(r.threshold.get("min_distinct", 1)) if r.threshold.get("distinct_field") else 0
+            for r in rules]
+
+
+def tumbling_buckets(hits: DataFrame, rules, origin: Column) -> DataFrame:
+    """Threshold hits with their group ``key``, ``bucket`` and the rule's distinct value."""
+    spans = [r.span_micros("threshold") if r.threshold else 1 for r in rules]
+    dval = distinct_value(hits, rules)
     mine = [i for i, r in enumerate(rules) if r.mode == "threshold"]
     rows = hits.filter(~F.col("is_prior") & F.col("rule_ix").isin(mine))
     return rows.select(
@@ -33,8 +44,7 @@ def tumbling_buckets(hits: DataFrame, rules, origin: Column) -> DataFrame:
 def threshold_groups(bucketed: DataFrame, rules) -> DataFrame:
     """Groups at or above their rule's limits: counts combine on the map side."""
     least = [int(r.threshold.get("min_events", 1)) for r in rules]
-    distinct = [int(r.threshold.get("min_distinct", 1)) if r.threshold.get("distinct_field")
-                else 0 for r in rules]
+    distinct = distinct_limits(rules)
     keys = ["rule_ix", "key", "bucket"]
     aggs = [F.count(F.lit(1)).alias("observed"), F.min("t").alias("first_t"),
             F.max("t").alias("last_t")]

@@ -61,10 +61,19 @@ JOURNAL_SCHEMA = ("case_id string, status string, assignee string, note string,
 
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
-    """Append-only decision lines with their order; unreadable lines are dropped later."""
-    lines = spark.read.text(path).withColumn("seq", F.monotonically_increasing_id())
+    """Append-only decision lines with their order; unreadable lines are dropped later.
+
+    A later decision time wins; without one, or at the same time, the younger file and then the
+    later line do.
+    """
+    place = (F.col("_metadata.file_block_start")
+             + F.monotonically_increasing_id().bitwiseAND(F.lit(2 ** 33 - 1)))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_modification_time").alias("age"),
+                                         F.col("_metadata.file_path").alias("file"), place.alias("place"))
     rec = F.from_json(F.when(F.trim("value").endswith("}"), F.col("value")), JOURNAL_SCHEMA)
-    return lines.select("seq", rec.alias("r")).select("seq", "r.*")
+    at = F.try_to_timestamp(F.col("r.decided_at"))
+    return lines.select("age", "file", "place", rec.alias("r")).select(
+        F.struct(at.alias("at"), "age", "file", "place").alias("seq"), "r.*")
 
 
 def latest_decisions(journal: DataFrame, key: str = "case_id", order: str = "seq") -> DataFrame:

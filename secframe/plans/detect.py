@@ -13,7 +13,7 @@ from secframe.operators.travel import first_moves
 from secframe.plans.rules import load_rules, rules_frame
 from secframe.plans.settings import geo_prefixes
 from secframe.schema import LOWERCASED
-from secframe.session import materialize, use_idle_cores
+from secframe.session import materialize
 
 _MEMBER = ["alert_id", "rule_ix", "place", "t", "event_seq", *EVIDENCE]
 
@@ -34,7 +34,7 @@ def threshold_members(hits: DataFrame, rules, origin: Column):
         "%d distinct %s values in %sm", F.col("distinct_count"), field, minutes)).otherwise("")
     keys = ["rule_ix", "key", "bucket"]
     picked = bucketed.join(groups.select(*keys, "distinct_count"), keys).withColumn(
-        "alert_id", A.alert_id(F.col("rule_ix"), F.lit("threshold"), F.col("key"), F.col("bucket")))
+        "alert_id", A.alert_id(A.rule_name_of(rules), F.lit("threshold"), F.col("key"), F.col("bucket")))
     return _members(picked.withColumn("place", F.lit(0)), note=note,
                     distinct_count=F.when(field != "", F.col("distinct_count")))
 
@@ -45,7 +45,7 @@ def sequence_alert_members(hits: DataFrame, rules):
     minutes = literal_by_rule([f"{r.span_micros('sequence') / 6e7:g}" if r.has_sequence else ""
                                for r in rules], "string")
     picked = sequence_members(rows, fired, rules).withColumn(
-        "alert_id", A.alert_id(F.col("rule_ix"), F.lit("sequence"), F.col("key"), F.col("fire_t")))
+        "alert_id", A.alert_id(A.rule_name_of(rules), F.lit("sequence"), F.col("key"), F.col("fire_t")))
     return _members(picked, prior_events=F.col("prior_events"), note=F.format_string(
         "preceded by %d matching prior event(s) in %sm", F.col("prior_events"), minutes))
 
@@ -60,7 +60,7 @@ def travel_members(hits: DataFrame, rules, prefixes: DataFrame):
                            F.bround("km").cast("bigint"), F.bround("minutes").cast("bigint"),
                            F.bround("kmh").cast("bigint"))
     ends = moves.select(
-        "rule_ix", A.alert_id(F.col("rule_ix"), F.lit("travel"), F.col("key")).alias("alert_id"),
+        "rule_ix", A.alert_id(A.rule_name_of(rules), F.lit("travel"), F.col("key"), F.col("a.t")).alias("alert_id"),
         geo.alias("geo"), note.alias("note"), F.posexplode(F.array("a", "b")).alias("place", "e"))
     return _members(ends.select("alert_id", "rule_ix", "place", "e.*", "geo", "note"),
                     geo=F.col("geo"), note=F.col("note"))
@@ -81,7 +81,7 @@ def beacon_members(hits: DataFrame, rules):
               .join(found.select("rule_ix", "key", "window_end", baseline.alias("baseline"),
                                  note.alias("note")), ["rule_ix", "key"])
               .filter((F.col("t") <= F.col("window_end")) & (F.col("t") >= F.col("window_end") - spans))
-              .withColumn("alert_id", A.alert_id(F.col("rule_ix"), F.lit("beacon"), F.col("key")))
+              .withColumn("alert_id", A.alert_id(A.rule_name_of(rules), F.lit("beacon"), F.col("key"), F.col("window_end")))
               .withColumn("place", F.lit(0)))
     return _members(picked, baseline=F.col("baseline"), note=F.col("note"))
 
@@ -97,6 +97,8 @@ def detect(events: DataFrame, rules, origin=None, prefixes: DataFrame | None = N
     """
     spark = events.sparkSession
     rules = load_rules(rules)
+    if not rules:       # no rules, no alerts: the frame of a rule that is never asked
+        return detect(events, [{"id": "none", "condition": {"event.action": ""}}]).filter(F.lit(False))
     modes = {r.mode for r in rules}
     needed = {"ts", "event_seq", *EVIDENCE}
     for r in rules:
@@ -108,7 +110,7 @@ def detect(events: DataFrame, rules, origin=None, prefixes: DataFrame | None = N
                   "source.ip" if r.mode == "travel" else None):
             if f:
                 needed |= {f, f.replace(".", "_")}
-    hits = rule_hits(use_idle_cores(events), rules, lowercased, keep=[c for c in events.columns if c in needed
+    hits = rule_hits(events, rules, lowercased, keep=[c for c in events.columns if c in needed
                                                       and c != "ts"])
     hits = with_evidence(hits)
     if modes != {"single"}:     # every other mode reads the matches more than once

@@ -42,12 +42,3 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def use_idle_cores(df: DataFrame) -> DataFrame:
-    """Spread a small input over the session's cores before CPU-heavy parsing.
-
-    An input that already comes in at least as many splits as there are cores, which is any input
-    of size, is left alone: no shuffle is added there.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

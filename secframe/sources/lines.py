@@ -54,11 +54,14 @@ def parse_json(df: DataFrame, dataset: str | None = None, source_type: str | Non
     df = _lines(df)
     text = F.trim(F.col("_line"))
     names = list(dict.fromkeys([*FIELDS, *vendor_names(source_type), *FAMILY_FIELDS]))
-    known = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_corrupt"]])
+    known = T.StructType([T.StructField(n, T.StringType()) for n in names])
     object_like = text.startswith("{") & text.endswith("}")
-    df = df.withColumn("raw", F.from_json(F.when(object_like, text), known,
-                                          {"columnNameOfCorruptRecord": "_corrupt"}))
-    bad = F.col("raw").isNull() | F.col("raw._corrupt").isNotNull()
+    # as the one element of a list, the line has to be used up by its object
+    listed = F.from_json(F.when(object_like, F.concat(F.lit("["), text, F.lit("]"))),
+                         T.ArrayType(known), {"allowSingleQuotes": "false"})
+    df = df.withColumn("_listed", listed)
+    df = df.withColumn("raw", F.when(F.size("_listed") == 1, F.col("_listed")[0])).drop("_listed")
+    bad = F.col("raw").isNull()
     scalar = F.substring(text, 1, 1).isin("[", '"') | text.rlike(r"^-?[\d.]+$")
     df = _rejected(df, F.when(bad, F.when(scalar, "json not an object").otherwise("bad json")))
     given = clean(F.col("raw").getField("event.dataset"))

@@ -155,7 +155,7 @@ def conform(df: DataFrame) -> DataFrame:
     have = set(df.columns)
     return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType)
                        .alias(f.name) for f in S.EVENT_SCHEMA.fields],
-                     *[c for c in ("_error", "_rejected", "_blank") if c in have])
+                     *[c for c in ("_error", "_rejected", "_blank", "_pos") if c in have])
 
 
 def evaluated_once(df: DataFrame) -> DataFrame:

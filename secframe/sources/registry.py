@@ -1,11 +1,11 @@
 """Configured sources -> one event stream, loss accounting and sinks."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
 from secframe.schema import EVENT_SCHEMA
-from secframe.session import use_idle_cores
+from secframe.session import materialize
 from secframe.sources.lines import parse_apache, parse_delimited, parse_json, parse_syslog
 from secframe.sources.normalize import normalize
 
@@ -45,22 +45,67 @@ def parse_lines(lines: DataFrame, spec: dict, source: str | None = None,
                      spec.get("offset", "+00:00"))
 
 
-def read_source(spark: SparkSession, path: str, spec: dict, source: str) -> DataFrame:
-    """Text scan of one source.  The header of a delimited file is its first line."""
-    lines = use_idle_cores(spark.read.text(path))
-    header = None
-    if spec.get("type") == "csv":
-        first = lines.filter(F.trim("value") != "").limit(1).collect()   # one line, by design
-        header = first[0][0] if first else ""
-    return parse_lines(lines, spec, source, header)
+#: bits of ``_pos`` below the file number: files of up to 8 TB, a million of them
+_PLACE_BITS = 43
+
+
+def _plain_path(path: Column) -> Column:
+    """Spark spells the scheme's slashes in two ways."""
+    return F.regexp_replace(path, "^([A-Za-z0-9]+):/+", "$1:/")
+
+
+def located_lines(spark: SparkSession, path: str, first_file: int = 0):
+    """(lines with ``_file`` and ``_pos``, number of files).
+
+    ``_pos`` follows file name, then position.  A split of a file starts at a byte offset and holds
+    fewer lines than bytes, so offset plus line number in the task grows along the file however
+    the scan is cut.
+    """
+    lines = spark.read.text(path)
+    files = sorted(lines.inputFiles())
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit(2 ** 33 - 1))
+    lines = lines.select("value", _plain_path(F.col("_metadata.file_path")).alias("_file"),
+                         (F.col("_metadata.file_block_start") + row).alias("_at"))
+    names = spark.createDataFrame([(f, first_file + i) for i, f in enumerate(files)], "name string, ix bigint")
+    names = names.select(_plain_path(F.col("name")).alias("_file"), "ix")
+    numbered = lines.join(names, "_file").select(
+        "value", "_file", (F.shiftleft("ix", _PLACE_BITS) + F.col("_at")).alias("_pos"))
+    return numbered, len(files)
+
+
+def file_headers(lines: DataFrame) -> DataFrame:
+    """(_file, header): the first line of each file that is not blank."""
+    return (lines.filter(F.trim("value") != "").groupBy("_file")
+            .agg(F.min_by("value", "_pos").alias("header")))
+
+
+def read_source(spark: SparkSession, path: str, spec: dict, source: str, first_file: int = 0):
+    """(records of one source, number of files).
+
+    Each delimited file has its own header, unless the spec names one (``header_line``), which
+    also saves the pass that looks for them.
+    """
+    lines, n = located_lines(spark, path, first_file)
+    if spec.get("type") != "csv" or "header_line" in spec:
+        return parse_lines(lines, spec, source), n
+    heads = materialize(file_headers(lines), "headers")
+    kinds = [r[0] for r in heads.select("header").distinct().orderBy("header").collect()]
+    parts = [parse_lines(lines.join(heads.filter(F.col("header") == h).select("_file"), "_file"), spec, source, h)
+             for h in kinds] or [parse_lines(lines, spec, source, "")]
+    records = parts[0]
+    for p in parts[1:]:
+        records = records.unionByName(p, allowMissingColumns=True)
+    return records, n
 
 
 def read_sources(spark: SparkSession, root: str, sources: dict = SOURCES):
     """All configured sources -> (records with bookkeeping, names of missing sources)."""
-    frames, missing = [], []
+    frames, missing, files = [], [], 0
     for name, spec in sources.items():
         try:
-            frames.append(read_source(spark, f"{root.rstrip('/')}/{spec['file']}", spec, name))
+            records, n = read_source(spark, f"{root.rstrip('/')}/{spec['file']}", spec, name, files)
+            frames.append(records)
+            files += n
         except AnalysisException as exc:
             if "PATH_NOT_FOUND" not in str(exc):
                 raise
@@ -72,8 +117,12 @@ def read_sources(spark: SparkSession, root: str, sources: dict = SOURCES):
 
 
 def good_events(records: DataFrame) -> DataFrame:
-    """Accepted events with a sequence number that is unique over all sources."""
-    numbered = records.withColumn("event_seq", F.monotonically_increasing_id())
+    """Accepted events with a sequence number that is unique over all sources.
+
+    Records read from files are numbered by source, file and position; others as they come.
+    """
+    seq = F.col("_pos") if "_pos" in records.columns else F.monotonically_increasing_id()
+    numbered = records.withColumn("event_seq", seq)
     return numbered.filter(F.col("_error").isNull() & ~F.col("_blank")).select(
         *[f.name for f in EVENT_SCHEMA.fields])
 

@@ -10,6 +10,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from secframe.functions.values import floor_div, micros
 from secframe.operators.correlate import dedup_alerts, incidents
 from secframe.operators.hits import key_by_rule, literal_by_rule, rule_hits
+from secframe.operators.threshold import distinct_limits, distinct_value
 from secframe.plans.rules import load_rules
 from secframe.schema import EVENT_SCHEMA, LOWERCASED
 from secframe.sources.registry import ingest_loss, parse_lines, write_events
@@ -37,21 +38,22 @@ def stream_ingest(lines: DataFrame, spec: dict, source: str, events_path: str, l
 # ---------------------------------------------------------------- thresholds
 def stream_threshold_counts(events: DataFrame, rules, span_minutes: float, delay: str = "10 minutes",
                             lowercased=LOWERCASED) -> DataFrame:
-    """Counts per (rule, key, tumbling window) for the threshold rules of one window length.
+    """Counts per (rule, key, tumbling window, distinct value) for the threshold rules of one length.
 
-    Windows are aligned to the epoch.  State is one counter per open group; rows later than the
-    watermark are dropped.
+    Windows are aligned to the epoch.  State is one counter per open group and value of the rule's
+    distinct field (null for rules without one); rows later than the watermark are dropped.
     """
     rules = load_rules(rules)
     hits = rule_hits(events, rules, lowercased)
     mine = [i for i, r in enumerate(rules) if r.threshold
             and r.span_micros("threshold") == int(span_minutes * 60_000_000)]
     keyed = hits.filter(F.col("rule_ix").isin(mine) & ~F.col("is_prior")).select(
-        "rule_ix", key_by_rule(hits, rules, "threshold").alias("key"), F.col("ts"))
+        "rule_ix", key_by_rule(hits, rules, "threshold").alias("key"),
+        distinct_value(hits, rules).alias("value"), F.col("ts"))
     window = F.window("ts", f"{int(span_minutes * 60)} seconds")
-    return (keyed.withWatermark("ts", delay).groupBy("rule_ix", "key", window)
+    return (keyed.withWatermark("ts", delay).groupBy("rule_ix", "key", "value", window)
             .agg(F.count(F.lit(1)).alias("observed"))
-            .select("rule_ix", "key", F.col("window.start").alias("window_start"), "observed"))
+            .select("rule_ix", "key", "value", F.col("window.start").alias("window_start"), "observed"))
 
 
 def upsert_counts(path: str):
@@ -62,12 +64,15 @@ def upsert_counts(path: str):
 
 
 def current_counts(spark: SparkSession, path: str, rules) -> DataFrame:
-    """Latest count of every group, kept where it reaches the rule's limit."""
+    """Latest counts of every group, kept where events and distinct values reach the rule's limits."""
     rules = load_rules(rules)
     least = literal_by_rule([int(r.threshold.get("min_events", 1)) for r in rules], "bigint")
-    return (spark.read.parquet(path).groupBy("rule_ix", "key", "window_start")
+    variety = literal_by_rule(distinct_limits(rules), "bigint")
+    return (spark.read.parquet(path).groupBy("rule_ix", "key", "window_start", "value")
             .agg(F.max_by("observed", "batch").alias("observed"))
-            .filter(F.col("observed") >= least))
+            .groupBy("rule_ix", "key", "window_start")
+            .agg(F.sum("observed").alias("observed"), F.count("value").alias("distinct_count"))
+            .filter((F.col("observed") >= least) & (F.col("distinct_count") >= variety)))
 
 
 # ---------------------------------------------------------------- sequences

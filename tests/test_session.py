@@ -2,7 +2,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from secframe.session import materialize, shared_dir, use_idle_cores
+from secframe.session import materialize, shared_dir
 
 
 def fake(master, folder=None):
@@ -18,9 +18,6 @@ def test_shared_folder_comes_from_the_session():
         shared_dir(fake("yarn"))
 
 
-def test_materialize_and_spread(spark):
+def test_materialize(spark):
     df = spark.range(10).repartition(1)
     assert sorted(r.id for r in materialize(df, "t").collect()) == list(range(10))
-    assert use_idle_cores(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    wide = spark.range(100, numPartitions=64)
-    assert use_idle_cores(wide) is wide
