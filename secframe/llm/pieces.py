@@ -20,8 +20,8 @@ SPACE = "▁"
 NO_PAIR = np.int32(2 ** 31 - 1)
 #: Characters of distinct words that are merged at a time.
 ROUND_CHARS = 400_000
-#: Words whose ids a worker remembers.
-REMEMBERED = 250_000
+#: Words whose ids a worker remembers, none longer than LONG characters.
+REMEMBERED, LONG = 250_000, 64
 MODEL = "piece_bpe_32k.model"
 
 
@@ -188,7 +188,11 @@ class PieceBpe:
                 start, chars = i, 0
             chars += len(w)
         kind = self.tables.id_type
-        return [np.frombuffer(b"".join([memory[w] for w in words]), kind) for words in split]
+        out = [np.frombuffer(b"".join([memory[w] for w in words]), kind) for words in split]
+        for w in new:
+            if len(w) > LONG:
+                del memory[w]
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: the first piece loses one leading space, bytes that are no UTF-8 become U+FFFD."""

@@ -26,10 +26,11 @@ END_ID = 0
 #: Frequencies add up to 2 ** SCALE; states lie in [2 ** 31, 2 ** 63) and move 32 bits at a time.
 SCALE, LANES = 20, 1024
 BLOCK_TOKENS, FILE_BYTES = 131_072, 256 << 20
-REMEMBERED = 300_000
+#: Words a worker remembers, none longer than LONG characters.
+REMEMBERED, LONG = 500_000, 64
 _U = np.uint64
 _HEAD = struct.Struct("<4sIQIQI")     # mark, documents, tokens, lanes, words, crc32 of the rest
-_MARK = b"rANB"
+_BLOCK = b"rANB"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -40,32 +41,59 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 # ---------------------------------------------------------------- tokens
 
 #: A single space between characters that are no white space, where pre-tokens of this vocabulary always part.
-_JOINT = re.compile(r"(?<=[^\s᠎​]) (?=[^\s᠎​])")
+_JOINT = re.compile("(?<=[^\\s\u180e\u200b]) (?=[^\\s\u180e\u200b])")
+#: Between a letter and one of these marks they part as well.
+_MARK = re.compile("(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,!?;:&$%#*])")
+_ODD_ASCII = ("  ", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
+_ODD_WIDE = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
+
+
+def joints(text: str) -> list[str]:
+    """The text cut at its joints; the spaces there are left out."""
+    if text[:1] == " " or text[-1:] == " " or any(o in text for o in _ODD_ASCII) or not text.isascii() and _ODD_WIDE.search(text):
+        return _JOINT.split(text)
+    return text.split(" ")          # every space is a joint
 
 
 class Encoder:
-    """Ids of texts by way of their space-separated pieces, each of which the library encodes once."""
+    """Ids of texts by way of their space-separated words; the library encodes each new stem or mark once."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.library, self.remembered, self.memory = Tokenizer.from_file(path), remembered, {}
+        self.library, self.remembered, self.words, self.parts = Tokenizer.from_file(path), remembered, {}, {}
         self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
 
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece, put together from its parts."""
+        if len(self.parts) > self.remembered:
+            self.parts = {}
+        parts = self.parts
+        split = [_MARK.split(w) for w in pieces]
+        new = list({x for xs in split for x in xs if x not in parts})
+        for x, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
+            parts[x] = np.array(e.ids, self.kind).tobytes()
+        out = [b"".join([parts[x] for x in xs]) for xs in split]
+        for x in new:
+            if len(x) > LONG:
+                del parts[x]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text with the end id."""
-        if len(self.memory) > self.remembered:
-            self.memory = {}
-        memory = self.memory
-        split = []
-        for t in texts:
-            first, *rest = _JOINT.split(t)
-            split.append([first, *[" " + w for w in rest]])
-        new = list({w for words in split for w in words if w not in memory})
-        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            memory[w] = np.array(e.ids, self.kind).tobytes()
+        if len(self.words) > self.remembered:
+            self.words = {}
+        words = self.words              # by the word without the space before it
+        cut = [joints(t) for t in texts]
+        heads = self._learn([ws[0] for ws in cut])
+        new = list({w for ws in cut for w in ws[1:] if w not in words})
+        words.update(zip(new, self._learn([" " + w for w in new])))
         end = np.array([END_ID], self.kind).tobytes()
-        return [b"".join([memory[w] for w in words]) + end for words in split]
+        out = [b"".join([head, *[words[w] for w in ws[1:]], end]) for head, ws in zip(heads, cut)]
+        for w in new:
+            if len(w) > LONG:
+                del words[w]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -169,14 +197,14 @@ def block_bytes(table: Table, doc_ids: list, ids: list[np.ndarray]) -> bytes:
     named = np.array([d is not None for d in doc_ids], np.uint8)
     body = b"".join([named.tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
                      np.array([len(x) for x in ids], "<i8").tobytes(), states.astype("<u8").tobytes(), words.tobytes()])
-    return _HEAD.pack(_MARK, len(ids), len(flat), len(states), len(words), zlib.crc32(body)) + body
+    return _HEAD.pack(_BLOCK, len(ids), len(flat), len(states), len(words), zlib.crc32(body)) + body
 
 
 def read_block(table: Table, data: bytes) -> tuple[list, list[np.ndarray]]:
     """(document ids, token ids of each); raises if the checksum or the decoding is off."""
     mark, docs, tokens, lanes, n, crc = _HEAD.unpack_from(data)
     body = memoryview(data)[_HEAD.size:]
-    if mark != _MARK or zlib.crc32(body) != crc or len(body) != docs * 17 + lanes * 8 + n * 4:
+    if mark != _BLOCK or zlib.crc32(body) != crc or len(body) != docs * 17 + lanes * 8 + n * 4:
         raise ValueError("damaged block")
     named = np.frombuffer(body, np.uint8, docs)
     names = np.frombuffer(body, "<i8", docs, docs)
