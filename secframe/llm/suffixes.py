@@ -24,7 +24,7 @@ from secframe.llm.storage import slices
 
 WIDTH, GRAM, BLOCK = 200, 64, 40
 #: Bytes of contents that are merged at a time, and of one shard.
-MERGE_BYTES, SHARD_BYTES = 1 << 20, 1 << 18
+MERGE_BYTES, SHARD_BYTES = 1 << 18, 1 << 16
 #: With more contents of one hash than this, each of their windows is counted by itself instead.
 HOT_CONTENTS = 20_000
 
@@ -227,7 +227,7 @@ def _merged(merge_bytes: int, shard_bytes: int):
 
 
 def _segment_rows(batches):
-    for batch in slices(batches, 2, 1 << 20):
+    for batch in slices(batches, 2, 1 << 18):
         text, first, count, gram, content, looped = segments([t.encode() for t in batch.column(2).to_pylist()])
         take = pa.array(text)
         yield pa.RecordBatch.from_arrays(
