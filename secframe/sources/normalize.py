@@ -42,7 +42,7 @@ def _aliased(df: DataFrame, source_type: str) -> DataFrame:
     else:
         listed = get("tags")
         out["tags"] = _tags(listed) if listed is not None else F.array().cast("array<string>")
-    keep = [c for c in ("ts", "source", "event_seq", "raw", "extra", "_error", "_rejected", "_blank")
+    keep = [c for c in ("ts", "source", "event_seq", "raw", "extra", "_error", "_rejected", "_blank", "_pos")
             if c in df.columns]
     return df.select(*keep, *[e.alias(n) for n, e in out.items()])
 

@@ -74,3 +74,27 @@ def test_registry_and_sink(spark, tmp_path):
     assert back.count() == 2 and back.select("event_seq").distinct().count() == 2
     scan = back.filter(F.col("event_dataset") == "firewall")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in scan and "event_dataset" in scan.split("PartitionFilters")[1][:120]
+
+
+def test_delimited_files_have_their_own_headers(spark, tmp_path):
+    other = "action,@timestamp,src_ip"
+    folder = tmp_path / "firewall.csv"
+    folder.mkdir()
+    row = "2026-09-02T08:20:%02d+0530,DENY,1.2.3.%d,9,10.0.0.1,22,1,tcp,d,h,"
+    for f in range(3):
+        (folder / f"part-{f}.csv").write_text(
+            FW + "\n" + "\n".join(row % (i, f * 20 + i) for i in range(20)) + "\n")
+    (folder / "part-9.csv").write_text("\n" + other + "\nALLOW,2026-09-02T09:00:00+0530,9.9.9.9\n")
+    records, _ = read_sources(spark, str(tmp_path))
+    events = good_events(records).orderBy("event_seq").collect()
+    assert [e.source_ip for e in events] == [f"1.2.3.{i}" for i in range(60)] + ["9.9.9.9"]
+    loss = ingest_loss(records).first()
+    assert (loss.lines, loss.parsed, loss.parse_errors) == (66, 61, 0)
+
+
+def test_json_lines_are_whole_objects(spark):
+    good = '{"@timestamp":"2026-09-02T03:20:00+00:00","event.action":"x"}'
+    df = parse_lines(lines(spark, good, good + " tail}", good + good, good + "," + good,
+                           good.replace('"', "'")), SOURCES["auth"], "auth")
+    loss = ingest_loss(df).first()
+    assert (loss.lines, loss.parsed, loss.parse_errors) == (5, 1, 4)
