@@ -141,7 +141,7 @@ def attack_coverage(alerts: DataFrame) -> DataFrame:
 
 def evidence_export(alerts: DataFrame, incidents: DataFrame, membership: DataFrame) -> DataFrame:
     """Flat alert rows with their incident, joined on the alert itself."""
-    joined = [F.substring(F.coalesce(F.array_join(entity(k), ", "), F.lit("")), 1, 80).alias(n)
+    joined = [F.coalesce(F.array_join(entity(k), ", "), F.lit("")).alias(n)
               for k, n in (("user_name", "user"), ("host_name", "host"), ("source_ip", "source_ip"),
                            ("destination_domain", "dest_domain"), ("process_name", "process"))]
     case = membership.join(incidents.select("component", "case_id", "status"), "component")

@@ -17,7 +17,6 @@ APACHE_LINE = (r'^(\S+) (\S+) (\S+) \[([^\]]+)\] "([^"]*)" (\d{3}) (-|\d+)'
                r'(?: "([^"]*)" "([^"]*)")?')
 SYSLOG_LINE = (r'^(\w{3}\s+\d{1,2} \d{2}:\d{2}:\d{2}) (\S+) ([\w\-\.]+)(?:\[(\d+)\])?: ?(.*)$')
 KEY_VALUE = r'(\w+)="((?:[^"\\]|\\.)*)"|(\w+)=([^\s"]+)'
-_RAW_CHARS, _ORIGINAL_CHARS = 200, 500
 
 # vendor fields the normalizer reads besides the alias tables
 FAMILY_FIELDS = ("EventID", "Image", "SourceImage", "ParentImage", "CommandLine", "TargetImage",
@@ -36,7 +35,7 @@ def _lines(df: DataFrame) -> DataFrame:
 def _rejected(df: DataFrame, error: Column) -> DataFrame:
     bad = F.when(~F.col("_blank"), error)
     return df.withColumn("_error", bad).withColumn(
-        "_rejected", F.when(bad.isNotNull(), F.substring("_line", 1, _RAW_CHARS)))
+        "_rejected", F.when(bad.isNotNull(), F.col("_line")))
 
 
 def last_wins(pairs: Column) -> Column:
@@ -92,8 +91,8 @@ def parse_apache(df: DataFrame, dataset: str = "web") -> DataFrame:
         F.when(size == "-", F.lit(0)).otherwise(size.try_cast("bigint")).cast("bigint")
         .alias("network_bytes"),
         F.lit("inbound").alias("network_direction"), clean(word("_who", 2)).alias("user_name"),
-        F.array(F.concat(F.lit("ua:"), F.substring(agent, 1, 64))).alias("tags"),
-        F.substring(line, 1, _ORIGINAL_CHARS).alias("event_original")
+        F.array(F.concat(F.lit("ua:"), agent)).alias("tags"),
+        line.alias("event_original")
     ).drop("_q", "_who", "_req", "_res")
 
 
@@ -128,7 +127,7 @@ def parse_syslog(df: DataFrame, dataset: str = "auth") -> DataFrame:
         F.coalesce(kv("ip"), F.when(spoken_ip != "", spoken_ip)).alias("source_ip"),
         kv("user").alias("user_name"), F.col("_host").alias("host_name"),
         F.lower(F.col("_prog")).alias("process_name"),
-        F.substring(line, 1, _ORIGINAL_CHARS).alias("event_original"),
+        line.alias("event_original"),
         F.array(F.concat(F.lit("prog:"), F.col("_prog"))).alias("tags"),
         F.map_filter("raw", lambda k, v: ~k.isin([*vendor_names("SSH"), *FIELDS])).alias("extra")
     ).drop("_pairs", "_body", "_prog", "_host")
