@@ -44,10 +44,14 @@ def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """Hash of the ``size`` bytes (a multiple of 8, 64 at most) from every place that has them."""
     if len(data) < size:
         return np.zeros(0, U64)
-    powers, step = {1: _BYTE[data]}, 1
-    while 2 * step <= size:
-        h = powers[step]
-        powers[2 * step] = _join(h[:-step], h[step:])
+    # only the powers of two that make up the size are held
+    h, step, powers = _BYTE[data], 1, {}
+    while True:
+        if size & step:
+            powers[step] = h
+        if 2 * step > size:
+            break
+        h = _join(h[:-step], h[step:])
         step *= 2
     out, done = None, 0
     for step in sorted(powers, reverse=True):
