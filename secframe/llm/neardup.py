@@ -15,9 +15,9 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from secframe.llm.common import Scratch, table, text_of
+from secframe.llm.grouping import first_stars, groups, shares
 from secframe.llm.hashing import U64, WordHashes, chain, mix
 from secframe.llm.storage import slices
-from secframe.operators.components import connected_components
 
 SHINGLE = 5
 #: Documents link when their shingle sets have this Jaccard similarity, in hundredths.
@@ -125,7 +125,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", lik
     component: its component is null and it is kept.  An empty table gives an empty result.
 
     Equal sets are one class, joined to the smallest id.  Only classes are banded; the members of a
-    band meet its smallest and its largest id, and every such pair is checked on whole sets.
+    band meet its smallest and its largest id, and every such pair is checked on whole sets.  Pairs
+    of other members go on to ``grouping`` until they are linked or known not to be alike.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
@@ -137,23 +138,24 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", lik
         F.col("id").alias("a"), F.col("rep").alias("b"))
     heads = named.join(classes, "digest").filter("id = rep").select("id", "keys")
     banded = scratch.keep(heads.select("id", F.explode("keys").alias("key")), "bands")
-    full = banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
-    met = banded.join(full, "key").select("id", F.explode(F.array("lo", "hi")).alias("peer")).filter("id <> peer")
-    pairs = scratch.keep(met.select(F.least("id", "peer").alias("a"), F.greatest("id", "peer").alias("b")).distinct(), "pairs")
+    pairs, between = first_stars(banded)
+    pairs = scratch.keep(pairs, "pairs")
+    between = scratch.keep(between, "between")
     scratch.drop("bands")
     asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     # the ids asked for grow with the corpus: merged at every size, never broadcast
     texts = base.join(asked.hint("merge"), "id", "left_semi").select("id", "text")
     sets = scratch.keep(texts.mapInArrow(_sets, "id bigint, members array<bigint>").filter(F.size("members") > 0), "sets")
     side = lambda c: sets.select(F.col("id").alias(c), F.col("members").alias(f"{c}_set"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    shared = F.size(F.array_intersect("a_set", "b_set"))
-    both = both.select("a", "b", shared.alias("shared"), (F.size("a_set") + F.size("b_set")).alias("total"))
-    alike = both.filter(100 * F.col("shared") >= like * (F.col("total") - F.col("shared"))).select("a", "b")
-    links = scratch.keep(alike.unionByName(member).distinct(), "links")
-    scratch.drop("sets", "pairs")
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
-    owner = connected_components(links, ends)
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        return both.filter(shares(F.col("a_set"), F.col("b_set"), like)).select("a", "b")
+
+    links = scratch.keep(alike(pairs).unionByName(member).distinct(), "links")
+    scratch.drop("pairs")
+    owner = groups(between, links, alike, lambda ids: ids.join(sets, "id"), scratch, like)
+    scratch.drop("sets")
     return signed.select("id", "n").join(owner, F.col("id") == F.col("node"), "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
         F.coalesce("component", "id").alias("component_id"),

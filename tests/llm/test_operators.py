@@ -228,3 +228,21 @@ def test_toxicity(spark, docs, empty, rows):
     assert T.toxicity(docs, labels).count() == len(rows) and T.toxicity(empty, labels).count() == 0
     none = T.toxicity(docs, labels.filter("toxic > 5")).collect()
     assert len({r.score for r in none}) == 1 and not any(r.predicted for r in none)
+
+
+def test_near_duplicates_between_the_ends_of_a_band(spark):
+    """Light copies (0.85 to each other) among heavy ones (0.62 to all): every band's ends are heavy."""
+    rnd = random.Random(21)
+    base = [f"b{i}" for i in range(400)]
+
+    def copy(n, edits):
+        out = list(base)
+        for at in range(3, 400, 400 // edits):
+            out[min(399, at + rnd.randrange(400 // edits - 5))] = f"n{n}_{at}"
+        return " ".join(out)
+    heavy = {i: copy(i, 18) for i in [*range(200), *range(5000, 5200)]}
+    light = {i: copy(i, 5) for i in range(1000, 1010)}
+    texts = heavy | light
+    got = M.near_duplicates(spark.createDataFrame(sorted(texts.items()), "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute.near(texts)
+    assert len({brute.near(light)[i] for i in light}) == 1
