@@ -2,14 +2,15 @@
 
 Equal lines are one node from the start: their signature is one aggregate over exploded shingles.
 Lines that share a band meet the first and the last line of that band, each such pair is checked on
-whole shingle sets, and components keep the line that comes first.
+whole shingle sets, pairs of the lines between go on to ``grouping`` until they are linked or known
+not to be alike, and components keep the line that comes first.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from secframe.llm.common import Scratch, table, text_of
-from secframe.operators.components import connected_components
+from secframe.llm.grouping import first_stars, groups, shares
 
 SHINGLE = 8
 #: Lines link when their shingle sets have this Jaccard similarity, in hundredths.
@@ -72,26 +73,33 @@ def signatures(lines: DataFrame) -> DataFrame:
     return h.groupBy("d1", "d2").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"s{j}") for j, m in enumerate(_masks())])
 
 
-def similar_pairs(signed: DataFrame, lines: DataFrame, scratch: Scratch, like: int = LIKE) -> DataFrame:
-    """(a, b) of distinct lines whose shingle sets are alike: ids of ``signed``, texts from ``lines`` (d1, d2, norm)."""
+def similar_groups(signed: DataFrame, lines: DataFrame, scratch: Scratch, like: int = LIKE) -> DataFrame:
+    """(node, component) of distinct lines whose shingle sets are alike: ids of ``signed``, texts from ``lines`` (d1, d2, norm)."""
     keys = F.array(*[F.xxhash64(F.lit(i), *[F.col(f"s{j}") for j in band]) for i, band in enumerate(bands())])
-    banded = signed.select("id", F.explode(keys).alias("key"))
-    full = banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
-    met = banded.join(full, "key").select("id", F.explode(F.array("lo", "hi")).alias("peer")).filter("id <> peer")
-    pairs = met.select(F.least("id", "peer").alias("a"), F.greatest("id", "peer").alias("b")).distinct()
+    pairs, between = first_stars(signed.select("id", F.explode(keys).alias("key")))
     pairs = scratch.keep(pairs, "pairs")
+    between = scratch.keep(between, "between")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     asked = scratch.keep(signed.select("id", "d1", "d2").join(ids, "id", "left_semi"), "asked")
     # what is asked for grows with the corpus: merged at every size, never broadcast
     texts = scratch.keep(lines.join(asked.hint("merge"), ["d1", "d2"]).select("id", "norm").dropDuplicates(["id"]), "texts")
     side = lambda c: texts.select(F.col("id").alias(c), F.col("norm").alias(f"{c}_norm"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select(
-        "a", "b", _wide(F.col("a_norm")).alias("a_wide"), _wide(F.col("b_norm")).alias("b_wide"))
-    both = both.select("a", "b", shingle_hashes(F.col("a_wide")).alias("x"), shingle_hashes(F.col("b_wide")).alias("y"))
-    both = both.select("a", "b", F.array_distinct("x").alias("x"), F.array_distinct("y").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    both = both.select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y")).alias("total"))
-    return both.filter(100 * F.col("shared") >= like * (F.col("total") - F.col("shared"))).select("a", "b")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(side("a"), "a").join(side("b"), "b").select(
+            "a", "b", _wide(F.col("a_norm")).alias("a_wide"), _wide(F.col("b_norm")).alias("b_wide"))
+        both = both.select("a", "b", shingle_hashes(F.col("a_wide")).alias("x"), shingle_hashes(F.col("b_wide")).alias("y"))
+        both = both.select("a", "b", F.array_distinct("x").alias("x"), F.array_distinct("y").alias("y"))
+        return both.filter(shares(F.col("x"), F.col("y"), like)).select("a", "b")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        wide = ids.join(texts, "id").select("id", "c", _wide(F.col("norm")).alias("wide"))
+        return wide.select("id", "c", shingle_hashes(F.col("wide")).alias("h")).select("id", "c", F.array_distinct("h").alias("members"))
+
+    links = scratch.keep(alike(pairs), "links")
+    owner = groups(between, links, alike, sets_of, scratch, like)
+    scratch.drop("pairs", "asked", "texts", "links")
+    return owner
 
 
 def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", like: int = LIKE) -> DataFrame:
@@ -111,10 +119,7 @@ def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", like: in
     at = at.select("own", "doc", "pos", F.xxhash64("norm").alias("d1"), F.xxhash64(F.lit(1), "norm").alias("d2"), "norm")
     texts = at.select("d1", "d2", "norm")
     signed = scratch.keep(signatures(texts).withColumn("id", F.monotonically_increasing_id()), "signed")
-    links = scratch.keep(similar_pairs(signed, texts, scratch, like), "links")
-    scratch.drop("pairs", "asked", "texts")
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
-    owner = connected_components(links, ends)
+    owner = similar_groups(signed, texts, scratch, like)
     group = signed.select("id", "d1", "d2").join(owner, F.col("id") == F.col("node"), "left").select(
         "d1", "d2", F.coalesce("component", "id").alias("group"))
     placed = scratch.keep(at.drop("norm").join(group, ["d1", "d2"]).select("own", "doc", "pos", "group"), "placed")
@@ -122,7 +127,7 @@ def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", like: in
     first = placed.groupBy("group").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     gone = placed.join(first, "group").filter(~((F.col("own") == F.col("first.own")) & (F.col("pos") == F.col("first.pos"))))
     gone = scratch.keep(gone.select("own", "pos").distinct().groupBy("own").agg(F.collect_list("pos").alias("gone")), "gone")
-    scratch.drop("signed", "placed", "links")
+    scratch.drop("signed", "placed")
 
     parts = F.split(F.col(text), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("gone"))
