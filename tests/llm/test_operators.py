@@ -262,3 +262,18 @@ def test_line_twins_inside_a_template_family(spark):
     want = brute.dedup_lines(texts)
     wrong = sum(got[i] != want[i] for i in texts)
     assert wrong <= 5          # pairs that share no band: one in a hundred at 0.80
+
+
+def test_proximity_of_an_edited_passage(spark):
+    item = [f"w{i}" for i in range(10, 20)]
+    docs = [(1, "a b " + " ".join(item)), (2, "c " + " ".join(item).replace("w14 w15", "w14 more w15") + " d"),
+            (3, " ".join(item).replace("w16", "other")), (4, " ".join(reversed(item))), (5, " ".join(item[:5]) + " x" * 9 + " " + " ".join(item[5:]))]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    for part in (docs, docs[1:]):                  # with and without a verbatim copy elsewhere
+        df = spark.createDataFrame(part, "doc_id bigint, text string")
+        got = {r.doc_id: (r.contaminated, r.n_near) for r in D.decontaminate(df, bench).collect()}
+        want = {1: (True, 1), 2: (False, 1), 3: (False, 1), 4: (False, 0), 5: (False, 0)}
+        assert got == {i: want[i] for i, _ in part}
+    found = D.passages(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect()
+    assert (1, "7", 2, "exact") in {tuple(r) for r in found} and (2, "7", 1, "near") in {tuple(r) for r in found}
+    assert {r.doc_id for r in found} == {1, 2, 3}
