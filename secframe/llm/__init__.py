@@ -1,5 +1,5 @@
 """Operators for training corpora, each with the query that applies it to its whole table."""
-from secframe.llm import decontaminate, licenses, lines, neardup, pieces, quality, rans, suffixes, toxicity, warc
+from secframe.llm import bytenet, decontaminate, hardneg, licenses, lines, neardup, pieces, quality, ranking, rans, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_range_coding": rans.op1_range_coding,
@@ -12,9 +12,14 @@ QUERIES = {
     "op8_superminhash": neardup.op8_superminhash,
     "op9_warc": warc.op9_warc,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
+    "op11_ranked_search": ranking.op11_ranked_search,
+    "op12_hard_negatives": hardneg.op12_hard_negatives,
+    "op13_quality_bytes": bytenet.op13_quality_bytes,
 }
 SQL = {
     "op6_quality_rules": quality.OP6_SQL,
     "op8_superminhash": neardup.OP8_SQL,
     "op10_benchmark_decontamination": decontaminate.OP10_SQL,
+    "op11_ranked_search": ranking.OP11_SQL,
+    "op12_hard_negatives": hardneg.OP12_SQL,
 }
