@@ -29,7 +29,7 @@ CUT = 0.7
 BINS, PER_UNIT = 401, 10
 SLICE_BYTES, RUN = 500_000, 1 << 20
 PAD = 256
-_TAIL = np.full(WIDTH - 1, PAD, np.int32)
+_TAIL = np.full(WIDTH, PAD, np.int32)
 
 
 def chunk_starts(size: int) -> np.ndarray:

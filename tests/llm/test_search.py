@@ -170,7 +170,7 @@ def test_byte_network_alone(monkeypatch):
     texts = [bytes(rnd.integers(0, 256, n).astype(np.uint8)) for n in (0, 1, 7, 511, 512, 513, 960, 4000)]
 
     def plain(text):
-        data = np.concatenate([np.frombuffer(text, np.uint8).astype(int), [256] * 7])
+        data = np.concatenate([np.frombuffer(text, np.uint8).astype(int), [256] * 8])
         h = []
         for a in range(0, max(1, len(text) - 64), 448):
             z = [sum(net.p["e"][data[p + j]] @ net.p["w"][j] for j in range(8)) for p in range(a, min(a + 512, max(1, len(text))))]
