@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from secframe.llm.common import table, text_of
+from secframe.llm.common import Scratch, table, text_of
 from secframe.llm.storage import slices
 
 DIM, FILTERS, WIDTH = 8, 16, 8
@@ -43,7 +43,6 @@ class Network:
         self.p = {"e": rng.normal(0, 0.5, (257, DIM)).astype(np.float32), "w": rng.normal(0, 0.25, (WIDTH, DIM, FILTERS)).astype(np.float32),
                   "b": np.full(FILTERS, 0.1, np.float32), "v": rng.normal(0, 0.3, 2 * FILTERS).astype(np.float32), "c": np.zeros(1, np.float32)}
         self.p["e"][PAD] = 0
-        self.shift = 0.0
 
     def _batch(self, docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> dict:
         """Gradients of the weighted log loss; only the places of the maxima carry them."""
@@ -103,8 +102,7 @@ class Network:
         """Tables of filter outputs for every pair of bytes at every second place of the filters."""
         per = np.einsum("bd,jdf->jbf", self.p["e"], self.p["w"])
         pairs = [(per[j][:, None] + per[j + 1][None]).reshape(-1, FILTERS).astype(np.float32) for j in range(0, WIDTH, 2)]
-        return {"pairs": pairs, "b": self.p["b"], "v": self.p["v"].astype(np.float64), "c": float(self.p["c"][0]),
-                "scale": 1.0, "shift": self.shift}
+        return {"pairs": pairs, "b": self.p["b"], "v": self.p["v"].astype(np.float64), "c": float(self.p["c"][0])}
 
 
 def logits(model: dict, texts: list[bytes]) -> np.ndarray:
@@ -122,7 +120,7 @@ def logits(model: dict, texts: list[bytes]) -> np.ndarray:
             group, size = [], 0
     if group:
         out[group] = _some(model, [texts[k] for k in group])
-    return out * model["scale"] + model["shift"]
+    return out
 
 
 def _logit(model, mean, best) -> np.ndarray:
@@ -180,55 +178,41 @@ def _known(labels: DataFrame, id: str) -> DataFrame:
     return known.filter(~is_held_out(F.col("__known")))
 
 
-def _labelled(docs: DataFrame, known: DataFrame, id: str, text: str) -> DataFrame:
-    return docs.select(F.col(id).alias("__id"), text_of(text).cast("binary").alias("__text")).join(known, F.col("__id") == F.col("__known")).select("__id", "quality", "__text")
-
-
-def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> dict:
-    """A model for ``logits``, the log odds of good quality; of a constant score where labels are of one class or none."""
-    known = _known(labels, id)
+def _sample(docs: DataFrame, known: DataFrame, id: str, text: str) -> list:
+    """(id, quality, text) of the bounded training sample, in a fixed order."""
     order = F.xxhash64(F.col("__known").cast("string"))
     some = lambda q, n: known.filter(F.col("quality") == q).orderBy(order, "__known").limit(n)
-    picked = some(0, SAMPLE_BAD).unionByName(some(1, SAMPLE_GOOD))
-    rows = sorted(_labelled(docs, picked, id, text).filter(F.octet_length("__text") <= SAMPLE_BYTES).collect(), key=lambda r: (r[0], bytes(r[2])))
+    picked = F.broadcast(some(0, SAMPLE_BAD).unionByName(some(1, SAMPLE_GOOD)))        # rows by parameter
+    base = docs.select(F.col(id).alias("__id"), text_of(text).cast("binary").alias("__text"))
+    rows = base.join(picked, F.col("__id") == F.col("__known")).filter(F.octet_length("__text") <= SAMPLE_BYTES)
+    return sorted(rows.select("__id", "quality", "__text").collect(), key=lambda r: (r[0], bytes(r[2])))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[dict, list]:
+    """(model for ``logits``, ids of the training sample); of a constant score where labels are of one class or none."""
+    rows = _sample(docs, _known(labels, id), id, text)
     y = np.array([r.quality for r in rows], np.int64)
     net = Network()
     if not (0 < y.sum() < len(y)):
         net.p["v"][:] = 0
-        net.shift = -5.0 if len(y) and not y.any() else 5.0
-        return net.folded()
+        net.p["c"][:] = -5.0 if len(y) and not y.any() else 5.0
+        return net.folded(), []
     net.train([np.frombuffer(bytes(r[2]), np.uint8).astype(np.int32) for r in rows], y)
-    model = net.folded()
-    others = _labelled(docs, known.join(picked.select(F.col("__known").alias("__taken")), F.col("__known") == F.col("__taken"), "left_anti"), id, text)
-    counts = _histogram(others, model)
-    if not counts.sum(1).all():                       # too few rows to keep any aside
-        counts = np.zeros((2, BINS))
-        for label, s in zip(y, logits(model, [bytes(r[2]) for r in rows])):
-            counts[label, _bin(np.array([s]))[0]] += 1
-    model["scale"], model["shift"] = calibrated(counts)
-    return model
-
+    return net.folded(), sorted({r[0] for r in rows})
 
-def _bin(s: np.ndarray) -> np.ndarray:
-    return np.clip(np.floor(s * PER_UNIT).astype(np.int64) + BINS // 2, 0, BINS - 1)
 
-
-def _histogram(rows: DataFrame, model: dict) -> np.ndarray:
-    """(label, bin) counts of scores; one row per label and bin reaches the driver."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)         # tables of fixed size
-
-    def score(batches):
-        counts = np.zeros((2, BINS), np.int64)
-        for batch in slices(batches, 2, SLICE_BYTES):
-            label = np.array(batch.column(1).to_pylist())
-            np.add.at(counts, ((label > 0).astype(np.int64), _bin(logits(shared.value, batch.column(2).to_pylist()))), 1)
-        q, b = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(b), pa.array(counts[q, b])], ["q", "b", "n"])
-
-    counts = np.zeros((2, BINS))
-    for r in rows.mapInArrow(score, "q bigint, b bigint, n bigint").groupBy("q", "b").agg(F.sum("n").alias("n")).collect():
-        counts[r.q, r.b] = r.n
-    return counts
+def _calibration(raw: DataFrame, labels: DataFrame, id: str, taken: list) -> tuple[float, float]:
+    """(scale, shift) from all labelled rows outside the sample; from the sample where a class is missing there."""
+    if not taken:
+        return 1.0, 0.0
+    bins = F.least(F.greatest(F.floor(F.col("logit") * PER_UNIT) + BINS // 2, F.lit(0)), F.lit(BINS - 1)).alias("bin")
+    used = F.broadcast(raw.sparkSession.createDataFrame([(i,) for i in taken], "taken bigint"))
+    rows = raw.join(_known(labels, id).select(F.col("__known").cast("bigint").alias("doc_id"), "quality"), "doc_id").join(
+        used, F.col("doc_id") == F.col("taken"), "left")
+    counts = np.zeros((2, 2, BINS))
+    for r in rows.groupBy(F.col("taken").isNotNull().alias("seen"), (F.col("quality") > 0).alias("good"), bins).count().collect():
+        counts[int(r.seen), int(r.good), r.bin] = r["count"]
+    return calibrated(counts[0] if counts[0].sum(1).all() else counts[1])
 
 
 def calibrated(counts: np.ndarray, rounds: int = 50) -> tuple[float, float]:
@@ -254,17 +238,21 @@ def quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
     rows are scored each, a null id is kept.  Of several labels of one id the smallest counts.  With
     labels of one class or none the score is a constant.  Further columns are ignored.
     """
-    model = fit(docs, labels, id, text)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "byte_quality")
+    model, taken = fit(docs, labels, id, text)
+    shared = spark.sparkContext.broadcast(model)                # tables of fixed size
     base = docs.select(F.col(id).cast("bigint").alias("doc_id"), text_of(text).cast("binary").alias("text"))
 
     def score(batches):
         for batch in slices(batches, 1, SLICE_BYTES):
-            s = 1 / (1 + np.exp(-np.clip(logits(shared.value, batch.column(1).to_pylist()), -60, 60)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], ["doc_id", "score"])
-
-    scored = base.mapInArrow(score, "doc_id bigint, score double")
-    return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(logits(shared.value, batch.column(1).to_pylist()))], ["doc_id", "logit"])
+
+    # texts are read once; calibration and result only see their scores
+    raw = scratch.keep(base.mapInArrow(score, "doc_id bigint, logit double"), "logits")
+    scale, shift = _calibration(raw, labels, id, taken)
+    odds = F.greatest(F.least(F.col("logit") * scale + shift, F.lit(60.0)), F.lit(-60.0))
+    return raw.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), (1 / (1 + F.exp(-odds))).alias("score")).withColumn(
+        "predicted", (F.col("score") >= CUT).cast("int"))
 
 
 def op13_quality_bytes(spark, sf_dir):
