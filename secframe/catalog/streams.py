@@ -10,7 +10,7 @@ from secframe.functions.values import micros
 from secframe.plans.rules import load_rules
 from secframe.session import scratch_path
 from secframe.sources.registry import SOURCES
-from secframe.streaming import streams as S
+from secframe.streaming import sequences as Q, streams as S
 
 
 def replay(spark, sf) -> DataFrame:
@@ -20,6 +20,38 @@ def replay(spark, sf) -> DataFrame:
     return e.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("event_seq", F.col("event_id"))
 
 
+def arrivals(spark, sf, files: int = 20, late_share: int = 4, late_days: float = 2.0, per_batch: int = 4) -> DataFrame:
+    """The events table as files that arrive one after the other, with rows that come days late.
+
+    Rows are cut into files by time; every ``late_share``-th is moved back by up to ``late_days``, so
+    it arrives in a later file than its neighbours.  A last file holds a single event far ahead that
+    no rule wants: it moves the watermark past everything else.
+    """
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    path = scratch_path(spark, "arrivals")
+    seconds = F.unix_seconds("ts")
+    lo, hi = e.agg(F.min(seconds), F.max(seconds)).first()
+    late = F.when(F.pmod(F.xxhash64("event_id"), F.lit(late_share)) == 0,
+                  F.pmod(F.xxhash64("event_id", F.lit(1)), F.lit(int(late_days * 86_400)))).otherwise(0)
+    place = F.least(F.lit(files - 1), F.floor((seconds + late - lo) * files / (hi - lo + 1))).cast("int")
+    e.withColumn("part", place).repartition(files, "part").write.partitionBy("part").parquet(path)
+    ahead = spark.range(1).select(F.lit(-1).cast("bigint").alias("event_id"), F.timestamp_seconds(F.lit(hi + 10 * 86_400)).alias("ts"),
+                                  F.lit("tick").alias("event_type"))
+    ahead.select(*[(F.col(c) if c in ahead.columns else F.lit(None)).cast(t).alias(c) for c, t in e.dtypes]).coalesce(1).write.parquet(
+        f"{path}/part={files}")
+    # the file source reads files in the order of their times
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    for folder in fs.listStatus(root):
+        name = folder.getPath().getName()
+        if name.startswith("part="):
+            for f in fs.listStatus(folder.getPath()):
+                fs.setTimes(f.getPath(), 1_700_000_000_000 + 1000 * int(name[5:]), -1)
+    s = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", per_batch).parquet(f"{path}/part=*")
+    return s.withColumn("event_seq", F.col("event_id"))
+
+
 def drain(writer):
     """Run a stream over everything available, then stop."""
     q = writer.trigger(availableNow=True).start()
@@ -44,12 +76,13 @@ fired(k, t) AS (SELECT k, min(t) FROM q GROUP BY k
   UNION ALL SELECT f.k, min(q.t) FROM fired f JOIN q ON q.k = f.k AND q.t > f.t + 86400000000 GROUP BY f.k)
 SELECT CAST(fired.k AS VARCHAR) AS key, fired.t, q.prior_events FROM fired JOIN q ON q.k = fired.k AND q.t = fired.t""")
 def stream_sequence(spark, sf):
-    """Sequence and cooldown on the stream equal the batch result (S3)."""
+    """Sequence and cooldown on files that arrive with late rows equal the batch result (S3)."""
+    Q.use_state_store(spark)
     out = scratch_path(spark, "stream-sequence")
-    fired = S.stream_sequences(replay(spark, sf), _sequence_rule(), LOWER, "40 days")
+    fired = Q.stream_sequences(arrivals(spark, sf), _sequence_rule(), LOWER, "3 days")
     drain(fired.writeStream.outputMode("append").format("parquet").option("path", out)
           .option("checkpointLocation", scratch_path(spark, "ck")))
-    return spark.read.schema(S.SEQUENCE_OUT).parquet(out).select("key", "t", "prior_events")
+    return spark.read.schema(Q.FIRED).parquet(out).select("key", "t", "prior_events")
 
 
 @query("stream_ingest", """SELECT 'web' AS source, count(*) AS lines, count(*) FILTER (event_id % 40 <> 0) AS parsed,

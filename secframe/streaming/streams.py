@@ -1,11 +1,7 @@
-"""Structured Streaming variants: ingest, thresholds, sequences, alert dedup and incident refresh."""
+"""Structured Streaming variants: ingest, thresholds, alert dedup and incident refresh."""
 from __future__ import annotations
 
-from typing import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from secframe.functions.values import floor_div, micros
 from secframe.operators.correlate import dedup_alerts, incidents
@@ -75,58 +71,6 @@ def current_counts(spark: SparkSession, path: str, rules) -> DataFrame:
             .filter((F.col("observed") >= least) & (F.col("distinct_count") >= variety)))
 
 
-# ---------------------------------------------------------------- sequences
-SEQUENCE_OUT = "rule_ix int, key string, t bigint, prior_events bigint"
-SEQUENCE_STATE = "at array<bigint>, n array<bigint>, fired bigint"
-
-
-def stream_sequences(events: DataFrame, rules, lowercased=LOWERCASED, delay: str = "1 hour",
-                     idle: str = "1 day") -> DataFrame:
-    """Sequence firings with cooldown, as events arrive.
-
-    Rows are counted per (rule, key, instant) inside the micro-batch by the stateful operator;
-    the state of a key is its prior counts per instant within the window and the last firing, and
-    is dropped once the watermark is an idle period past its last event.  Events of one batch are put in time order; an event older
-    than what its key has already seen still counts as a prior for later hits.
-    """
-    rules = load_rules(rules)
-    spans = {i: r.span_micros("sequence") for i, r in enumerate(rules) if r.has_sequence}
-    least = {i: int(r.requires.get("min_count", 1)) for i, r in enumerate(rules) if r.has_sequence}
-    hits = rule_hits(events.withWatermark("ts", delay), rules, lowercased)
-    keyed = hits.filter(F.col("rule_ix").isin(list(spans))).select(
-        "rule_ix", key_by_rule(hits, rules, "sequence").alias("key"), "t", "is_prior", "ts")
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-
-    def advance(group, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rule_ix, key = group
-        if state.hasTimedOut:
-            state.remove()
-            return
-        at, n, fired = state.get if state.exists else ([], [], None)
-        priors = pd.Series(list(n), index=pd.Index(list(at), dtype="int64"), dtype="int64")
-        counts = [f.groupby(["t", "is_prior"]).size() for f in frames]
-        new = pd.concat(counts).groupby(level=[0, 1]).sum()
-        kinds = new.index.get_level_values("is_prior")
-        fresh = new[kinds].droplevel("is_prior")
-        priors = priors.add(fresh, fill_value=0).astype("int64").sort_index()
-        span, out = spans[rule_ix], []
-        for t in sorted(new[~kinds].index.get_level_values("t")):
-            if fired is not None and t - fired <= span:
-                continue
-            found = int(priors.loc[t - span:t].sum())
-            if found >= least[rule_ix]:
-                fired = int(t)
-                out.append((rule_ix, key, fired, found))
-        newest = int(new.index.get_level_values("t").max())
-        priors = priors.loc[newest - 2 * span:]
-        state.update((priors.index.tolist(), priors.tolist(), fired))
-        state.setTimeoutTimestamp(max(newest // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["rule_ix", "key", "t", "prior_events"])
-
-    return keyed.groupBy("rule_ix", "key").applyInPandasWithState(
-        advance, SEQUENCE_OUT, SEQUENCE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
 # ---------------------------------------------------------------- alerts and incidents
 def stream_unique_alerts(alerts: DataFrame, delay: str = "1 hour") -> DataFrame:
     """One row per alert id as long as repeats arrive within the watermark."""
