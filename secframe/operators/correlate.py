@@ -18,43 +18,74 @@ ENTITY_VALUES, NOTES, TIMELINE_ROWS = 12, 6, 14
 HOUR = 3_600_000_000
 
 
+def dedup_parts(alerts: DataFrame, minutes: float | None = None) -> DataFrame:
+    """(akey, a, n_events, last, n): alerts folded by rule and first source, host, user and domain.
+
+    ``a`` is the first alert as a struct.  Parts can be folded again (``merge_parts``), in any order.
+    """
+    lead = lambda k: F.get(entity(k), F.lit(0))
+    keys = [F.col("rule_id"), lead("source_ip"), lead("host_name"), lead("user_name"), lead("destination_domain")]
+    if minutes is not None:
+        keys.append(floor_div(micros(F.col("first_seen")), int(minutes * 60_000_000)).cast("string"))
+    akey = F.sha1(F.to_json(F.array(*keys)))
+    whole = F.struct(*[F.col(c) for c in alerts.columns if c != "deduped_from"])
+    return merge_parts(alerts.select(akey.alias("akey"), whole.alias("a"), F.col("count").alias("n_events"),
+                                     F.col("last_seen").alias("last"), F.lit(1).cast("bigint").alias("n")))
+
+
+def merge_parts(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("akey").agg(
+        F.min_by("a", F.struct("a.first_seen", "a.alert_id")).alias("a"), F.sum("n_events").alias("n_events"),
+        F.max("last").alias("last"), F.sum("n").alias("n"))
+
+
+def render_parts(parts: DataFrame) -> DataFrame:
+    """Folded alerts as alert rows, with their ``akey``."""
+    n = F.col("n")
+    changed = {"count": F.col("n_events"), "last_seen": F.col("last"),
+               "repeat_count": (F.col("a.repeat_count") + n - 1).cast("int"),
+               "note": F.when(n > 1, F.concat_ws(" | ", F.when(F.col("a.note") != "", F.col("a.note")),
+                                                 F.concat(F.lit("deduped x"), n.cast("string")))).otherwise(F.col("a.note"))}
+    fields = parts.schema["a"].dataType.fieldNames()
+    return parts.select("akey", *[changed.get(c, F.col(f"a.{c}")).alias(c) for c in fields],
+                        F.when(n > 1, n).alias("deduped_from"))
+
+
 def dedup_alerts(alerts: DataFrame, minutes: float | None = None) -> DataFrame:
     """Collapse repeats of a rule on the same first source, host, user and domain.
 
     Counts add up and ``last_seen`` extends; with ``minutes`` only repeats that start in the same
     window of that length (from the epoch) collapse.
     """
-    lead = lambda k: F.get(entity(k), F.lit(0))
-    keys = [F.col("rule_id"), lead("source_ip").alias("_s"), lead("host_name").alias("_h"),
-            lead("user_name").alias("_u"), lead("destination_domain").alias("_d")]
-    if minutes is not None:
-        keys.append(floor_div(micros(F.col("first_seen")), int(minutes * 60_000_000)).alias("_w"))
-    whole = F.struct(*[F.col(c) for c in alerts.columns if c != "deduped_from"])
-    out = alerts.groupBy(*keys).agg(
-        F.min_by(whole, F.struct("first_seen", "alert_id")).alias("a"),
-        F.sum("count").alias("_count"), F.max("last_seen").alias("_last"),
-        F.count(F.lit(1)).alias("_n"))
-    changed = {"count": F.col("_count"), "last_seen": F.col("_last"),
-               "repeat_count": (F.col("a.repeat_count") + F.col("_n") - 1).cast("int"),
-               "note": F.when(F.col("_n") > 1, F.concat_ws(
-                   " | ", F.when(F.col("a.note") != "", F.col("a.note")),
-                   F.concat(F.lit("deduped x"), F.col("_n").cast("string"))))
-               .otherwise(F.col("a.note"))}
-    return out.select(*[changed.get(c, F.col(f"a.{c}")).alias(c) for c in alerts.columns
-                        if c != "deduped_from"],
-                      F.when(F.col("_n") > 1, F.col("_n")).alias("deduped_from"))
-
-
-def _correlation_keys(alerts: DataFrame) -> DataFrame:
+    return render_parts(dedup_parts(alerts, minutes)).drop("akey")
+
+
+def correlation_keys(alerts: DataFrame, *keep: str) -> DataFrame:
     """Entity sets used for linking; internal source addresses are no link on their own."""
     sets = {k: F.array_distinct(F.coalesce(entity(k), F.array().cast("array<string>")))
             for k in STRONG + WEAK}
     sets["source_ip"] = F.filter(sets["source_ip"],
                                  lambda ip: ~F.coalesce(is_internal(ip), F.lit(False)))
-    return alerts.select("alert_id", "score", "first_seen", "last_seen",
+    return alerts.select(*keep, "alert_id", "score", "first_seen", "last_seen",
                          F.struct(*[e.alias(k) for k, e in sets.items()]).alias("sets"))
 
 
+def entity_rows(base: DataFrame, *keep: str) -> DataFrame:
+    """One row per alert and entity value."""
+    listed = F.array(*[F.struct(F.lit(k).alias("kind"), F.col("sets")[k].alias("values"))
+                       for k in STRONG + WEAK])
+    return (base.select("*", F.explode(listed).alias("e"))
+            .select(*keep, "alert_id", "score", "first_seen", "last_seen", "sets",
+                    F.col("e.kind").alias("kind"), F.explode("e.values").alias("value")))
+
+
+def close_pairs(rows: DataFrame, span: int) -> DataFrame:
+    """Rows whose predecessor ``prev`` is near enough and shares enough to be linked."""
+    gap = F.abs(micros(F.col("last_seen")) - micros(F.col("prev.last_seen")))
+    close = rows.filter(F.col("prev").isNotNull() & (gap <= span))
+    return close.filter(F.col("kind").isin(STRONG) | (shared_kinds(F.col("sets"), F.col("prev.sets")) >= 2))
+
+
 def shared_kinds(a: Column, b: Column) -> Column:
     """In how many entity kinds do two alerts overlap?"""
     total = F.lit(0)
@@ -72,14 +103,10 @@ def link_alerts(alerts: DataFrame, window_minutes: float = cfg.CORRELATION_MINUT
     (``order="time"``).  A value shared by very many alerts is never one group: score order looks
     back inside (value, score, hour) bins stitched at their ends, time order inside time slices.
     """
-    base = _correlation_keys(alerts)
+    base = correlation_keys(alerts)
     if order == "score":        # read by three branches below
         base = materialize(base, "alert-keys")
-    listed = F.array(*[F.struct(F.lit(k).alias("kind"), F.col("sets")[k].alias("values"))
-                       for k in STRONG + WEAK])
-    rows = (base.select("*", F.explode(listed).alias("e"))
-            .select("alert_id", "score", "first_seen", "last_seen", "sets",
-                    F.col("e.kind").alias("kind"), F.explode("e.values").alias("value")))
+    rows = entity_rows(base)
     keys, span = ["kind", "value"], int(window_minutes * 60_000_000)
     me = F.struct("alert_id", "last_seen", "sets")
     if order == "score":
@@ -92,10 +119,7 @@ def link_alerts(alerts: DataFrame, window_minutes: float = cfg.CORRELATION_MINUT
         rows = rows.withColumn("prev", F.lag(me).over(w)).filter("own")
     else:
         raise ValueError(f"unknown order {order!r}")
-    gap = F.abs(micros(F.col("last_seen")) - micros(F.col("prev.last_seen")))
-    strong = F.col("kind").isin(STRONG)
-    close = rows.filter(F.col("prev").isNotNull() & (gap <= span))
-    return (close.filter(strong | (shared_kinds(F.col("sets"), F.col("prev.sets")) >= 2))
+    return (close_pairs(rows, span)
             .select(F.least("alert_id", "prev.alert_id").alias("a"),
                     F.greatest("alert_id", "prev.alert_id").alias("b"), "kind", "value"))
 

@@ -1,10 +1,9 @@
-"""Structured Streaming variants: ingest, thresholds, alert dedup and incident refresh."""
+"""Structured Streaming variants: ingest, thresholds and alert dedup."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from secframe.functions.values import floor_div, micros
-from secframe.operators.correlate import dedup_alerts, incidents
 from secframe.operators.hits import key_by_rule, literal_by_rule, rule_hits
 from secframe.operators.threshold import distinct_limits, distinct_value
 from secframe.plans.rules import load_rules
@@ -71,30 +70,7 @@ def current_counts(spark: SparkSession, path: str, rules) -> DataFrame:
             .filter((F.col("observed") >= least) & (F.col("distinct_count") >= variety)))
 
 
-# ---------------------------------------------------------------- alerts and incidents
+# ---------------------------------------------------------------- alerts
 def stream_unique_alerts(alerts: DataFrame, delay: str = "1 hour") -> DataFrame:
     """One row per alert id as long as repeats arrive within the watermark."""
     return alerts.withWatermark("last_seen", delay).dropDuplicatesWithinWatermark(["alert_id"])
-
-
-def refresh_incidents(alerts_path: str, incidents_path: str, recent: str = "1 day",
-                      window_minutes: float = 90):
-    """foreachBatch handler: append the batch's alerts, then rebuild incidents of the recent span.
-
-    Alerts go under their batch number and incidents under the number of the batch that built
-    them; readers take the newest.
-    """
-    def refresh(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{alerts_path}/batch={batch_id}")
-        spark = batch.sparkSession
-        known = spark.read.parquet(alerts_path).drop("batch")
-        newest = known.agg(F.max("last_seen")).scalar()
-        live = known.filter(F.col("last_seen") >= newest - F.expr(f"INTERVAL {recent}"))
-        built, _ = incidents(dedup_alerts(live), window_minutes, order="time")
-        built.write.mode("overwrite").parquet(f"{incidents_path}/batch={batch_id}")
-    return refresh
-
-
-def latest_incidents(spark: SparkSession, incidents_path: str) -> DataFrame:
-    df = spark.read.parquet(incidents_path)
-    return df.filter(F.col("batch") == df.agg(F.max("batch")).scalar()).drop("batch")

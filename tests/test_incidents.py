@@ -122,7 +122,7 @@ def test_journal(spark, tmp_path):
 
 
 def test_streaming_refresh_handler(alerts, spark, tmp_path):
-    from secframe.streaming.streams import latest_incidents, refresh_incidents
+    from secframe.streaming.cases import latest_incidents, refresh_incidents
     a, i = str(tmp_path / "alerts"), str(tmp_path / "incidents")
     refresh = refresh_incidents(a, i)
     refresh(alerts(GUESS, SWEEP), 0)
