@@ -5,12 +5,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from secframe.catalog.base import day_alerts, query, secs, table
 from secframe.catalog.detections import DAY, LOWER, _SEQ, _sequence_rule
+from secframe.catalog.incidents import MINUTES, _INC, scored
 from secframe.catalog.ingest import apache_lines
 from secframe.functions.values import micros
 from secframe.plans.rules import load_rules
 from secframe.session import scratch_path
 from secframe.sources.registry import SOURCES
 from secframe.streaming import sequences as Q, streams as S
+from secframe.streaming.cases import latest_incidents, refresh_incidents
 
 
 def replay(spark, sf) -> DataFrame:
@@ -20,25 +22,23 @@ def replay(spark, sf) -> DataFrame:
     return e.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("event_seq", F.col("event_id"))
 
 
-def arrivals(spark, sf, files: int = 20, late_share: int = 4, late_days: float = 2.0, per_batch: int = 4) -> DataFrame:
-    """The events table as files that arrive one after the other, with rows that come days late.
+def as_files(spark, df: DataFrame, files: int = 20, late_share: int = 4, late_days: float = 2.0, key: str = "event_id", time: str = "ts", ahead: dict | None = None):
+    """(schema, path of files that arrive one after the other, with rows that come days late).
 
     Rows are cut into files by time; every ``late_share``-th is moved back by up to ``late_days``, so
-    it arrives in a later file than its neighbours.  A last file holds a single event far ahead that
-    no rule wants: it moves the watermark past everything else.
+    it arrives in a later file than its neighbours.  ``ahead`` gives one more row in a last file, ten
+    days after the end: it moves the watermark past everything else.
     """
-    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     path = scratch_path(spark, "arrivals")
-    seconds = F.unix_seconds("ts")
-    lo, hi = e.agg(F.min(seconds), F.max(seconds)).first()
-    late = F.when(F.pmod(F.xxhash64("event_id"), F.lit(late_share)) == 0,
-                  F.pmod(F.xxhash64("event_id", F.lit(1)), F.lit(int(late_days * 86_400)))).otherwise(0)
+    seconds = F.unix_seconds(time)
+    lo, hi = df.agg(F.min(seconds), F.max(seconds)).first()
+    late = F.when(F.pmod(F.xxhash64(key), F.lit(late_share)) == 0,
+                  F.pmod(F.xxhash64(key, F.lit(1)), F.lit(int(late_days * 86_400)))).otherwise(0)
     place = F.least(F.lit(files - 1), F.floor((seconds + late - lo) * files / (hi - lo + 1))).cast("int")
-    e.withColumn("part", place).repartition(files, "part").write.partitionBy("part").parquet(path)
-    ahead = spark.range(1).select(F.lit(-1).cast("bigint").alias("event_id"), F.timestamp_seconds(F.lit(hi + 10 * 86_400)).alias("ts"),
-                                  F.lit("tick").alias("event_type"))
-    ahead.select(*[(F.col(c) if c in ahead.columns else F.lit(None)).cast(t).alias(c) for c, t in e.dtypes]).coalesce(1).write.parquet(
-        f"{path}/part={files}")
+    df.withColumn("part", place).repartition(files, "part").write.partitionBy("part").parquet(path)
+    if ahead is not None:
+        row = {**ahead, time: F.timestamp_seconds(F.lit(hi + 10 * 86_400))}
+        spark.range(1).select(*[row.get(c, F.lit(None)).cast(t).alias(c) for c, t in df.dtypes]).coalesce(1).write.parquet(f"{path}/part={files}")
     # the file source reads files in the order of their times
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     root = jvm.org.apache.hadoop.fs.Path(path)
@@ -48,7 +48,14 @@ def arrivals(spark, sf, files: int = 20, late_share: int = 4, late_days: float =
         if name.startswith("part="):
             for f in fs.listStatus(folder.getPath()):
                 fs.setTimes(f.getPath(), 1_700_000_000_000 + 1000 * int(name[5:]), -1)
-    s = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", per_batch).parquet(f"{path}/part=*")
+    return df.schema, f"{path}/part=*"
+
+
+def arrivals(spark, sf, per_batch: int = 4, tick: bool = True) -> DataFrame:
+    """The events table as twenty files with late rows; no rule wants the last event, a ``tick``."""
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    schema, path = as_files(spark, e, ahead={"event_id": F.lit(-1), "event_type": F.lit("tick")} if tick else None)
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
     return s.withColumn("event_seq", F.col("event_id"))
 
 
@@ -71,6 +78,19 @@ def stream_threshold(spark, sf):
     return S.current_counts(spark, out, rules).select("key", secs("window_start").alias("window_s"), "observed")
 
 
+@query("stream_threshold_closed", """SELECT CAST(user_id AS VARCHAR) AS key, (epoch_us(ts) // 86400000000) * 86400 AS window_s, count(*) AS observed,
+ count(DISTINCT event_type) AS distinct_count FROM events WHERE event_type IN ('error', 'purchase') GROUP BY 1, 2 HAVING count(*) >= 2 AND count(DISTINCT event_type) >= 2""")
+def stream_threshold_closed(spark, sf):
+    """Windows emitted once the watermark closes them, from files with late rows."""
+    rules = load_rules([{"id": "R-MIX", "condition": {"event_type": ["error", "purchase"]},
+                         "threshold": {"field": "user_id", "min_events": 2, "window_minutes": DAY, "distinct_field": "event_type", "min_distinct": 2}}])
+    out = scratch_path(spark, "stream-windows")
+    windows = S.stream_threshold_windows(arrivals(spark, sf), rules, DAY, "3 days", LOWER)
+    drain(windows.writeStream.outputMode("append").format("parquet").option("path", out)
+          .option("checkpointLocation", scratch_path(spark, "ck")))
+    return spark.read.schema(windows.schema).parquet(out).select("key", secs("window_start").alias("window_s"), "observed", "distinct_count")
+
+
 @query("stream_sequence", "WITH RECURSIVE " + _SEQ + """,
 fired(k, t) AS (SELECT k, min(t) FROM q GROUP BY k
   UNION ALL SELECT f.k, min(q.t) FROM fired f JOIN q ON q.k = f.k AND q.t > f.t + 86400000000 GROUP BY f.k)
@@ -90,10 +110,9 @@ def stream_sequence(spark, sf):
 def stream_ingest(spark, sf):
     """Continuous ingest of rendered access-log lines with loss counts."""
     base = scratch_path(spark, "stream-ingest")
-    drain(S.stream_ingest(apache_lines(replay(spark, sf)), SOURCES["web"], "web", f"{base}/events",
+    drain(S.stream_ingest(apache_lines(arrivals(spark, sf, 3, tick=False)), SOURCES["web"], "web", f"{base}/events",
                           f"{base}/loss", f"{base}/ck"))
-    loss = spark.read.parquet(f"{base}/loss").groupBy("source").agg(
-        *[F.sum(c).alias(c) for c in ("lines", "parsed", "parse_errors")])
+    loss = S.stream_loss(spark, f"{base}/loss").drop("loss_pct")
     stored = spark.read.parquet(f"{base}/events").agg(F.sum("network_bytes")).scalar()
     return loss.select("*", stored.alias("bytes"))
 
@@ -109,3 +128,20 @@ def stream_alert_dedup(spark, sf):
     drain(S.stream_unique_alerts(e, "40 days").writeStream.format("parquet").option("path", out)
           .option("checkpointLocation", scratch_path(spark, "ck")))
     return spark.read.parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).alias("alerts"))
+
+
+_INC_TIME = _INC + """ SELECT component, severity, score, opened_s, last_s, alert_count, rule_count FROM inc"""
+
+
+@query("stream_incidents", _INC_TIME)
+def stream_incidents(spark, sf):
+    """Incidents updated over batches of alerts, some of them days late, equal one run over all."""
+    alerts = scored(spark, sf)
+    schema, path = as_files(spark, alerts, 5, key="alert_id", time="last_seen")
+    base = scratch_path(spark, "stream-incidents")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    drain(stream.writeStream.foreachBatch(refresh_incidents(f"{base}/state", f"{base}/incidents", MINUTES, dedup=False))
+          .option("checkpointLocation", f"{base}/ck"))
+    inc = latest_incidents(spark, f"{base}/incidents")
+    return inc.select("component", "severity", F.col("score").cast("bigint").alias("score"), secs("opened_at").alias("opened_s"),
+                      secs("last_activity").alias("last_s"), "alert_count", "rule_count")

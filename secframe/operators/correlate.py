@@ -18,7 +18,7 @@ ENTITY_VALUES, NOTES, TIMELINE_ROWS = 12, 6, 14
 HOUR = 3_600_000_000
 
 
-def dedup_parts(alerts: DataFrame, minutes: float | None = None) -> DataFrame:
+def dedup_parts(alerts: DataFrame, minutes: float | None = None, by_id: bool = False) -> DataFrame:
     """(akey, a, n_events, last, n): alerts folded by rule and first source, host, user and domain.
 
     ``a`` is the first alert as a struct.  Parts can be folded again (``merge_parts``), in any order.
@@ -27,7 +27,7 @@ def dedup_parts(alerts: DataFrame, minutes: float | None = None) -> DataFrame:
     keys = [F.col("rule_id"), lead("source_ip"), lead("host_name"), lead("user_name"), lead("destination_domain")]
     if minutes is not None:
         keys.append(floor_div(micros(F.col("first_seen")), int(minutes * 60_000_000)).cast("string"))
-    akey = F.sha1(F.to_json(F.array(*keys)))
+    akey = F.col("alert_id") if by_id else F.sha1(F.to_json(F.array(*keys)))
     whole = F.struct(*[F.col(c) for c in alerts.columns if c != "deduped_from"])
     return merge_parts(alerts.select(akey.alias("akey"), whole.alias("a"), F.col("count").alias("n_events"),
                                      F.col("last_seen").alias("last"), F.lit(1).cast("bigint").alias("n")))

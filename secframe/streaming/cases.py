@@ -72,17 +72,18 @@ def _cases(comp: DataFrame, known: DataFrame, batch_id: int):
     return cases, over
 
 
-def refresh_incidents(alerts_path: str, incidents_path: str, window_minutes: float = 90):
+def refresh_incidents(alerts_path: str, incidents_path: str, window_minutes: float = 90, dedup: bool = True):
     """foreachBatch handler: fold the batch's alerts into the stored state and update the incidents.
 
     State lives under ``alerts_path``, incidents under ``incidents_path``.  Work per batch follows the
     alerts, entity values and incidents that the batch touches; the stored tables are only scanned.
+    With ``dedup=False`` every alert id is an alert of its own.
     """
     span = int(window_minutes * 60_000_000)
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = dedup_parts(batch)
+        new = dedup_parts(batch, by_id=not dedup)
         state = CaseTables(spark, alerts_path, incidents_path, _ddl(new))
         before = state.alerts.current(batch_id)
         replaced = materialize(before.join(new.select("akey"), "akey", "left_semi"), "replaced")
