@@ -25,6 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str = "event_id") -> DataFrame:
+    """Rows of a table that is a single small file, dealt to all cores; larger tables are cut by the scan.
+
+    The number is given, so adaptive execution does not fold the partitions again.
+    """
+    if len(df.inputFiles()) != 1:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def events(spark, sf_dir) -> DataFrame:
     """The event stream with a UTC timestamp and a total order."""
     e = table(spark, sf_dir, "events")
@@ -81,7 +91,7 @@ CAPTURE_SQL = ("cap AS (SELECT " + ", ".join(f"{e.format(**_DUCK)} AS {n}" for n
 
 def capture(spark, sf_dir) -> DataFrame:
     """Events dressed as normalized security events (canonical columns)."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     df = e.selectExpr(*[f"{x.format(**_SPARK)} AS {n}" for n, x in _CAPTURE], "user_id", "event_type")
     return df.withColumns({
         "ts": F.timestamp_seconds("ts_s"),

@@ -3,11 +3,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from secframe.catalog.base import events as all_events, query, secs, table
+from secframe.catalog.base import events as all_events, query, secs, spread, table
 from secframe.functions.net import in_networks, ipv4_number, is_internal
 from secframe.functions.timeparse import parse_timestamp
 from secframe.functions.values import basename_if_path, first_of
 from secframe.operators.geo import locate
+from secframe.operators.hits import rule_hits
+from secframe.plans.rules import load_rules
 from secframe.plans.settings import geo_prefixes
 from secframe.session import scratch_path
 from secframe.sources.normalize import conform
@@ -21,7 +23,7 @@ DNS_HEADER = "\t".join(["@timestamp", "client_ip", "host", "query", "type", "ans
 
 
 def events(spark, sf):
-    return all_events(spark, sf).repartition("event_id")
+    return spread(all_events(spark, sf))
 
 
 def _iso():
@@ -39,7 +41,8 @@ def json_lines(e):
         F.lit(',"Computer":"-","HostName":"H'), _s("event_id"), F.lit('","TargetUserName":"u'),
         _s("user_id"), F.lit('","IpAddress":"'),
         F.when(F.col("user_id") % 3 == 0, F.lit("10.0.0.7")).otherwise(F.lit("203.0.113.9")),
-        F.lit('","Vendor":"x"}'))
+        F.lit('","Vendor":"x"'), F.when(F.col("event_id") % 7 == 0, F.concat(
+            F.lit(',"event.action":["failed-logon", "e'), _s("event_id"), F.lit('"],"User":["a","b"],"none":[]}'))).otherwise(F.lit("}")))
     m = F.col("event_id") % 50
     return e.select(F.when(m == 0, F.lit('{"@timestamp":"2024')).when(m == 1, F.lit("[1]"))
                     .when(m == 2, F.lit("  ")).when(m == 3, F.lit('{"@timestamp":"yesterday"}'))
@@ -89,10 +92,11 @@ def dns_lines(e):
 
 @query("ingest_json", f"""
 SELECT 'H' || event_id AS host_name, {EPOCH} AS ts_s, 'u' || user_id AS user_name,
-  CASE WHEN event_id % 2 = 0 THEN 'failed-logon' ELSE 'successful-logon' END AS event_action,
+  CASE WHEN event_id % 7 = 0 THEN '["failed-logon","e' || event_id || '"]' WHEN event_id % 2 = 0 THEN 'failed-logon' ELSE 'successful-logon' END AS event_action,
   CASE WHEN event_id % 2 = 0 THEN 'failure' ELSE 'success' END AS event_outcome,
   CASE WHEN event_id % 2 = 0 THEN 'eventcode/4625' ELSE 'eventcode/4624' END AS tags,
-  user_id % 3 <> 0 AS external, event_id % 2 = 0 AS failed, 'x' AS vendor
+  user_id % 3 <> 0 AS external, event_id % 2 = 0 AND event_id % 7 <> 0 AS failed, 'x' AS vendor,
+  CASE WHEN event_id % 7 = 0 THEN 'failed-logon,e' || event_id END AS actions, CASE WHEN event_id % 2 = 0 THEN '4625' ELSE '4624' END AS raw_id
 FROM events WHERE event_id % 50 > 3""")
 def ingest_json(spark, sf):
     """JSON lines, vendor aliases, placeholders, event ids, flags and leftovers."""
@@ -101,7 +105,23 @@ def ingest_json(spark, sf):
                      "event_outcome", F.array_join("tags", ",").alias("tags"),
                      F.col("source_ip_not_private").alias("external"),
                      F.coalesce("logon_failure", F.lit(False)).alias("failed"),
-                     F.col("extra")["Vendor"].alias("vendor"))
+                     F.col("extra")["Vendor"].alias("vendor"), F.array_join(F.col("lists")["event.action"], ",").alias("actions"),
+                     F.col("vendor")["EventID"].alias("raw_id"))
+
+
+@query("ingested_lists", """
+SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'R-ANY,R-ALL,R-USER' || CASE WHEN event_id % 2 = 0 THEN ',R-RAW' ELSE '' END
+   WHEN event_id % 2 = 0 THEN 'R-ANY,R-RAW' END AS fired
+FROM events WHERE event_id % 50 > 3 AND (event_id % 7 = 0 OR event_id % 2 = 0)""")
+def ingested_lists(spark, sf):
+    """Rules on list-valued and raw vendor fields of ingested lines."""
+    ev = good_events(parse_lines(json_lines(events(spark, sf)), SOURCES["auth"], "auth"))
+    rules = load_rules([{"id": "R-ANY", "condition": {"event.action": "FAILED-logon"}}, {"id": "R-ALL", "condition": {"event.action": {"all": ["failed-logon"]}}},
+                        {"id": "R-USER", "condition": {"user.name": ["zz", "B"]}}, {"id": "R-RAW", "condition": {"EventID": "4625", "none": {"exists": False}}}])
+    hits = rule_hits(ev, rules)
+    fired = F.array_join(F.transform(F.array_sort(F.collect_list("rule_ix")), lambda i: F.array(*[F.lit(r.id) for r in rules])[i]), ",")
+    name = F.regexp_replace("host_name", "^H", "").cast("bigint")
+    return hits.groupBy(name.alias("event_id")).agg(fired.alias("fired"))
 
 
 @query("ingest_apache", f"""
@@ -230,7 +250,7 @@ def conformance(spark, sf):
     given = {"event_seq", "ts", "event_action"}
     rest = [c for c in df.columns if c not in given]
     invented = sum((F.col(c).isNotNull().cast("bigint") for c in rest), F.lit(0).cast("bigint"))
-    canonical = len(df.columns) - 3     # source, event_seq and extra are bookkeeping
+    canonical = len(df.columns) - 5     # source, event_seq, extra, vendor and lists are bookkeeping
     return df.select("event_seq", F.lit(canonical).cast("bigint").alias("columns_total"),
                      invented.alias("invented"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from secframe.functions.net import in_networks
 from secframe.functions.values import all_of, any_of
-from secframe.schema import LOWERCASED, column_name
+from secframe.schema import BY_COLUMN, LOWERCASED, column_name
 
 TRUE_WORDS = ("true", "yes", "1")
 # evaluation order inside a group: cheap tests guard the regex-like ones
@@ -23,7 +23,7 @@ def as_list(v) -> list:
 
 
 class Fields:
-    """Resolves dotted rule fields against a DataFrame; unknown names fall back to ``extra``."""
+    """Resolves dotted rule fields against a DataFrame; unknown names fall back to ``extra`` and ``vendor``."""
 
     def __init__(self, df: DataFrame, lowercased=LOWERCASED):
         self.types = {f.name: f.dataType for f in df.schema.fields}
@@ -34,10 +34,17 @@ class Fields:
         for candidate in (name, field):
             if candidate in self.types:
                 return F.col(f"`{candidate}`"), self.types[candidate], candidate
-        if isinstance(self.types.get("extra"), T.MapType):
-            return F.col("extra").getItem(field), T.StringType(), None
+        maps = [F.col(m).getItem(field) for m in ("extra", "vendor") if isinstance(self.types.get(m), T.MapType)]
+        if maps:
+            return F.coalesce(*maps), T.StringType(), None
         return F.lit(None).cast("string"), T.StringType(), None
 
+    def items(self, field: str):
+        """Items of a field that came as a list, null where it did not; None where the table keeps none."""
+        if isinstance(self.types.get("lists"), T.MapType):
+            return F.col("lists").getItem(BY_COLUMN.get(field, field))
+        return None
+
 
 def _text(values) -> list:
     return [("true" if v is True else "false" if v is False else str(v)).lower() for v in values]
@@ -106,10 +113,11 @@ def _operator(field, op, operand, fields: Fields) -> Column:
     if op == "cidr":
         return in_networks(col.cast("string"), as_list(operand))
     if op == "all":
-        if not isinstance(dtype, T.ArrayType):
+        items = col if isinstance(dtype, T.ArrayType) else fields.items(field)
+        if items is None:
             return F.lit(False)
         wanted = F.array(*[F.lit(v) for v in as_list(operand)])
-        return F.size(F.array_except(wanted, col)) == 0
+        return items.isNotNull() & (F.size(F.array_except(wanted, items)) == 0)
     if op in ("gt", "gte", "lt", "lte"):
         return _compare(col, dtype, op, operand)
     if op == "equals":
@@ -133,7 +141,10 @@ def compile_clause(field: str, spec, fields: Fields) -> Column:
     col, dtype, name = fields.resolve(field)
     if isinstance(spec, bool):
         return _truthy(col, dtype) == F.lit(spec)
-    return _equals(col, dtype, name, as_list(spec), fields)
+    same, items = _equals(col, dtype, name, as_list(spec), fields), fields.items(field)
+    if items is None or isinstance(dtype, T.ArrayType):
+        return same
+    return same | (items.isNotNull() & F.exists(items, lambda x: F.lower(x).isin(_text(as_list(spec)))))
 
 
 def _cost(item) -> int:

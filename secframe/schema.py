@@ -102,6 +102,9 @@ def column_type(field: str) -> T.DataType:
 EVENT_SCHEMA = T.StructType(
     [T.StructField(column_name(f), column_type(f)) for f in FIELDS]
     + [T.StructField("source", T.StringType()), T.StructField("event_seq", T.LongType()),
-       T.StructField("extra", T.MapType(T.StringType(), T.StringType()))])
+       T.StructField("extra", T.MapType(T.StringType(), T.StringType())),
+       # vendor fields that filled a canonical one, and the items of list-valued fields
+       T.StructField("vendor", T.MapType(T.StringType(), T.StringType())),
+       T.StructField("lists", T.MapType(T.StringType(), T.ArrayType(T.StringType())))])
 COLUMNS = [f.name for f in EVENT_SCHEMA]
 BY_COLUMN = {column_name(f): f for f in FIELDS}

@@ -39,34 +39,50 @@ def _rejected(df: DataFrame, error: Column) -> DataFrame:
 
 
 def last_wins(pairs: Column) -> Column:
-    """Array of (key, value) structs -> map where the last occurrence of a key counts."""
-    kept = F.filter(pairs, lambda p, i: ~F.exists(
-        F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(kept)
+    """Array of (key, value) structs -> map where the last occurrence of a key counts.
+
+    Sorted by key and place, a pair counts where the next one has another key.
+    """
+    placed = F.array_sort(F.transform(pairs, lambda p, i: F.struct(p["key"].alias("key"), i.alias("i"), p["value"].alias("value"))))
+    chosen = F.transform(F.array(placed), lambda a: F.filter(a, lambda p, i: ~F.coalesce(F.get(a, i + 1)["key"] == p["key"], F.lit(False))))[0]
+    return F.map_from_entries(F.transform(chosen, lambda p: F.struct(p["key"], p["value"])))
 
 
 def parse_json(df: DataFrame, dataset: str | None = None, source_type: str | None = None) -> DataFrame:
     """JSON objects, one per line.  Anything else on a non-blank line is an error.
 
-    ``raw`` is a struct of the fields ingest knows; all other keys go to ``extra``.
+    Every line is parsed once.  ``raw`` is a struct of the fields ingest knows (a list as its JSON
+    text), all other keys go to ``extra``, vendor fields also to ``vendor``, items of lists to ``lists``.
     """
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")      # the last one counts
     df = _lines(df)
     text = F.trim(F.col("_line"))
-    names = list(dict.fromkeys([*FIELDS, *vendor_names(source_type), *FAMILY_FIELDS]))
-    known = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    vendors = list(dict.fromkeys([*vendor_names(source_type), *FAMILY_FIELDS]))
+    names = list(dict.fromkeys([*FIELDS, *vendors]))
+    known = ", ".join(f"`{n}`: string" for n in names)
     object_like = text.startswith("{") & text.endswith("}")
     # as the one element of a list, the line has to be used up by its object
-    listed = F.from_json(F.when(object_like, F.concat(F.lit("["), text, F.lit("]"))),
-                         T.ArrayType(known), {"allowSingleQuotes": "false"})
-    df = df.withColumn("_listed", listed)
-    df = df.withColumn("raw", F.when(F.size("_listed") == 1, F.col("_listed")[0])).drop("_listed")
+    df = df.withColumn("_json", F.try_parse_json(F.when(object_like, F.concat(F.lit("["), text, F.lit("]")))))
+    # ... unless it closes that list itself, which no object can do inside another object
+    alone = ~text.rlike(r"\}\s*\]") | F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}"))).isNotNull()
+    only = F.try_variant_get("_json", "$[1]", "variant").isNull() & alone
+    df = df.withColumn("_all", F.when(only, F.try_variant_get("_json", "$[0]", "map<string,variant>")))
+    df = df.withColumn("raw", F.when(F.col("_all").isNotNull(), F.try_variant_get("_json", "$[0]", f"struct<{known}>")))
     bad = F.col("raw").isNull()
     scalar = F.substring(text, 1, 1).isin("[", '"') | text.rlike(r"^-?[\d.]+$")
     df = _rejected(df, F.when(bad, F.when(scalar, "json not an object").otherwise("bad json")))
     given = clean(F.col("raw").getField("event.dataset"))
-    leftover = F.map_filter(F.from_json(F.when(F.col("_error").isNull(), text), "map<string,string>"),
-                            lambda k, v: ~k.isin(names) & v.isNotNull())
-    return df.withColumns({"event_dataset": F.coalesce(given, F.lit(dataset)), "extra": leftover})
+    listed = lambda v: F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
+    as_text = lambda keep: F.transform_values(F.map_filter("_all", keep), lambda k, v: F.try_variant_get(v, "$", "string"))
+    items = F.transform_values(F.map_filter("_all", lambda k, v: listed(v)), lambda k, v: F.try_variant_get(v, "$", "array<string>"))
+    some = F.col("_all").isNotNull() & text.rlike(r":\s*\[")          # most lines hold no list
+    empty = lambda v: listed(v) & F.try_variant_get(v, "$[0]", "variant").isNull()
+    there = lambda v: ~F.is_variant_null(v) & ~empty(v)
+    return df.withColumns({
+        "event_dataset": F.coalesce(given, F.lit(dataset)),
+        "extra": as_text(lambda k, v: ~k.isin(names) & there(v)),
+        "vendor": as_text(lambda k, v: k.isin(vendors) & there(v)),
+        "lists": F.when(some, items)}).drop("_json", "_all")
 
 
 def parse_apache(df: DataFrame, dataset: str = "web") -> DataFrame:
@@ -129,7 +145,8 @@ def parse_syslog(df: DataFrame, dataset: str = "auth") -> DataFrame:
         F.lower(F.col("_prog")).alias("process_name"),
         line.alias("event_original"),
         F.array(F.concat(F.lit("prog:"), F.col("_prog"))).alias("tags"),
-        F.map_filter("raw", lambda k, v: ~k.isin([*vendor_names("SSH"), *FIELDS])).alias("extra")
+        F.map_filter("raw", lambda k, v: ~k.isin([*vendor_names("SSH"), *FIELDS])).alias("extra"),
+        F.map_filter("raw", lambda k, v: k.isin(vendor_names("SSH"))).alias("vendor")
     ).drop("_pairs", "_body", "_prog", "_host")
 
 
@@ -155,13 +172,14 @@ def parse_delimited(df: DataFrame, header: str, delimiter: str = ",",
         ~F.col("_line").contains('"') & (F.size(_fields(F.col("_line"), delimiter)) > len(names)))
     df = _rejected(df, F.when(too_long & ~F.col("_header"), "csv field count"))
     cell = {n: F.trim(F.col(f"_row.c{i}")) for i, n in enumerate(names)}
-    known = {*FIELDS, *vendor_names(source_type)}
-    leftover = [F.when(clean(c).isNotNull(), F.struct(F.lit(n).alias("key"), c.alias("value")))
-                for n, c in cell.items() if n not in known]
-    extra = F.map_from_entries(F.array_compact(F.array(*leftover))) if leftover else \
-        F.lit(None).cast("map<string,string>")
+    vendors = set(vendor_names(source_type))
+
+    def cells(wanted):
+        some = [F.when(clean(c).isNotNull(), F.struct(F.lit(n).alias("key"), c.alias("value"))) for n, c in cell.items() if wanted(n)]
+        return F.map_from_entries(F.array_compact(F.array(*some))) if some else F.lit(None).cast("map<string,string>")
     return df.withColumns({
-        "raw": F.struct(*[c.alias(n) for n, c in cell.items()]), "extra": extra,
+        "raw": F.struct(*[c.alias(n) for n, c in cell.items()]),
+        "extra": cells(lambda n: n not in vendors and n not in FIELDS), "vendor": cells(lambda n: n in vendors),
         "event_dataset": F.lit(dataset), "_blank": F.col("_blank") | F.col("_header"),
     }).drop("_row", "_header")
 

@@ -7,7 +7,7 @@ from secframe import schema as S
 from secframe.functions.net import is_internal
 from secframe.functions.timeparse import parse_timestamp
 from secframe.functions.values import any_of, basename, basename_if_path, clean, first_of, to_long
-from secframe.sources.lines import raw_field, timestamp_text
+from secframe.sources.lines import last_wins, raw_field, timestamp_text
 
 _NESTED = "struct<ParentImage:string,Image:string,CommandLine:string>"
 
@@ -36,14 +36,21 @@ def _aliased(df: DataFrame, source_type: str) -> DataFrame:
             continue
         cands = [F.col(name).cast("string")] if name in df.columns else []
         cands += [c for c in map(get, [field, *vendors.get(field, [])]) if c is not None]
+        if "lists" in df.columns:
+            cands = [F.when(c != "[]", c) for c in cands]
         out[name] = first_of(*cands) if cands else F.lit(None).cast("string")
     if "tags" in df.columns:
         out["tags"] = F.col("tags")
     else:
         listed = get("tags")
         out["tags"] = _tags(listed) if listed is not None else F.array().cast("array<string>")
-    keep = [c for c in ("ts", "source", "event_seq", "raw", "extra", "_error", "_rejected", "_blank", "_pos")
+    keep = [c for c in ("ts", "source", "event_seq", "raw", "extra", "vendor", "_error", "_rejected", "_blank", "_pos")
             if c in df.columns]
+    if "lists" in df.columns:       # items of a vendor's list belong to the field it fills
+        moved = {v: f for f, vs in vendors.items() for v in vs}
+        name = lambda k: F.coalesce(_lookup(moved, k), k) if moved else k
+        out["lists"] = F.when(F.col("lists").isNotNull(), last_wins(F.transform(F.map_entries("lists"), lambda e: F.struct(
+            name(e["key"]).alias("key"), e["value"].alias("value")))))
     return df.select(*keep, *[e.alias(n) for n, e in out.items()])
 
 

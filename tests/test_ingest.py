@@ -98,3 +98,20 @@ def test_json_lines_are_whole_objects(spark):
                            good.replace('"', "'")), SOURCES["auth"], "auth")
     loss = ingest_loss(df).first()
     assert (loss.lines, loss.parsed, loss.parse_errors) == (5, 1, 4)
+
+
+def test_json_lists_and_vendor_fields(spark):
+    from secframe.functions.match import Fields, compile_condition
+    df = parse_lines(lines(
+        spark, '{"@timestamp":"2026-09-02T03:20:00+00:00","event.action":["failed-logon","x"],"EventID":"4625","User":"u1","tags":["a"],"ports":[1,2]}',
+        '{"@timestamp":"2026-09-02T03:20:01+00:00","event.action":"plain","user.name":[],"a":1,"a":2}',
+        '{"@timestamp":"2026-09-02T03:20:02+00:00"}] [{"x":1}', '{"a":[{"b":1}]}] [{"x":1}'), SOURCES["auth"], "auth")
+    assert ingest_loss(df).first().parse_errors == 2
+    ev = good_events(df).orderBy("ts")
+    a, b = ev.collect()
+    assert a.lists == {"event.action": ["failed-logon", "x"], "tags": ["a"], "ports": ["1", "2"]} and a.tags == ["a", "eventcode/4625"]
+    assert a.vendor == {"EventID": "4625", "User": "u1"} and b.user_name is None and b.extra == {"a": "2"}
+    match = lambda c: [r.event_action for r in ev.filter(compile_condition([c], Fields(ev))).collect()]
+    assert match({"event.action": "X"}) == match({"event.action": {"all": ["x", "failed-logon"]}}) == match({"ports": "2"}) == [a.event_action]
+    assert match({"event.action": {"all": ["x", "y"]}}) == match({"event.action": {"equals": "x"}}) == []
+    assert match({"EventID": "4625", "User": "U1"}) == [a.event_action] and match({"event.action": "plain"}) == ["plain"]
