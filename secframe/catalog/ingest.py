@@ -364,3 +364,33 @@ def geo_lpm(spark, sf):
     return (places.filter(F.col("lat").isNotNull())
             .select("ip", "label", F.when(F.col("category") == "private", 8).otherwise(24)
                     .cast("bigint").alias("prefix")))
+
+
+_WIDE = """feed AS (SELECT DISTINCT 6 AS family, 20 + user_id % 100 AS len, (8193::HUGEINT * 65536 + 3512) * (1::HUGEINT << 96)
+   + (user_id % 16)::HUGEINT * (1::HUGEINT << 80) + ((user_id * 37) % 4096)::HUGEINT * (1::HUGEINT << 64) AS net FROM events
+ UNION SELECT DISTINCT 4, CAST(9 + user_id % 24 AS INT), (203::HUGEINT << 24) + ((user_id % 8)::HUGEINT << 16) + (((user_id * 11) % 256)::HUGEINT << 8) FROM events),
+ranges AS (SELECT family, len, net - net % (1::HUGEINT << (CASE family WHEN 6 THEN 128 ELSE 32 END - len)) AS lo,
+   (1::HUGEINT << (CASE family WHEN 6 THEN 128 ELSE 32 END - len)) AS width FROM feed WHERE len < CASE family WHEN 6 THEN 128 ELSE 33 END),
+addr AS (SELECT event_id, 6 AS family, (8193::HUGEINT * 65536 + 3512) * (1::HUGEINT << 96) + (user_id % 16)::HUGEINT * (1::HUGEINT << 80)
+   + ((user_id * 37) % 4096 + event_id % 3)::HUGEINT * (1::HUGEINT << 64) + event_id % 97 AS n FROM events
+ UNION ALL SELECT event_id, 4, (203::HUGEINT << 24) + ((event_id % 8)::HUGEINT << 16) + (((user_id * 11) % 256)::HUGEINT << 8) + event_id % 256 FROM events)"""
+
+
+@query("geo_ranges", "WITH " + _WIDE + """ SELECT a.event_id, CAST(a.family AS INT) AS family, CAST(max(r.len) AS INT) AS prefix FROM addr a JOIN ranges r
+ ON r.family = a.family AND a.n >= r.lo AND a.n < r.lo + r.width GROUP BY 1, 2""")
+def geo_ranges(spark, sf):
+    """A feed of both address families with over a hundred prefix lengths: one bucketed equi-join."""
+    e = spread(table(spark, sf, "events"))
+    hexed = lambda c: F.lower(F.hex(c))
+    u, i = F.col("user_id"), F.col("event_id")
+    six, four = 20 + u % 100, 9 + u % 24
+    wide = F.concat(F.lit("2001:db8:"), hexed(u % 16), F.lit(":"), hexed((u * 37) % 4096), F.lit("::/"), six.cast("string"))
+    narrow = F.concat(F.lit("203."), (u % 8).cast("string"), F.lit("."), ((u * 11) % 256).cast("string"), F.lit(".0/"), four.cast("string"))
+    none = lambda t: F.lit(None).cast(t)
+    feed = e.select(F.explode(F.array(F.struct(wide.alias("cidr"), six.cast("int").alias("prefix_len")), F.struct(narrow.alias("cidr"), four.cast("int").alias("prefix_len"))))
+                    .alias("r")).select("r.*").distinct().select("*", F.col("cidr").alias("label"), none("double").alias("lat"), none("double").alias("lon"), none("string").alias("category"))
+    ip6 = F.concat(F.lit("2001:DB8:"), hexed(u % 16), F.lit(":"), hexed((u * 37) % 4096 + i % 3), F.lit("::"), hexed(i % 97))
+    ip4 = F.concat_ws(".", F.lit("203"), (i % 8).cast("string"), ((u * 11) % 256).cast("string"), (i % 256).cast("string"))
+    asked = e.select("event_id", F.explode(F.array(F.struct(F.lit(6).alias("family"), ip6.alias("ip")), F.struct(F.lit(4).alias("family"), ip4.alias("ip")))).alias("a")).select("event_id", "a.*")
+    places = locate(asked.select("ip"), feed).filter("prefix_len IS NOT NULL")
+    return asked.join(places, "ip").select("event_id", "family", F.col("prefix_len").alias("prefix"))

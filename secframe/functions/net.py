@@ -86,7 +86,29 @@ def is_internal(ip: Column) -> Column:
     return in_networks(ip, INTERNAL_NETS)
 
 
-def network_of(number: Column, prefix_len: Column) -> Column:
-    """IPv4 number truncated to a prefix length."""
-    size = F.pow(F.lit(2.0), (F.lit(32) - prefix_len).cast("double")).cast("bigint")
-    return number - F.pmod(number, size)
+def address_key(ip: Column) -> Column:
+    """Address of either family as sortable text: its family and its hex digits; null when invalid."""
+    v4 = _bind(ipv4_number(ip), lambda n: F.concat(F.lit("4"), F.lower(F.lpad(F.hex(n), 8, "0"))))
+    v6 = _bind(ipv6_hex(ip), lambda h: F.concat(F.lit("6"), h))
+    return F.when(ip.contains(":"), v6).otherwise(v4)
+
+
+def range_of(cidr: Column) -> Column:
+    """``address/length`` -> struct of the first and last key of the block; host bits are ignored."""
+    def block(p: Column) -> Column:
+        key, bits = p["key"], p["bits"]
+        size = (F.length(key) - 1) * 4
+        whole, rest = F.floor(bits / 4).cast("int"), (bits % 4).cast("int")
+        head = F.substring(key, F.lit(1), whole + 1)
+        digit = F.conv(F.substring(key, whole + 2, F.lit(1)), 16, 10).cast("int")
+        step = F.element_at(F.array(F.lit(16), F.lit(8), F.lit(4), F.lit(2)), rest + 1)
+        low = F.when(rest > 0, F.lower(F.hex((digit - digit % step).cast("bigint")))).otherwise("")
+        high = F.when(rest > 0, F.lower(F.hex((digit - digit % step + step - 1).cast("bigint")))).otherwise("")
+        fits = key.isNotNull() & (bits >= 0) & (bits <= size)
+        return F.when(fits, F.struct(F.rpad(F.concat(head, low), F.length(key), F.lit("0")).alias("lo"),
+                                     F.rpad(F.concat(head, high), F.length(key), F.lit("f")).alias("hi")))
+    address = F.trim(F.split_part(cidr, F.lit("/"), F.lit(1)))
+    key = address_key(address)
+    given = F.split_part(cidr, F.lit("/"), F.lit(2))
+    bits = F.when(given == "", F.when(address.contains(":"), 128).otherwise(32)).otherwise(given.try_cast("int"))
+    return _bind(F.struct(key.alias("key"), bits.alias("bits")), block)

@@ -1,29 +1,57 @@
-"""Longest-prefix geolocation as hash joins on (prefix length, network)."""
+"""Geolocation by address ranges of both families, the narrowest range first, as one equi-join."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from secframe.functions.net import ipv4_number, is_internal, network_of
+from secframe.functions.net import address_key, is_internal, range_of
+
+#: Hex digits of an address that buckets are named by: every second one, per family.
+_LEVELS = {"4": range(0, 9, 2), "6": range(0, 33, 2)}
+
+
+def range_table(ranges: DataFrame) -> DataFrame:
+    """Rows with ``cidr``, or ``first_ip`` and ``last_ip``, as ranges of address keys with their bucket.
+
+    A range lies in the bucket of the leading digits that both its ends share (an even number of
+    them).  So it is stored once, and a bucket holds only ranges that cross one of the 255 borders
+    between its sub-buckets: a few hundred at most, times the depth to which ranges overlap.
+    Ranges that do not parse are left out.
+    """
+    if "cidr" in ranges.columns:
+        both = range_of(F.col("cidr"))
+        lo, hi = both["lo"], both["hi"]
+    else:
+        lo, hi = address_key(F.col("first_ip")), address_key(F.col("last_ip"))
+    df = ranges.select(*[c for c in ranges.columns if c not in ("cidr", "first_ip", "last_ip")], lo.alias("lo"), hi.alias("hi"))
+    df = df.filter(F.col("lo").isNotNull() & F.col("hi").isNotNull() & (F.length("lo") == F.length("hi")) & (F.col("lo") <= F.col("hi")))
+    shared = F.aggregate(F.sequence(F.lit(2), F.length("lo")), F.lit(1), lambda n, i: F.when(
+        (n == i - 1) & (F.substring(F.col("lo"), F.lit(1), i) == F.substring(F.col("hi"), F.lit(1), i)), i).otherwise(n))
+    return df.withColumn("bucket", F.substring(F.col("lo"), F.lit(1), shared - (shared + 1) % 2))
+
+
+def buckets_of(key: Column) -> Column:
+    """All buckets that can hold a range around an address: one per level of its family."""
+    names = lambda family: F.array(*[F.substring(key, 1, 1 + n) for n in _LEVELS[family]])
+    return F.when(key.startswith("4"), names("4")).otherwise(names("6"))
 
 
 def locate(ips: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Distinct ``ip`` -> label, lat, lon, category, internal; the longest matching prefix wins.
+    """Distinct ``ip`` -> label, lat, lon, category, prefix_len, internal; the narrowest range wins.
 
-    An address is expanded to one network number per prefix length in use (at most 33), which
-    turns the range lookup into an equi-join that works for any table size.
+    Of nested ranges that is the one that starts last and ends first; ``prefix_len`` is null for
+    ranges that were not given as blocks.  Nothing is collected: an address meets the buckets of all
+    levels of its family (five or seventeen) in one join, whatever is in the feed.
     """
     ips = ips.select("ip").filter(F.col("ip").isNotNull()).distinct()
-    lengths = [r[0] for r in prefixes.select("prefix_len").distinct().limit(33).collect()]
-    number = ipv4_number(F.col("ip"))
-    nets = F.array(*[F.struct(F.lit(n).alias("prefix_len"),
-                              network_of(number, F.lit(n)).alias("network"))
-                     for n in sorted(lengths)]) if lengths else F.array().cast(
-        "array<struct<prefix_len:int,network:bigint>>")
-    probes = ips.select("ip", F.explode(nets).alias("net")).select("ip", "net.*")
-    found = (probes.join(prefixes, ["prefix_len", "network"])
-             .groupBy("ip").agg(F.max_by(F.struct("label", "lat", "lon", "category"),
-                                         "prefix_len").alias("g")))
+    ranges = range_table(prefixes)
+    if "prefix_len" not in ranges.columns:
+        ranges = ranges.withColumn("prefix_len", F.lit(None).cast("int"))
+    keyed = ips.withColumn("key", address_key(F.col("ip"))).filter(F.col("key").isNotNull())
+    probes = keyed.select("ip", "key", F.explode(buckets_of(F.col("key"))).alias("bucket"))
+    inside = probes.join(ranges, "bucket").filter((F.col("key") >= F.col("lo")) & (F.col("key") <= F.col("hi")))
+    found = inside.groupBy("ip", "lo").agg(F.min_by(F.struct("label", "lat", "lon", "category", "prefix_len", "hi"), F.struct("hi", "label")).alias("g"))
+    found = found.groupBy("ip").agg(F.max_by("g", "lo").alias("g"))
     return (ips.join(found, "ip", "left")
             .select("ip", F.coalesce("g.label", F.when(is_internal(F.col("ip")), "private range"))
-                    .alias("label"), "g.lat", "g.lon", "g.category",
+                    .alias("label"), "g.lat", "g.lon", "g.category", "g.prefix_len",
                     is_internal(F.col("ip")).alias("internal")))

@@ -74,13 +74,10 @@ ASSETS = [
 
 
 def geo_prefixes(spark: SparkSession, rows=GEO_PREFIXES) -> DataFrame:
-    """(prefix_len, network, label, lat, lon, category); network is the IPv4 base as a bigint."""
-    def expand(cidr, *rest):
-        net = ipaddress.ip_network(cidr)
-        return (net.prefixlen, int(net.network_address), *rest)
+    """(cidr, label, lat, lon, category, prefix_len) for either address family."""
+    expand = lambda cidr, *rest: (cidr, *rest, ipaddress.ip_network(cidr).prefixlen)
     return spark.createDataFrame([expand(*r) for r in rows],
-                                 "prefix_len int, network bigint, label string, lat double, "
-                                 "lon double, category string")
+                                 "cidr string, label string, lat double, lon double, category string, prefix_len int")
 
 
 def intel_ip(spark, rows=INTEL_IP) -> DataFrame:
