@@ -1,17 +1,30 @@
 """Alert rows: counts, times, entities, distinct values and evidence samples.
 
-Groups behind an alert can be huge, so nothing here collects raw events.  Everything kept per
-alert (12 values per entity, 25 distinct values, 6 samples) is chosen by rank first.
+Groups behind an alert can be huge, so nothing here collects raw events.  The lists an alert row
+shows (``Shown``: 12 values per entity, 25 distinct values, 6 samples by default) are chosen by rank
+first.  All entity values are in the long table ``entity_values`` (alert_id, kind, pos, value), which
+enrichment, correlation and the response plan read instead of the lists.
 """
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from secframe.operators.hits import DISTINCT_FIELDS, ENTITY_FIELDS, literal_by_rule
 from secframe.operators.skew import first_k
 
-# fixed values: how much evidence an alert keeps
-ENTITY_VALUES, DISTINCT_VALUES, SAMPLE_ROWS, SAMPLE_CHARS = 12, 25, 6, 160
+
+@dataclass(frozen=True)
+class Shown:
+    """How much an alert row shows; joins and scores see everything."""
+    entity_values: int = 12
+    distinct_values: int = 25
+    sample_rows: int = 6
+    sample_chars: int = 160
+
+
+SHOWN = Shown()
 
 ENTITIES_TYPE = "map<string,array<string>>"
 SAMPLE_TYPE = "array<struct<ts:timestamp,action:string,text:string>>"
@@ -42,10 +55,10 @@ def _text(name: str) -> Column:
     return F.when(value != "", value)
 
 
-def sample_text() -> Column:
+def sample_text(chars: int = SHOWN.sample_chars) -> Column:
     return F.substring(F.coalesce(_text("process_command_line"), _text("url_path"),
                                   _text("dns_question_name"), _text("file_path"), F.lit("")),
-                       1, SAMPLE_CHARS)
+                       1, chars)
 
 
 def transfer_bytes() -> Column:
@@ -68,26 +81,40 @@ def _ranked_values(df: DataFrame) -> Column:
                        lambda x: x["value"])
 
 
-def entity_lists(members: DataFrame) -> DataFrame:
-    """Up to 12 distinct values per (alert, field), in event order."""
-    kept = first_k(_values(members, ENTITY_FIELDS), ["alert_id", "field"], ["at", "value"],
-                   ENTITY_VALUES)
+PLACE = "struct<place:int,t:bigint,event_seq:bigint>"
+
+
+def entity_values(members: DataFrame) -> DataFrame:
+    """All distinct entity values of alerts: (alert_id, kind, pos, value), ``pos`` being the first place of each."""
+    return _values(members, ENTITY_FIELDS).select("alert_id", F.col("field").alias("kind"), F.col("at").cast(PLACE).alias("pos"), "value")
+
+
+def listed_values(alerts: DataFrame) -> DataFrame:
+    """The same from the lists of alert rows, for alerts that carry all their values in them."""
+    return (alerts.select("alert_id", F.explode("entities").alias("kind", "values"))
+            .select("alert_id", "kind", F.posexplode("values").alias("i", "value"))
+            .select("alert_id", "kind", F.struct(F.lit(0).alias("place"), F.col("i").cast("bigint").alias("t"),
+                                                 F.lit(0).cast("bigint").alias("event_seq")).cast(PLACE).alias("pos"), "value"))
+
+
+def entity_lists(members: DataFrame, keep: int = SHOWN.entity_values) -> DataFrame:
+    """The first distinct values per (alert, field), in event order."""
+    kept = first_k(_values(members, ENTITY_FIELDS), ["alert_id", "field"], ["at", "value"], keep)
     return kept.groupBy("alert_id", "field").agg(_ranked_values(kept).alias("values"))
 
 
-def distinct_lists(members: DataFrame) -> DataFrame:
-    """Up to 25 distinct values per (alert, field) in value order, only where there are several."""
-    kept = first_k(_values(members, DISTINCT_FIELDS), ["alert_id", "field"], ["value"],
-                   DISTINCT_VALUES)
+def distinct_lists(members: DataFrame, keep: int = SHOWN.distinct_values) -> DataFrame:
+    """The first distinct values per (alert, field) in value order, only where there are several."""
+    kept = first_k(_values(members, DISTINCT_FIELDS), ["alert_id", "field"], ["value"], max(2, keep))
     return (kept.groupBy("alert_id", "field").agg(_ranked_values(kept).alias("values"))
             .filter(F.size("values") > 1))
 
 
-def samples(members: DataFrame) -> DataFrame:
-    """First 6 events of each alert: time, action and the most telling text."""
+def samples(members: DataFrame, shown: Shown = SHOWN) -> DataFrame:
+    """First events of each alert: time, action and the most telling text."""
     kept = first_k(members.select("alert_id", "place", "t", "event_seq", "event_action",
-                                  sample_text().alias("text")),
-                   ["alert_id"], ["place", "t", "event_seq"], SAMPLE_ROWS)
+                                  sample_text(shown.sample_chars).alias("text")),
+                   ["alert_id"], ["place", "t", "event_seq"], shown.sample_rows)
     row = F.struct("rank", F.timestamp_micros("t").alias("ts"),
                    F.col("event_action").alias("action"), "text")
     return kept.groupBy("alert_id").agg(
@@ -96,7 +123,7 @@ def samples(members: DataFrame) -> DataFrame:
                                        x["text"].alias("text"))).alias("sample"))
 
 
-def summarize(members: DataFrame) -> DataFrame:
+def summarize(members: DataFrame, shown: Shown = SHOWN) -> DataFrame:
     """Members (one row per alert and event) -> one row per alert.
 
     The pieces are small by construction, so they meet in a single final grouping.
@@ -112,9 +139,9 @@ def summarize(members: DataFrame) -> DataFrame:
     pieces = [
         stats.select("alert_id", "stats", blank(listed).alias("e"), blank(listed).alias("d"),
                      blank(SAMPLE_TYPE).alias("sample")),
-        entity_lists(members).select("alert_id", F.struct("field", "values").alias("e")),
-        distinct_lists(members).select("alert_id", F.struct("field", "values").alias("d")),
-        samples(members).select("alert_id", "sample")]
+        entity_lists(members, shown.entity_values).select("alert_id", F.struct("field", "values").alias("e")),
+        distinct_lists(members, shown.distinct_values).select("alert_id", F.struct("field", "values").alias("d")),
+        samples(members, shown).select("alert_id", "sample")]
     whole = pieces[0]
     for p in pieces[1:]:
         whole = whole.unionByName(p, allowMissingColumns=True)

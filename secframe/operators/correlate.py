@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from secframe.functions.net import is_internal
 from secframe.functions.values import floor_div, micros
+from secframe.operators.alerts import listed_values
 from secframe.operators.components import connected_components
 from secframe.operators.enrich import entity, level
 from secframe.operators.skew import first_k, global_rank, previous_in_order, time_slices
@@ -13,7 +14,7 @@ from secframe.session import materialize
 
 STRONG = ["user_name", "host_name"]
 WEAK = ["source_ip", "destination_domain", "destination_ip", "process_name"]
-# fixed values: what an incident keeps
+# what an incident row shows by default
 ENTITY_VALUES, NOTES, TIMELINE_ROWS = 12, 6, 14
 HOUR = 3_600_000_000
 
@@ -94,21 +95,45 @@ def shared_kinds(a: Column, b: Column) -> Column:
     return total
 
 
+def value_rows(alerts: DataFrame, values: DataFrame) -> DataFrame:
+    """One row per alert and entity value from the long table of all values; no sets are held."""
+    inside = (F.col("kind") == "source_ip") & F.coalesce(is_internal(F.col("value")), F.lit(False))
+    wanted = values.filter(F.col("kind").isin(STRONG + WEAK) & ~inside).select("alert_id", "kind", "value").distinct()
+    return alerts.select("alert_id", "score", "first_seen", "last_seen").join(wanted, "alert_id")
+
+
+def share_two_kinds(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b) of the pairs that overlap in two entity kinds; the smaller alert's values are looked up in the larger one."""
+    rows = rows.select("alert_id", "kind", "value")
+    size = rows.groupBy("alert_id").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda side: size.select(F.col("alert_id").alias(side), F.col("n").alias(f"n_{side}"))
+    sized = pairs.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
+    small = F.col("n_a") <= F.col("n_b")
+    sized = sized.select("a", "b", F.when(small, F.col("a")).otherwise(F.col("b")).alias("alert_id"), F.when(small, F.col("b")).otherwise(F.col("a")).alias("other"))
+    both = sized.join(rows, "alert_id").join(rows.withColumnRenamed("alert_id", "other"), ["other", "kind", "value"])
+    return both.groupBy("a", "b").agg(F.min("kind").alias("lo"), F.max("kind").alias("hi")).filter("lo < hi").select("a", "b")
+
+
 def link_alerts(alerts: DataFrame, window_minutes: float = cfg.CORRELATION_MINUTES,
-                order: str = "score") -> DataFrame:
+                order: str = "score", values: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) between neighbouring alerts of an entity value.
 
     Strong keys (user, host) link on their own, weak ones only when at least two kinds overlap.
     Neighbours are taken in score order (``order="score"``) or by last activity
     (``order="time"``).  A value shared by very many alerts is never one group: score order looks
     back inside (value, score, hour) bins stitched at their ends, time order inside time slices.
+    With ``values`` (the long table of all entity values) links do not depend on the lists that
+    alert rows show.
     """
-    base = correlation_keys(alerts)
-    if order == "score":        # read by three branches below
-        base = materialize(base, "alert-keys")
-    rows = entity_rows(base)
     keys, span = ["kind", "value"], int(window_minutes * 60_000_000)
-    me = F.struct("alert_id", "last_seen", "sets")
+    if values is not None:
+        rows = materialize(value_rows(alerts, values), "alert-values")
+        whole, me = rows, F.struct("alert_id", "last_seen")
+    else:
+        base = correlation_keys(alerts)
+        if order == "score":        # read by three branches below
+            base = materialize(base, "alert-keys")
+        rows, me = entity_rows(base), F.struct("alert_id", "last_seen", "sets")
     if order == "score":
         rows = rows.withColumn("hour", floor_div(micros(F.col("first_seen")), HOUR))
         rows = previous_in_order(rows, keys, [("score", True), ("hour", False)],
@@ -119,15 +144,19 @@ def link_alerts(alerts: DataFrame, window_minutes: float = cfg.CORRELATION_MINUT
         rows = rows.withColumn("prev", F.lag(me).over(w)).filter("own")
     else:
         raise ValueError(f"unknown order {order!r}")
-    return (close_pairs(rows, span)
-            .select(F.least("alert_id", "prev.alert_id").alias("a"),
-                    F.greatest("alert_id", "prev.alert_id").alias("b"), "kind", "value"))
+    ends = [F.least("alert_id", "prev.alert_id").alias("a"), F.greatest("alert_id", "prev.alert_id").alias("b"), "kind", "value"]
+    if values is None:
+        return close_pairs(rows, span).select(*ends)
+    gap = F.abs(micros(F.col("last_seen")) - micros(F.col("prev.last_seen")))
+    close = materialize(rows.filter(F.col("prev").isNotNull() & (gap <= span)).select(*ends), "close-pairs")
+    weak = close.filter(~F.col("kind").isin(STRONG))
+    return close.filter(F.col("kind").isin(STRONG)).unionByName(weak.join(share_two_kinds(weak, whole), ["a", "b"]))
 
 
 def correlate(alerts: DataFrame, window_minutes: float = cfg.CORRELATION_MINUTES,
-              order: str = "score") -> DataFrame:
+              order: str = "score", values: DataFrame | None = None) -> DataFrame:
     """(alert_id, component)."""
-    edges = link_alerts(alerts, window_minutes, order)
+    edges = link_alerts(alerts, window_minutes, order, values)
     nodes = alerts.select(F.col("alert_id").alias("node"))
     return connected_components(edges.select("a", "b"), nodes).select(
         F.col("node").alias("alert_id"), "component")
@@ -151,27 +180,37 @@ def kill_chain(tactic: Column) -> Column:
     return F.transform(ordered, lambda x: x["t"])
 
 
-def merged_entities(grouped: DataFrame, by: str, keep: int = ENTITY_VALUES) -> DataFrame:
-    """Union of entity values per kind over a group of alerts, earliest alerts first."""
-    values = (grouped.select(by, "first_seen", "alert_id",
-                             F.explode("entities").alias("kind", "values"))
-              .select(by, "kind", "first_seen", "alert_id",
-                      F.posexplode("values").alias("pos", "value"))
-              .groupBy(by, "kind", "value")
-              .agg(F.min(F.struct("first_seen", "alert_id", "pos")).alias("at")))
-    kept = first_k(values, [by, "kind"], ["at", "value"], keep)
+def merged_values(grouped: DataFrame, by: str, values: DataFrame | None = None) -> DataFrame:
+    """All entity values of groups of alerts with the first place of each: (by, kind, value, at)."""
+    values = listed_values(grouped) if values is None else values
+    return (grouped.select(by, "first_seen", "alert_id").join(values, "alert_id").groupBy(by, "kind", "value")
+            .agg(F.min(F.struct("first_seen", "alert_id", "pos")).alias("at")))
+
+
+def merged_entities(grouped: DataFrame, by: str, keep: int = ENTITY_VALUES, values: DataFrame | None = None) -> DataFrame:
+    """The first entity values per kind over a group of alerts, earliest alerts first."""
+    kept = first_k(merged_values(grouped, by, values), [by, "kind"], ["at", "value"], keep)
     lists = kept.groupBy(by, "kind").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("v"))
     return lists.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("kind", "v")))
                                  .alias("entities"))
 
 
-def incident_timeline(grouped: DataFrame, by: str = "component") -> DataFrame:
-    """First 14 alerts of each incident in time order and how many follow."""
+def entity_prints(grouped: DataFrame, by: str, values: DataFrame | None = None) -> DataFrame:
+    """Number and order-free hash of all entity values of a group; nothing is listed."""
+    values = listed_values(grouped) if values is None else values
+    flat = grouped.select(by, "alert_id").join(values, "alert_id").select(by, "kind", "value").distinct()
+    return flat.groupBy(by).agg(F.count(F.lit(1)).alias("entity_count"), F.bit_xor(F.xxhash64("kind", "value")).alias("_x"),
+                                F.bit_xor(F.xxhash64("value", "kind")).alias("_y")).select(
+        by, "entity_count", F.concat_ws("-", F.hex("_x"), F.hex("_y")).alias("_print"))
+
+
+def incident_timeline(grouped: DataFrame, by: str = "component", keep: int = TIMELINE_ROWS) -> DataFrame:
+    """First alerts of each incident in time order and how many follow."""
     total = grouped.groupBy(by).agg(F.count(F.lit(1)).alias("total"))
     kept = first_k(grouped.select(by, "first_seen", "alert_id", "severity", "score", "rule_id",
                                   "rule_name", "technique"),
-                   [by], ["first_seen", "alert_id"], TIMELINE_ROWS)
+                   [by], ["first_seen", "alert_id"], keep)
     row = F.struct("rank", "first_seen", "severity", "score", "rule_id", "rule_name", "technique")
     rows = kept.groupBy(by).agg(F.array_sort(F.collect_list(row)).alias("events"))
     return rows.join(total, by).withColumn("further", F.col("total") - F.size("events"))
@@ -191,8 +230,10 @@ def _short(name: Column) -> Column:
     return F.split_part(name, F.lit(" -"), F.lit(1))
 
 
-def build_incidents(alerts: DataFrame, components: DataFrame, run_ts=None) -> DataFrame:
-    """One row per component."""
+def build_incidents(alerts: DataFrame, components: DataFrame, run_ts=None, values: DataFrame | None = None,
+                    keep: int = ENTITY_VALUES, notes_kept: int = NOTES, timeline_rows: int = TIMELINE_ROWS) -> DataFrame:
+    """One row per component.  The three numbers say how much a row shows; ``entity_count`` and the
+    fingerprint cover all entity values."""
     grouped = materialize(alerts.join(components, "alert_id"), "grouped-alerts")
     at = F.struct("first_seen", "alert_id")
     stats = grouped.groupBy("component").agg(
@@ -206,11 +247,11 @@ def build_incidents(alerts: DataFrame, components: DataFrame, run_ts=None) -> Da
               .groupBy("component").agg(F.array_sort(F.collect_set("technique")).alias("techniques")))
     noted = first_k(grouped.filter(F.coalesce("note", F.lit("")) != "")
                     .select("component", "first_seen", "alert_id", "note"),
-                    ["component"], ["first_seen", "alert_id"], NOTES)
+                    ["component"], ["first_seen", "alert_id"], notes_kept)
     notes = noted.groupBy("component").agg(F.transform(F.array_sort(F.collect_list(
         F.struct("rank", "note"))), lambda x: x["note"]).alias("triage_notes"))
-    entities = merged_entities(grouped, "component")
-    lines = incident_timeline(grouped).select("component", F.col("events").alias("timeline"),
+    entities = merged_entities(grouped, "component", keep, values).join(entity_prints(grouped, "component", values), "component")
+    lines = incident_timeline(grouped, keep=timeline_rows).select("component", F.col("events").alias("timeline"),
                                               "further")
     out = stats
     for piece in (skills, notes, entities, lines):
@@ -223,14 +264,12 @@ def build_incidents(alerts: DataFrame, components: DataFrame, run_ts=None) -> Da
              .when(n > 2, F.concat(F.lit("Campaign: "), _short(F.col("_first_name")), F.lit(" + "),
                                    (n - 1).cast("string"), F.lit(" related")))
              .otherwise(F.concat_ws(" - ", F.col("_first_name"), who)))
-    flat = F.array_join(F.array_sort(F.transform(F.map_entries(F.coalesce(
-        "entities", F.create_map().cast("map<string,array<string>>"))), lambda e: F.concat(
-            e["key"], F.lit("="), F.array_join(e["value"], ",")))), ";")
     out = out.withColumns({
         "title": title, "techniques": F.coalesce("techniques", empty),
         "triage_notes": F.coalesce("triage_notes", empty),
         "chain": F.array_join("tactics", " -> "),
-        "fingerprint": F.substring(F.sha1(F.concat_ws("|", F.array_join("rules", "|"), flat)), 1, 12),
+        "fingerprint": F.substring(F.sha1(F.concat_ws("|", F.array_join("rules", "|"), F.coalesce("_print", F.lit("")))), 1, 12),
+        "entity_count": F.coalesce("entity_count", F.lit(0)).cast("bigint"),
         "recommended_priority": priority(F.col("score")),
         "sla_due": sla_due(F.col("severity"), F.col("opened_at")),
         "status": F.lit("new"), "assignee": F.lit(None).cast("string"),
@@ -243,11 +282,11 @@ def build_incidents(alerts: DataFrame, components: DataFrame, run_ts=None) -> Da
     number = F.col("rank").cast("string")
     return out.withColumn("case_id", F.concat_ws("-", F.lit("INC"), day, F.when(
         F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number))).drop(
-            "_first_name", "_last_name", "_hour")
+            "_first_name", "_last_name", "_hour", "_print")
 
 
 def incidents(alerts: DataFrame, window_minutes: float = cfg.CORRELATION_MINUTES,
-              order: str = "score", run_ts=None):
+              order: str = "score", run_ts=None, values: DataFrame | None = None):
     """Deduplicated alerts -> (incidents, membership of alerts)."""
-    components = materialize(correlate(alerts, window_minutes, order), "components")
-    return build_incidents(alerts, components, run_ts), components
+    components = materialize(correlate(alerts, window_minutes, order, values), "components")
+    return build_incidents(alerts, components, run_ts, values), components

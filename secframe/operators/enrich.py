@@ -5,29 +5,31 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from secframe.functions.net import is_internal
 from secframe.functions.values import any_of
+from secframe.operators.alerts import listed_values
 from secframe.operators.geo import locate
+from secframe.operators.skew import first_k
 from secframe.plans import settings as cfg
 
-ASSET_HOSTS = 6
+#: What a row shows: asset hosts, intel hits, and hits named in the reason.
+ASSET_HOSTS, INTEL_HITS, REASON_HITS = 6, 12, 4
 
 
 def entity(name: str) -> Column:
     return F.col("entities").getItem(name)
 
 
-def _exploded(alerts: DataFrame, *kinds: str) -> DataFrame:
-    """(alert_id, kind, pos, value); an alert holds at most a dozen values per kind."""
-    listed = F.array(*[F.struct(F.lit(k).alias("kind"), entity(k).alias("values")) for k in kinds])
-    return (alerts.select("alert_id", F.explode(listed).alias("e"))
-            .select("alert_id", F.col("e.kind").alias("kind"),
-                    F.posexplode("e.values").alias("pos", "value")))
+def _exploded(alerts: DataFrame, *kinds: str, values: DataFrame | None = None) -> DataFrame:
+    """(alert_id, kind, pos, value) of some kinds: from the long table of all values, or from the alerts' lists."""
+    values = listed_values(alerts) if values is None else values
+    return values.filter(F.col("kind").isin(*kinds))
 
 
 def match_ips(values: DataFrame, intel_ip: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Exact feed hits; addresses in anonymizer networks count as hits of a fixed confidence."""
     ips = values.filter(F.col("kind").isin("source_ip", "destination_ip"))
     feed = intel_ip.select(F.col("ip").alias("value"), F.col("category").alias("f_category"),
-                           F.col("confidence").alias("f_confidence"))
+                           F.col("confidence").alias("f_confidence"), *([F.col("feed").alias("f_feed")] if "feed" in intel_ip.columns
+                                                                        else [F.lit(None).cast("string").alias("f_feed")]))
     places = locate(ips.select(F.trim("value").alias("ip")), prefixes).select(
         F.col("ip").alias("value"), F.col("category").alias("g_category"))
     anonymous = F.col("g_category") == "anonymizer"
@@ -36,8 +38,9 @@ def match_ips(values: DataFrame, intel_ip: DataFrame, prefixes: DataFrame) -> Da
             .withColumn("category", F.coalesce("f_category", F.when(anonymous, "anonymizer")))
             .withColumn("confidence", F.coalesce("f_confidence", F.when(
                 anonymous, F.lit(cfg.ANONYMIZER_CONFIDENCE))))
+            .withColumn("feed", F.when(F.col("f_category").isNotNull(), F.col("f_feed")).when(anonymous, cfg.ANONYMIZER_SOURCE))
             .filter(F.col("category").isNotNull())
-            .select("alert_id", "kind", "pos", "value", "category", "confidence"))
+            .select("alert_id", "kind", "pos", "value", "category", "confidence", "feed"))
 
 
 def domain_suffixes(domain: Column) -> Column:
@@ -55,18 +58,24 @@ def match_domains(values: DataFrame, intel_domain: DataFrame) -> DataFrame:
     feed = intel_domain.withColumn("suffix", F.lower("suffix"))
     hit = F.min(F.struct("feed_rank", "suffix", "category", "confidence")).alias("h")
     return (tried.join(feed, "suffix").groupBy("alert_id", "kind", "pos", "value").agg(hit)
-            .select("alert_id", "kind", "pos", "value", "h.category", "h.confidence"))
+            .select("alert_id", "kind", "pos", "value", "h.category", "h.confidence", F.lit("domain-feed").alias("feed")))
 
 
-def asset_hosts(alerts: DataFrame, assets: DataFrame) -> DataFrame:
-    """Hosts of alerts that name none, from the source (else destination) addresses."""
-    ips = F.coalesce(entity("source_ip"), entity("destination_ip"))
-    bare = alerts.filter(entity("host_name").isNull()).select(
-        "alert_id", F.posexplode(ips).alias("pos", "ip"))
-    found = F.array_sort(F.collect_list(F.struct("pos", "host_name")))
-    return (bare.join(assets, "ip").groupBy("alert_id")
-            .agg(F.slice(F.transform(found, lambda x: x["host_name"]), 1, ASSET_HOSTS)
-                 .alias("asset_hosts")))
+def asset_values(alerts: DataFrame, values: DataFrame, assets: DataFrame) -> DataFrame:
+    """(alert_id, kind, pos, value): all hosts of alerts that name none, from the source (else destination) addresses."""
+    named = values.filter(F.col("kind") == "host_name").select("alert_id").distinct()
+    source = values.filter(F.col("kind") == "source_ip")
+    other = values.filter(F.col("kind") == "destination_ip").join(source.select("alert_id").distinct(), "alert_id", "left_anti")
+    ips = source.unionByName(other).join(named, "alert_id", "left_anti").withColumnRenamed("value", "ip")
+    return (ips.join(assets, "ip").groupBy("alert_id", F.col("host_name").alias("value")).agg(F.min("pos").alias("pos"))
+            .select("alert_id", F.lit("host_name").alias("kind"), "pos", "value"))
+
+
+def asset_hosts(alerts: DataFrame, assets: DataFrame, values: DataFrame | None = None, keep: int = ASSET_HOSTS) -> DataFrame:
+    """The first hosts per alert, as shown in its row."""
+    found = asset_values(alerts, listed_values(alerts) if values is None else values, assets)
+    kept = first_k(found, ["alert_id"], ["pos", "value"], keep)
+    return kept.groupBy("alert_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("asset_hosts"))
 
 
 def is_privileged(user: Column, hints=cfg.PRIVILEGED_HINTS) -> Column:
@@ -106,8 +115,7 @@ def score_terms() -> list:
     """(applies, points, reason) per contribution, over enriched alert columns."""
     first = lambda k: F.get(entity(k), F.lit(0))
     user, host = first("user_name"), first("host_name")
-    outside = F.get(F.filter(F.coalesce(entity("source_ip"), F.array().cast("array<string>")),
-                             lambda ip: ~is_internal(ip)), F.lit(0))
+    outside = F.col("outside_ip")
     kinds = F.size(F.map_filter("entities", lambda k, v: F.size(v) > 0))
     b = cfg.BOOSTS
     text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
@@ -144,9 +152,14 @@ def base_score(severity: Column, risk: Column) -> Column:
 
 def enrich(alerts: DataFrame, intel_ip: DataFrame | None = None,
            intel_domain: DataFrame | None = None, prefixes: DataFrame | None = None,
-           assets: DataFrame | None = None, run_ts=None) -> DataFrame:
+           assets: DataFrame | None = None, run_ts=None, values: DataFrame | None = None,
+           shown_hits: int = INTEL_HITS) -> DataFrame:
     """Scored alerts: intel hits, asset hosts, score with reasons, triage suggestion, latency.
 
+    ``values`` is the long table of all entity values (``detect_with_values``); without it the lists
+    of the alert rows are all there is.  The score uses every hit; ``intel`` shows the first
+    ``shown_hits`` of ``intel_hits``.
+
     Lookup tables are joined plainly: Spark broadcasts them while their measured size is small
     and shuffles on the lookup key when it is not.
     """
@@ -156,27 +169,30 @@ def enrich(alerts: DataFrame, intel_ip: DataFrame | None = None,
     prefixes = cfg.geo_prefixes(spark) if prefixes is None else prefixes
     assets = cfg.assets(spark) if assets is None else assets
 
-    values = _exploded(alerts, "source_ip", "destination_ip", "destination_domain",
-                       "dns_question_name")
-    hits = match_ips(values, intel_ip, prefixes).unionByName(match_domains(values, intel_domain))
+    values = listed_values(alerts) if values is None else values
+    asked = _exploded(alerts, "source_ip", "destination_ip", "destination_domain", "dns_question_name", values=values)
+    hits = match_ips(asked, intel_ip, prefixes).unionByName(match_domains(asked, intel_domain))
     rank = F.when(F.col("kind") == "source_ip", 0).when(F.col("kind") == "destination_ip", 1) \
             .when(F.col("kind") == "destination_domain", 2).otherwise(3)
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(
-        rank.alias("r"), "pos", "kind", "value", "category", "confidence"))), lambda x: F.struct(
-            x["kind"].alias("kind"), x["value"].alias("value"), x["category"].alias("category"),
-            x["confidence"].alias("confidence")))
-    intel = hits.groupBy("alert_id").agg(F.max("confidence").alias("intel_confidence"),
-                                         listed.alias("intel"))
-    hosts = asset_hosts(alerts, assets)
+    hits = hits.withColumn("r", rank)
+    best = hits.groupBy("alert_id").agg(F.max("confidence").alias("intel_confidence"), F.count(F.lit(1)).alias("intel_hits"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "kind", "value", "category", "confidence", "feed"))), lambda x: F.struct(
+        *[x[f].alias(f) for f in ("kind", "value", "category", "confidence", "feed")]))
+    few = first_k(hits, ["alert_id"], ["r", "pos", "value"], shown_hits).groupBy("alert_id").agg(listed.alias("intel"))
+    outside = (values.filter((F.col("kind") == "source_ip") & ~is_internal(F.col("value"))).groupBy("alert_id")
+               .agg(F.min_by("value", F.struct("pos", "value")).alias("outside_ip")))
+    intel = best.join(few, "alert_id")
+    hosts = asset_hosts(alerts, assets, values)
     known = F.when(F.col("asset_hosts").isNotNull(), F.map_concat(
         "entities", F.create_map(F.lit("host_name"), F.col("asset_hosts")))).otherwise(
             F.col("entities"))
-    out = (alerts.join(hosts, "alert_id", "left").join(intel, "alert_id", "left")
+    out = (alerts.join(hosts, "alert_id", "left").join(intel, "alert_id", "left").join(outside, "alert_id", "left")
+           .withColumn("intel_hits", F.coalesce("intel_hits", F.lit(0)).cast("bigint"))
            .withColumn("entities", known).drop("asset_hosts")
            .withColumn("intel", F.coalesce("intel", F.array().cast(
-               "array<struct<kind:string,value:string,category:string,confidence:int>>")))
+               "array<struct<kind:string,value:string,category:string,confidence:int,feed:string>>")))
            .withColumn("intel_text", F.array_join(F.transform(
-               F.slice("intel", 1, 4), lambda h: F.concat(
+               F.slice("intel", 1, REASON_HITS), lambda h: F.concat(
                    h["value"], F.lit("="), h["category"], F.lit("(conf "),
                    h["confidence"].cast("string"), F.lit(")"))), ", ")))
     terms = [(F.coalesce(c, F.lit(False)), p, r) for c, p, r in score_terms()]
@@ -197,4 +213,4 @@ def enrich(alerts: DataFrame, intel_ip: DataFrame | None = None,
         at = (run_ts if isinstance(run_ts, Column) else F.lit(run_ts)).cast("timestamp")
         out = out.withColumn("detection_latency_s", F.greatest(
             F.lit(0), F.unix_seconds(at) - F.unix_seconds("last_seen")))
-    return out.drop("intel_text", "intel_confidence")
+    return out.drop("intel_text", "intel_confidence", "outside_ip")

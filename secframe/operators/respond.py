@@ -55,13 +55,17 @@ def _result(action: Column, target: Column) -> Column:
 
 
 def response_plan(incidents: DataFrame, alerts: DataFrame, membership: DataFrame,
-                  playbooks: DataFrame | None = None, run_ts=None) -> DataFrame:
-    """One row per (incident, action, target); incidents below the bar get one ``none`` row."""
+                  playbooks: DataFrame | None = None, run_ts=None, values: DataFrame | None = None) -> DataFrame:
+    """One row per (incident, action, target); incidents below the bar get one ``none`` row.
+
+    The target is the first value in the evidence of the triggering alerts; ``values`` is the long
+    table of all entity values, without which the alerts' lists count.
+    """
     playbooks = cfg.playbooks(alerts.sparkSession) if playbooks is None else playbooks
     members = (alerts.join(membership, "alert_id")
                .join(incidents.select("component", "case_id"), "component"))
     trig = triggers(members)
-    scoped = merged_entities(trig, "case_id", SCOPED_VALUES).withColumnRenamed("entities", "scoped")
+    scoped = merged_entities(trig, "case_id", SCOPED_VALUES, values).withColumnRenamed("entities", "scoped")
     why = trig.groupBy("case_id").agg(F.concat(
         F.array_join(F.array_sort(F.collect_set("tactic")), " + "), F.lit(" -> "),
         F.array_join(F.array_sort(F.collect_set("rule_id")), ", ")).alias("justification"))

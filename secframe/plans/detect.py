@@ -87,8 +87,14 @@ def beacon_members(hits: DataFrame, rules):
 
 
 def detect(events: DataFrame, rules, origin=None, prefixes: DataFrame | None = None,
-           lowercased=LOWERCASED, fold: bool = True) -> DataFrame:
-    """Run every rule over normalized events and return alert rows.
+           lowercased=LOWERCASED, fold: bool = True, shown: A.Shown = A.SHOWN) -> DataFrame:
+    """The alert rows of ``detect_with_values``."""
+    return detect_with_values(events, rules, origin, prefixes, lowercased, fold, shown)[0]
+
+
+def detect_with_values(events: DataFrame, rules, origin=None, prefixes: DataFrame | None = None,
+                       lowercased=LOWERCASED, fold: bool = True, shown: A.Shown = A.SHOWN):
+    """Run every rule over normalized events: (alert rows, all their entity values as a long table).
 
     ``events`` needs ``ts`` and a unique ``event_seq``.  ``origin`` anchors the tumbling windows:
     by default the earliest event, or a fixed timestamp (string or Column) for results that do
@@ -98,7 +104,7 @@ def detect(events: DataFrame, rules, origin=None, prefixes: DataFrame | None = N
     spark = events.sparkSession
     rules = load_rules(rules)
     if not rules:       # no rules, no alerts: the frame of a rule that is never asked
-        return detect(events, [{"id": "none", "condition": {"event.action": ""}}]).filter(F.lit(False))
+        return tuple(df.filter(F.lit(False)) for df in detect_with_values(events, [{"id": "none", "condition": {"event.action": ""}}]))
     modes = {r.mode for r in rules}
     needed = {"ts", "event_seq", *EVIDENCE}
     for r in rules:
@@ -134,19 +140,23 @@ def detect(events: DataFrame, rules, origin=None, prefixes: DataFrame | None = N
     if "beacon" in modes:
         parts.append(beacon_members(hits, rules))
 
-    found = None
+    found = values = None
     if parts:
         members = parts[0]
         for p in parts[1:]:
             members = members.unionByName(p)
         # entities, distinct values, samples and counts each read the members
-        found = A.summarize(materialize(members, "members")).withColumn("repeat_count", F.lit(1))
+        members = materialize(members, "members")
+        found = A.summarize(members, shown).withColumn("repeat_count", F.lit(1))
         if fold:
             found = A.fold_repeats(found)
+        values = A.entity_values(members)
     if "single" in modes:
         single = A.single_event_alerts(hits, rules)
+        own = A.listed_values(single)
         found = single if found is None else found.unionByName(single)
-    return A.finish(found, rules)
+        values = own if values is None else values.unionByName(own)
+    return A.finish(found, rules), values
 
 
 def run_summary(events: DataFrame, alerts: DataFrame, rules) -> DataFrame:

@@ -74,10 +74,12 @@ ASSETS = [
 
 
 def geo_prefixes(spark: SparkSession, rows=GEO_PREFIXES) -> DataFrame:
-    """(cidr, label, lat, lon, category, prefix_len) for either address family."""
-    expand = lambda cidr, *rest: (cidr, *rest, ipaddress.ip_network(cidr).prefixlen)
-    return spark.createDataFrame([expand(*r) for r in rows],
-                                 "cidr string, label string, lat double, lon double, category string, prefix_len int")
+    """(cidr, label, lat, lon, category, prefix_len, network); ``network`` is the first IPv4 address as a number."""
+    def expand(cidr, *rest):
+        net = ipaddress.ip_network(cidr)
+        return (cidr, *rest, net.prefixlen, int(net.network_address) if net.version == 4 else None)
+    return spark.createDataFrame([expand(*r) for r in rows], "cidr string, label string, lat double, lon double, "
+                                 "category string, prefix_len int, network bigint")
 
 
 def intel_ip(spark, rows=INTEL_IP) -> DataFrame:

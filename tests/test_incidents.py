@@ -131,3 +131,36 @@ def test_streaming_refresh_handler(alerts, spark, tmp_path):
     refresh(alerts(SHELL), 1)         # a repeated batch replaces itself
     got = latest_incidents(spark, i)
     assert got.count() == 2 and got.agg(F.max("alert_count")).first()[0] == 2
+
+
+def many(spark, place):
+    """An alert with 40 addresses, the listed one at ``place``, and one that shares its last user."""
+    ips = [f"198.18.0.{i}" for i in range(40)]
+    ips[place] = "192.0.2.99"
+    rows = [("m1", "source_ip", i, v) for i, v in enumerate(ips)] + [("m1", "user_name", i, f"u{i}") for i in range(30)]
+    rows += [("m2", "user_name", 0, "u29"), ("m3", "source_ip", 0, ips[39]), ("m3", "process_name", 0, "x.exe"), ("m1", "process_name", 0, "x.exe")]
+    values = spark.createDataFrame(rows, "alert_id string, kind string, i int, value string").selectExpr(
+        "alert_id", "kind", "named_struct('place', 0, 't', CAST(i AS BIGINT), 'event_seq', 0L) AS pos", "value")
+    return values
+
+
+@pytest.mark.parametrize("place", [0, 39])
+def test_values_beyond_the_shown_lists_count(alerts, spark, place):
+    values = many(spark, place)
+    a = alerts(alert("m1", "WIDE", "high", "discovery", "10:00:00", "10:05:00", {"source_ip": "198.18.0.0", "user_name": "u0"}),
+               alert("m2", "USER", "low", "discovery", "10:06:00", "10:06:00", {"user_name": "u29"}),
+               alert("m3", "PAIR", "low", "discovery", "10:07:00", "10:07:00", {"process_name": "x.exe"}))
+    e = {r.alert_id: r for r in enrich(a.drop("score"), values=values).collect()}
+    assert e["m1"].intel_hits == 1 and e["m1"].intel[0].feed == "feodo-block-list" and e["m2"].intel_hits == 0
+    assert e["m1"].score == enrich_score(alerts, spark, values)
+    for order in ("score", "time"):
+        assert groups(correlate(a, order=order, values=values)) == [["m1", "m2", "m3"]]
+    inc, members = incidents(a, values=values)
+    (row,) = inc.collect()
+    assert row.entity_count == 40 + 30 + 1 and len(row.entities["source_ip"]) == 12
+
+
+def enrich_score(alerts, spark, values):
+    """The score does not depend on where the listed address stands."""
+    a = alerts(alert("m1", "WIDE", "high", "discovery", "10:00:00", "10:05:00", {"source_ip": "198.18.0.0", "user_name": "u0"}))
+    return enrich(a.drop("score"), values=many(spark, 7)).filter("alert_id = 'm1'").first().score
