@@ -11,7 +11,7 @@ from secframe.operators.sequence import fired_sequences, preceded, sequence_rows
 from secframe.operators.threshold import origin_of, threshold_groups, tumbling_buckets
 from secframe.operators.travel import consecutive_moves
 from secframe.operators.alerts import single_event_alerts
-from secframe.plans.detect import detect, run_summary
+from secframe.plans.detect import detect, detect_with_values, run_summary
 from secframe.plans.rulepack import RULES
 from secframe.plans.rules import load_rules
 
@@ -168,6 +168,45 @@ def beaconing(spark, sf):
                                              F.round("cov", 3).alias("cov"))
 
 
+@query("beacon_rule", """
+WITH h AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'hot' ELSE CAST(user_id AS VARCHAR) END AS k, epoch_us(ts) AS t FROM events),
+c AS (SELECT k, t, count(*) OVER (PARTITION BY k ORDER BY t RANGE BETWEEN 259200000000 PRECEDING AND CURRENT ROW) AS n FROM h),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, t) AS rn FROM c),
+b AS (SELECT k, t AS e, n FROM r WHERE rn = 1 AND n >= 6),
+g AS (SELECT h.k, b.n, h.t, (h.t - lag(h.t) OVER (PARTITION BY h.k ORDER BY h.t)) / 1e6 AS gap FROM h JOIN b ON b.k = h.k AND h.t BETWEEN b.e - 259200000000 AND b.e),
+s AS (SELECT k, max(n) AS n, min(t) AS f, max(t) AS l, avg(gap) AS m, stddev_pop(gap) AS sd FROM g GROUP BY k)
+SELECT n AS events, n AS in_window, CAST(floor(f / 1000000) AS BIGINT) AS first_s, CAST(floor(l / 1000000) AS BIGINT) AS last_s, round_even(m, 1) AS mean_s, round_even(sd / m, 4) AS cov
+FROM s WHERE sd / m <= 1.1 AND m >= 20 AND m <= 100000""")
+def beacon_rule(spark, sf):
+    """A regularity rule from events to alert rows, one key holding half of all events."""
+    e = events(spark, sf).withColumn("k", F.when(F.col("event_id") % 2 == 0, "hot").otherwise(F.col("user_id").cast("string")))
+    rule = {"id": "R-BEAT", "condition": {"event_id": {"exists": True}}, "config": {
+        "group_by": ["k"], "threshold": {"min_events": 6, "window_minutes": 3 * DAY},
+        "time_stats": {"max_cov": 1.1, "min_interval_s": 20, "max_interval_s": 100000}}}
+    a = detect(e, [rule], lowercased=LOWER, fold=False)
+    return a.select(F.col("count").alias("events"), F.col("baseline.events_in_window").alias("in_window"), secs("first_seen").alias("first_s"),
+                    secs("last_seen").alias("last_s"), F.col("baseline.interval_mean_s").alias("mean_s"), F.col("baseline.cov").alias("cov"))
+
+
+@query("travel_rule", CAP + """, place(p, label, lat, lon) AS (VALUES ('103.216.220.', 'Chennai, IN', 13.0827::DOUBLE, 80.2707::DOUBLE), ('104.28.55.', 'Singapore, SG', 1.3521, 103.8198),
+ ('45.155.205.', 'Frankfurt, DE (anonymizer)', 50.1109, 8.6821), ('203.0.113.', 'Johannesburg, ZA', -26.2041, 28.0473), ('198.51.100.', 'Sao Paulo, BR', -23.5505, -46.6333),
+ ('192.0.2.', 'Ashburn US (bulletproof hosting)', 39.0438, -77.4874)),
+h AS (SELECT coalesce(host_name, '?') AS host, ts_s, event_seq, label, lat, lon FROM cap JOIN place ON starts_with(source_ip, p) WHERE event_action IN ('successful-logon', 'failed-logon')),
+l AS (SELECT *, lag(ts_s) OVER w AS a_s, lag(label) OVER w AS a_label, lag(lat) OVER w AS a_lat, lag(lon) OVER w AS a_lon FROM h WINDOW w AS (PARTITION BY host ORDER BY ts_s, event_seq)),
+d AS (SELECT *, (ts_s - a_s) / 60.0 AS minutes, 2 * 6371.0 * asin(least(1.0, sqrt(pow(sin((radians(lat) - radians(a_lat)) / 2), 2) + cos(radians(a_lat)) * cos(radians(lat))
+   * pow(sin((radians(lon) - radians(a_lon)) / 2), 2)))) AS km FROM l WHERE ts_s > a_s AND ts_s - a_s <= 3600),
+f AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ts_s) AS rn FROM d WHERE km >= 400)
+SELECT host, a_s AS first_s, ts_s AS last_s, a_label AS came_from, label AS went_to, CAST(round_even(km, 0) AS BIGINT) AS km, CAST(round_even(km / (minutes / 60.0), 0) AS BIGINT) AS kmh FROM f WHERE rn = 1""")
+def travel_rule(spark, sf):
+    """The shipped travel rule, widened to failed logons of a host: geolocation, first far pair per key, speed."""
+    rule = dict(next(r for r in RULES if r["id"] == "SOC-IMPTVL-005"))
+    rule["condition"] = [{"event.action": ["successful-logon", "failed-logon"], "source.ip_not_private": True}]
+    rule["window"] = {**rule["window"], "group_by": ["host.name"]}
+    a = detect(capture(spark, sf), [rule], fold=False)
+    return a.select(F.coalesce(F.col("entities")["host_name"][0], F.lit("?")).alias("host"), secs("first_seen").alias("first_s"), secs("last_seen").alias("last_s"),
+                    F.col("geo.from").alias("came_from"), F.col("geo.to").alias("went_to"), F.col("geo.distance_km").alias("km"), F.col("geo.required_speed_kmh").alias("kmh"))
+
+
 @query("null_safe_key", CAP + """ SELECT coalesce(host_name, '?') || '|' || coalesce(process_name, '?') || '|?' AS key,
  count(*) AS n FROM cap GROUP BY 1""")
 def null_safe_key(spark, sf):
@@ -250,6 +289,21 @@ def alert_entities(spark, sf):
             .withColumn("pos", F.col("pos").cast("bigint")))
 
 
+@query("alert_values", _BRUTE + """, f AS (
+ SELECT source_ip, bucket, 'user_name' AS kind, user_name AS value FROM m UNION ALL SELECT source_ip, bucket, 'host_name', host_name FROM m WHERE host_name IS NOT NULL
+ UNION ALL SELECT source_ip, bucket, 'network_bytes', CAST(network_bytes AS VARCHAR) FROM m UNION ALL SELECT source_ip, bucket, 'source_ip', source_ip FROM m),
+first AS (SELECT source_ip, bucket, min(ts_s) AS first_s FROM m GROUP BY ALL)
+SELECT f.source_ip, first.first_s, kind, count(DISTINCT value) AS n, min(value) AS lo, max(value) AS hi FROM f JOIN first USING (source_ip, bucket) GROUP BY 1, 2, 3""")
+def alert_values(spark, sf):
+    """All entity values of alerts, beyond the dozen their rows show."""
+    rule = dict(next(r for r in RULES if r["id"] == "SOC-CSTUF-004"))
+    rule["threshold"] = {**rule["threshold"], "min_distinct": 1}
+    a, values = detect_with_values(capture(spark, sf), [rule], fold=False)
+    head = a.select("alert_id", F.col("entities")["source_ip"][0].alias("source_ip"), secs("first_seen").alias("first_s"))
+    flat = values.groupBy("alert_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return head.join(flat, "alert_id").drop("alert_id")
+
+
 @query("alert_distinct", _BRUTE + """, d AS (SELECT source_ip, bucket, user_name, min(ts_s) AS f FROM m GROUP BY ALL),
 r AS (SELECT source_ip, bucket, user_name, row_number() OVER (PARTITION BY source_ip, bucket ORDER BY user_name) AS rn,
  count(*) OVER (PARTITION BY source_ip, bucket) AS total, min(f) OVER (PARTITION BY source_ip, bucket) AS first_s FROM d)

@@ -8,13 +8,14 @@ from secframe.catalog.base import (ALERTS_SQL, CAPTURE_SQL, capture, day_alerts,
                                    table)
 from secframe.catalog.detections import pack
 from secframe.operators.components import connected_components
-from secframe.operators.correlate import HOUR, correlate, incidents, link_alerts
-from secframe.operators.enrich import enrich
+from secframe.operators.correlate import HOUR, correlate, incidents, link_alerts, merged_values
+from secframe.operators.enrich import enrich, match_domains, match_ips
 from secframe.operators.hits import rule_hits
 from secframe.operators.skew import previous_in_order
 from secframe.operators.respond import contain, response_plan
 from secframe.functions.values import floor_div, micros
 from secframe.operators import views as V
+from secframe.plans import settings as cfg
 from secframe.plans.rulepack import RULES
 from secframe.plans.rules import load_rules, rules_frame
 from secframe.session import materialize
@@ -71,6 +72,66 @@ def components(spark, sf):
     return correlate(scored(spark, sf), MINUTES, "time")
 
 
+_WIDE = """wide AS (SELECT event_type || '-' || (epoch_us(ts) // 21600000000) AS alert_id, CAST(count(*) % 100 AS INT) AS score, CAST(min(epoch_us(ts)) // 1000000 AS BIGINT) AS first_s,
+  CAST(max(epoch_us(ts)) AS BIGINT) AS last_us FROM events GROUP BY event_type, epoch_us(ts) // 21600000000),
+vals AS (SELECT DISTINCT event_type || '-' || (epoch_us(ts) // 21600000000) AS alert_id, x.kind, x.value FROM events, LATERAL (VALUES
+  ('user_name', CASE WHEN user_id % 3 = 0 THEN 'u' || user_id END), ('process_name', 'p' || (event_id % 211)), ('source_ip', CASE WHEN event_id % 5 = 0 THEN '192.0.2.99'
+   ELSE '198.51.100.' || (user_id % 200) END), ('destination_domain', CASE WHEN event_id % 7 = 0 THEN 'h' || (event_id % 50) || '.exfil-drop.cloud' END)) x(kind, value) WHERE x.value IS NOT NULL)"""
+
+
+def wide_alerts(spark, sf):
+    """(alerts of six hours and their long value table): up to hundreds of values per alert."""
+    e = events(spark, sf).withColumn("alert_id", F.concat_ws("-", "event_type", floor_div(micros(F.col("ts")), 21_600_000_000).cast("string")))
+    n = F.col("user_id"), F.col("event_id")
+    text = lambda head, c: F.concat(F.lit(head), c.cast("string"))
+    kinds = {"user_name": F.when(n[0] % 3 == 0, text("u", n[0])), "process_name": text("p", n[1] % 211),
+             "source_ip": F.when(n[1] % 5 == 0, "192.0.2.99").otherwise(text("198.51.100.", n[0] % 200)),
+             "destination_domain": F.when(n[1] % 7 == 0, F.concat(text("h", n[1] % 50), F.lit(".exfil-drop.cloud")))}
+    flat = e.select("alert_id", "event_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in kinds.items()])).alias("x"))
+    values = flat.filter("x.value IS NOT NULL").groupBy("alert_id", F.col("x.kind").alias("kind"), F.col("x.value").alias("value")).agg(
+        F.struct(F.lit(0).alias("place"), F.min("event_id").alias("t"), F.lit(0).cast("bigint").alias("event_seq")).alias("pos"))
+    alerts = e.groupBy("alert_id").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), (F.count(F.lit(1)) % 100).cast("int").alias("score"))
+    return materialize(alerts, "wide-alerts"), materialize(values, "wide-values")
+
+
+@query("wide_alert_edges", "WITH " + _WIDE + f""", e2 AS (SELECT * FROM vals JOIN wide USING (alert_id)),
+lagged AS (SELECT *, lag(alert_id) OVER w AS p_id, lag(last_us) OVER w AS p_last FROM e2 WINDOW w AS (PARTITION BY kind, value ORDER BY last_us, alert_id)),
+near AS (SELECT * FROM lagged WHERE p_id IS NOT NULL AND last_us - p_last <= {WINDOW}000000),
+pairs AS (SELECT DISTINCT alert_id, p_id FROM near),
+shared AS (SELECT pairs.alert_id, pairs.p_id, count(DISTINCT x.kind) AS kinds FROM pairs JOIN vals x ON x.alert_id = pairs.alert_id
+  JOIN vals y ON y.alert_id = pairs.p_id AND y.kind = x.kind AND y.value = x.value GROUP BY 1, 2)
+SELECT least(n.alert_id, n.p_id) AS a, greatest(n.alert_id, n.p_id) AS b, kind, value FROM near n JOIN shared USING (alert_id, p_id) WHERE kind = 'user_name' OR kinds >= 2""")
+def wide_edges(spark, sf):
+    """Links over all entity values of alerts that have hundreds."""
+    a, values = wide_alerts(spark, sf)
+    return link_alerts(a, MINUTES, "time", values)
+
+
+@query("wide_alert_intel", "WITH " + _WIDE + """, h AS (SELECT alert_id, CASE WHEN value = '192.0.2.99' THEN 94 WHEN value = '198.51.100.23' THEN 71 WHEN value LIKE '%.exfil-drop.cloud' THEN 84 END AS c FROM vals)
+SELECT alert_id, count(c) AS hits, CAST(max(c) AS INT) AS confidence FROM h GROUP BY 1""")
+def wide_intel(spark, sf):
+    """Feed hits over all entity values of an alert, whatever its row shows."""
+    a, values = wide_alerts(spark, sf)
+    found = match_ips(values, cfg.intel_ip(spark), cfg.geo_prefixes(spark)).unionByName(match_domains(values, cfg.intel_domain(spark)))
+    hits = found.groupBy("alert_id").agg(F.count(F.lit(1)).alias("hits"), F.max("confidence").alias("confidence"))
+    return a.join(hits, "alert_id", "left").select("alert_id", F.coalesce("hits", F.lit(0)).alias("hits"), "confidence")
+
+
+@query("wide_incident_entities", "WITH RECURSIVE " + _WIDE + f""", e2 AS (SELECT * FROM vals JOIN wide USING (alert_id) WHERE kind = 'destination_domain'),
+lagged AS (SELECT *, lag(alert_id) OVER w AS p_id, lag(last_us) OVER w AS p_last FROM e2 WINDOW w AS (PARTITION BY kind, value ORDER BY last_us, alert_id)),
+e AS (SELECT DISTINCT alert_id AS a, p_id AS b FROM lagged WHERE p_id IS NOT NULL AND last_us - p_last <= 3600000000), w2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(n, o) AS (SELECT alert_id, alert_id FROM wide UNION SELECT r.n, w2.b FROM reach r JOIN w2 ON w2.a = r.o),
+comp AS (SELECT n AS alert_id, min(o) AS component FROM reach GROUP BY n)
+SELECT component, kind, count(DISTINCT value) AS n FROM comp JOIN vals USING (alert_id) GROUP BY 1, 2""")
+def wide_entities(spark, sf):
+    """All entity values of groups of alerts, counted from the long table."""
+    a, values = wide_alerts(spark, sf)
+    # one weak kind alone links nothing, so this query names it a strong one
+    links = link_alerts(a, 60, "time", values.filter("kind = 'destination_domain'").withColumn("kind", F.lit("host_name")))
+    comp = connected_components(links.select("a", "b"), a.select(F.col("alert_id").alias("node"))).select(F.col("node").alias("alert_id"), "component")
+    return merged_values(a.join(comp, "alert_id"), "component", values).groupBy("component", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("event_components", """WITH RECURSIVE pairs AS (SELECT user_id, lead(user_id) OVER (PARTITION BY event_type ORDER BY event_id) AS nxt,
    event_id FROM events), e AS (SELECT DISTINCT user_id AS a, nxt AS b FROM pairs WHERE nxt IS NOT NULL AND (user_id + nxt) % 41 = 0),
 w AS (SELECT a, b FROM e UNION SELECT b, a FROM e),

@@ -3,11 +3,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from secframe.functions.values import floor_div
 from secframe.operators.hits import key_by_rule, literal_by_rule
 from secframe.operators.sequence import _by_window
 from secframe.operators.skew import time_slices
 
 
+#: Parts of a dense window that are summed up on their own.
+PARTS = 64
+
+
 def instants_of(hits: DataFrame, rules) -> DataFrame:
     mine = [i for i, r in enumerate(rules) if r.mode == "beacon"]
     return (hits.filter(~F.col("is_prior") & F.col("rule_ix").isin(mine))
@@ -30,28 +35,42 @@ def densest_windows(instants: DataFrame, keys, span, lengths) -> DataFrame:
                     F.col("best.in_window").alias("in_window")))
 
 
+def in_dense(rows: DataFrame, dense: DataFrame, keys, span) -> DataFrame:
+    """Rows (keys, t) inside the dense window of their key.
+
+    Windows name the one or two time cells of their length that they lie in, so a key meets only the
+    rows of those cells, however long its history is.
+    """
+    cell = lambda t: floor_div(t, span)
+    begin = F.col("window_end") - span
+    reach = dense.select("*", begin.alias("window_start"), F.explode(F.array_distinct(F.array(cell(begin), cell(F.col("window_end"))))).alias("_cell"))
+    near = rows.withColumn("_cell", cell(F.col("t"))).join(reach, [*keys, "_cell"])
+    return near.filter((F.col("t") >= F.col("window_start")) & (F.col("t") <= F.col("window_end"))).drop("_cell")
+
+
 def regularity(instants: DataFrame, dense: DataFrame, keys, span) -> DataFrame:
     """Mean, population deviation and variation of the intervals inside each dense window.
 
-    Simultaneous events contribute zero-length intervals, counted rather than listed.
+    A window is cut into ``PARTS`` parts.  Each part is summed up on its own (first, last, squares of
+    its gaps), the parts of a key are then stitched together in order; no group is larger than a part.
+    Simultaneous events are intervals of length zero and add nothing to the sums.
     """
-    inside = (instants.join(dense, keys)
-              .filter((F.col("t") <= F.col("window_end")) & (F.col("t") >= F.col("window_end") - span)))
-    whole = Window.partitionBy(*keys)
-    order = Window.partitionBy(*keys).orderBy("t")
+    inside = in_dense(instants, dense, keys, span)
+    part = floor_div(F.col("t") - F.col("window_start"), F.greatest(F.lit(1).cast("bigint"), floor_div(span, PARTS)))
+    order = Window.partitionBy(*keys, "_part").orderBy("t")
+    gap = (F.col("t") - F.lag("t").over(order)) / 1e6
+    parts = inside.withColumn("_part", part).withColumn("_gap", gap).groupBy(*keys, "window_end", "in_window", "_part").agg(
+        F.min("t").alias("first"), F.max("t").alias("last"), F.coalesce(F.sum(F.col("_gap") * F.col("_gap")), F.lit(0.0)).alias("squares"))
+    stitched = parts.groupBy(*keys, "window_end", "in_window").agg(
+        F.array_sort(F.collect_list(F.struct("_part", "first", "last", "squares"))).alias("p"))
+    between = lambda x, i: F.when(i > 0, F.pow((x["first"] - F.get("p", i - 1)["last"]) / 1e6, F.lit(2.0))).otherwise(0.0)
+    squares = F.aggregate(F.transform("p", lambda x, i: x["squares"] + between(x, i)), F.lit(0.0), lambda s, x: s + x)
+    first, last = F.col("p")[0]["first"], F.element_at("p", -1)["last"]
     gaps = F.col("in_window") - 1
-    mean = (F.max("t").over(whole) - F.min("t").over(whole)) / 1e6 / gaps
-    rows = inside.withColumn("_gap", (F.col("t") - F.lag("t").over(order)) / 1e6) \
-                 .withColumn("mean_s", mean)
-    dev = F.pow(F.col("_gap") - F.col("mean_s"), 2)
-    stats = rows.groupBy(*keys, "window_end", "in_window").agg(
-        F.first("mean_s").alias("mean_s"), F.sum(dev).alias("_dev"),
-        F.count("_gap").alias("_n"), F.min("t").alias("first_t"))
-    zero = (gaps - F.col("_n")) * F.pow(F.col("mean_s"), 2)
-    sd = F.sqrt((F.coalesce(F.col("_dev"), F.lit(0.0)) + zero) / gaps)
-    return (stats.withColumn("sd_s", sd)
-            .withColumn("cov", F.when(F.col("mean_s") > 0, F.col("sd_s") / F.col("mean_s"))
-                        .otherwise(F.lit(99.0))).drop("_dev", "_n"))
+    mean = (last - first) / 1e6 / gaps
+    stats = stitched.select(*keys, "window_end", "in_window", mean.alias("mean_s"), first.alias("first_t"),
+                            F.sqrt(F.greatest(F.lit(0.0), squares / gaps - mean * mean)).alias("sd_s"))
+    return stats.withColumn("cov", F.when(F.col("mean_s") > 0, F.col("sd_s") / F.col("mean_s")).otherwise(F.lit(99.0)))
 
 
 def beacons(hits: DataFrame, rules) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from secframe.functions.values import micros
 from secframe.operators import alerts as A
-from secframe.operators.beacon import beacons, instants_of
+from secframe.operators.beacon import beacons, in_dense, instants_of
 from secframe.operators.hits import literal_by_rule, rule_hits, with_evidence, EVIDENCE
 from secframe.operators.sequence import fired_sequences, sequence_members, sequence_rows
 from secframe.operators.threshold import origin_of, threshold_groups, tumbling_buckets
@@ -77,10 +77,8 @@ def beacon_members(hits: DataFrame, rules):
     note = F.format_string("machine-regular polling: %d events, mean interval %ds, CoV %s",
                            F.col("in_window"), F.bround("mean_s").cast("bigint"),
                            F.bround("cov", 3).cast("string"))
-    picked = (instants_of(hits, rules)
-              .join(found.select("rule_ix", "key", "window_end", baseline.alias("baseline"),
-                                 note.alias("note")), ["rule_ix", "key"])
-              .filter((F.col("t") <= F.col("window_end")) & (F.col("t") >= F.col("window_end") - spans))
+    found = found.select("rule_ix", "key", "window_end", baseline.alias("baseline"), note.alias("note"))
+    picked = (in_dense(instants_of(hits, rules), found, ["rule_ix", "key"], spans)
               .withColumn("alert_id", A.alert_id(A.rule_name_of(rules), F.lit("beacon"), F.col("key"), F.col("window_end")))
               .withColumn("place", F.lit(0)))
     return _members(picked, baseline=F.col("baseline"), note=F.col("note"))
