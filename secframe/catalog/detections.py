@@ -8,12 +8,13 @@ from secframe.functions.values import micros
 from secframe.operators.beacon import densest_windows, instants_of, regularity
 from secframe.operators.hits import group_key, rule_hits, with_evidence
 from secframe.operators.sequence import fired_sequences, preceded, sequence_rows
-from secframe.operators.threshold import origin_of, threshold_groups, tumbling_buckets
+from secframe.operators.threshold import distinct_sketches, groups_of_sketches, origin_of, threshold_groups, tumbling_buckets
 from secframe.operators.travel import consecutive_moves
 from secframe.operators.alerts import single_event_alerts
 from secframe.plans.detect import detect, detect_with_values, run_summary
 from secframe.plans.rulepack import RULES
 from secframe.plans.rules import load_rules
+from secframe.session import scratch_path
 
 CAP = "WITH " + CAPTURE_SQL
 DAY = 1440
@@ -70,6 +71,22 @@ def distinct_threshold(spark, sf):
         "key", "bucket", "observed", "distinct_count")
 
 
+@query("distinct_threshold_sketches", f"""
+WITH h AS (SELECT user_id, event_type, ({US} - (SELECT min({US}) FROM events)) // 86400000000 AS bucket FROM events)
+SELECT CAST(user_id AS VARCHAR) AS key, bucket, count(*) AS observed, count(DISTINCT event_type) AS distinct_count
+FROM h GROUP BY 1, 2 HAVING count(*) >= 5 AND count(DISTINCT event_type) >= 4""")
+def distinct_sketches_query(spark, sf):
+    """Distinct values by stored sketches of four slices of the events, merged (D4); exact for so few values."""
+    e = events(spark, sf)
+    rules = load_rules([{"id": "R-MIX", "condition": {"event_id": {"exists": True}}, "threshold": {
+        "field": ["user_id"], "distinct_field": "event_type", "min_events": 5, "min_distinct": 4, "window_minutes": DAY}}])
+    rows = tumbling_buckets(rule_hits(e, rules, LOWER), rules, origin_of(e)).withColumn("slice", F.pmod(F.xxhash64("event_id"), F.lit(4)))
+    path = scratch_path(spark, "sketches")
+    for i in range(4):
+        distinct_sketches(rows.filter(F.col("slice") == i)).write.parquet(f"{path}/part={i}")
+    return groups_of_sketches(spark.read.parquet(path), rules).select("key", "bucket", "observed", "distinct_count")
+
+
 def _sequence_rule():
     return load_rules([{"id": "R-SEQ", "condition": {"event_type": "purchase"}, "requires": {
         "condition": {"event_type": "error"}, "min_count": 2, "window_minutes": DAY, "key_fields": ["user_id"]}}])

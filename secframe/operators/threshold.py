@@ -41,8 +41,39 @@ def tumbling_buckets(hits: DataFrame, rules, origin: Column) -> DataFrame:
         dval.alias("dval"))
 
 
+#: Sketches of 2^12 registers: a standard error of about 1.6 %, a few kilobytes at most.
+LG_K = 12
+
+
+def distinct_sketches(bucketed: DataFrame, lg_k: int = LG_K) -> DataFrame:
+    """Counts and a sketch of distinct values per group: rows that can be stored and merged later.
+
+    One row per (rule, key, bucket), so slices or batches of events can be summed up on their own.
+    """
+    return bucketed.groupBy("rule_ix", "key", "bucket").agg(
+        F.count(F.lit(1)).alias("observed"), F.min("t").alias("first_t"), F.max("t").alias("last_t"),
+        F.hll_sketch_agg("dval", lg_k).alias("sketch"))
+
+
+def merge_sketches(parts: DataFrame) -> DataFrame:
+    """Stored rows of several slices as one row per group."""
+    return parts.groupBy("rule_ix", "key", "bucket").agg(
+        F.sum("observed").alias("observed"), F.min("first_t").alias("first_t"), F.max("last_t").alias("last_t"),
+        F.hll_union_agg("sketch").alias("sketch"))
+
+
+def groups_of_sketches(parts: DataFrame, rules) -> DataFrame:
+    """Groups at or above their rule's limits, by the estimated number of distinct values."""
+    merged = merge_sketches(parts).withColumn("distinct_count", F.hll_sketch_estimate("sketch")).drop("sketch")
+    least = literal_by_rule([int(r.threshold.get("min_events", 1)) for r in rules], "bigint")
+    return merged.filter((F.col("observed") >= least) & (F.col("distinct_count") >= literal_by_rule(distinct_limits(rules), "bigint")))
+
+
 def threshold_groups(bucketed: DataFrame, rules) -> DataFrame:
-    """Groups at or above their rule's limits: counts combine on the map side."""
+    """Groups at or above their rule's limits: counts combine on the map side.
+
+    Distinct values are counted exactly; ``groups_of_sketches`` is the approximate way.
+    """
     least = [int(r.threshold.get("min_events", 1)) for r in rules]
     distinct = distinct_limits(rules)
     keys = ["rule_ix", "key", "bucket"]

@@ -23,8 +23,8 @@ FAMILY_FIELDS = ("EventID", "Image", "SourceImage", "ParentImage", "CommandLine"
                  "GrantedAccess", "TargetFilename", "TargetObject", "Details", "ProcessCreate")
 
 
-def vendor_names(source_type: str | None) -> list:
-    return [v for v, _ in ALIASES.get(source_type, [])]
+def vendor_names(source_type: str | None, aliases=None) -> list:
+    return [v for v, _ in (ALIASES.get(source_type, []) if aliases is None else aliases)]
 
 
 def _lines(df: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def last_wins(pairs: Column) -> Column:
     return F.map_from_entries(F.transform(chosen, lambda p: F.struct(p["key"], p["value"])))
 
 
-def parse_json(df: DataFrame, dataset: str | None = None, source_type: str | None = None) -> DataFrame:
+def parse_json(df: DataFrame, dataset: str | None = None, source_type: str | None = None, aliases=None) -> DataFrame:
     """JSON objects, one per line.  Anything else on a non-blank line is an error.
 
     Every line is parsed once.  ``raw`` is a struct of the fields ingest knows (a list as its JSON
@@ -57,7 +57,7 @@ def parse_json(df: DataFrame, dataset: str | None = None, source_type: str | Non
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")      # the last one counts
     df = _lines(df)
     text = F.trim(F.col("_line"))
-    vendors = list(dict.fromkeys([*vendor_names(source_type), *FAMILY_FIELDS]))
+    vendors = list(dict.fromkeys([*vendor_names(source_type, aliases), *FAMILY_FIELDS]))
     names = list(dict.fromkeys([*FIELDS, *vendors]))
     known = ", ".join(f"`{n}`: string" for n in names)
     object_like = text.startswith("{") & text.endswith("}")
@@ -112,7 +112,7 @@ def parse_apache(df: DataFrame, dataset: str = "web") -> DataFrame:
     ).drop("_q", "_who", "_req", "_res")
 
 
-def parse_syslog(df: DataFrame, dataset: str = "auth") -> DataFrame:
+def parse_syslog(df: DataFrame, dataset: str = "auth", aliases=None) -> DataFrame:
     """``Mon d HH:MM:SS host prog[pid]: k=v k="v" ...``
 
     Plain sshd sentences without key=value pairs still yield an action and a source address.
@@ -145,8 +145,8 @@ def parse_syslog(df: DataFrame, dataset: str = "auth") -> DataFrame:
         F.lower(F.col("_prog")).alias("process_name"),
         line.alias("event_original"),
         F.array(F.concat(F.lit("prog:"), F.col("_prog"))).alias("tags"),
-        F.map_filter("raw", lambda k, v: ~k.isin([*vendor_names("SSH"), *FIELDS])).alias("extra"),
-        F.map_filter("raw", lambda k, v: k.isin(vendor_names("SSH"))).alias("vendor")
+        F.map_filter("raw", lambda k, v: ~k.isin([*vendor_names("SSH", aliases), *FIELDS])).alias("extra"),
+        F.map_filter("raw", lambda k, v: k.isin(vendor_names("SSH", aliases))).alias("vendor")
     ).drop("_pairs", "_body", "_prog", "_host")
 
 
@@ -155,7 +155,7 @@ def _fields(line: Column, delimiter: str) -> Column:
 
 
 def parse_delimited(df: DataFrame, header: str, delimiter: str = ",",
-                    dataset: str | None = None, source_type: str | None = None) -> DataFrame:
+                    dataset: str | None = None, source_type: str | None = None, aliases=None) -> DataFrame:
     """Delimited rows under a known header line.
 
     One overflow column after the header's own catches rows with too many fields (an error);
@@ -172,7 +172,7 @@ def parse_delimited(df: DataFrame, header: str, delimiter: str = ",",
         ~F.col("_line").contains('"') & (F.size(_fields(F.col("_line"), delimiter)) > len(names)))
     df = _rejected(df, F.when(too_long & ~F.col("_header"), "csv field count"))
     cell = {n: F.trim(F.col(f"_row.c{i}")) for i, n in enumerate(names)}
-    vendors = set(vendor_names(source_type))
+    vendors = set(vendor_names(source_type, aliases))
 
     def cells(wanted):
         some = [F.when(clean(c).isNotNull(), F.struct(F.lit(n).alias("key"), c.alias("value"))) for n, c in cell.items() if wanted(n)]

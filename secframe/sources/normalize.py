@@ -23,11 +23,11 @@ def _tags(raw_tags: Column) -> Column:
                       F.array().cast("array<string>"))
 
 
-def _aliased(df: DataFrame, source_type: str) -> DataFrame:
+def _aliased(df: DataFrame, source_type: str, aliases=None) -> DataFrame:
     """First usable vendor value per canonical field; values already canonical come first."""
     get = raw_field(df)
     vendors = {}
-    for vendor, field in S.ALIASES.get(source_type, []):
+    for vendor, field in (S.ALIASES.get(source_type, []) if aliases is None else aliases):
         vendors.setdefault(field, []).append(vendor)
     out = {}
     for field in S.FIELDS:
@@ -175,7 +175,7 @@ def evaluated_once(df: DataFrame) -> DataFrame:
 
 
 def normalize(parsed: DataFrame, source_type: str, source: str | None = None, year: int = 2026,
-              offset: str = "+00:00") -> DataFrame:
+              offset: str = "+00:00", aliases=None) -> DataFrame:
     """Parsed lines -> canonical events plus ``_error`` / ``_blank`` bookkeeping.
 
     A record whose timestamp cannot be read is an error too.  ``year`` and ``offset`` apply to
@@ -188,4 +188,4 @@ def normalize(parsed: DataFrame, source_type: str, source: str | None = None, ye
     if source is not None:
         df = df.withColumn("source", F.lit(source))
     df = evaluated_once(df.select(*[c for c in df.columns if c not in ("value", "_line", "_ts")]))
-    return conform(_families(_values(_aliased(df, source_type)), source_type))
+    return conform(_families(_values(_aliased(df, source_type, aliases)), source_type))

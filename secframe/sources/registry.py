@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
-from secframe.schema import EVENT_SCHEMA
-from secframe.session import materialize
+from secframe.schema import EVENT_SCHEMA, FIELDS
+from secframe.session import materialize, scratch_path
 from secframe.sources.lines import parse_apache, parse_delimited, parse_json, parse_syslog
 from secframe.sources.normalize import normalize
 
@@ -27,22 +27,45 @@ SOURCES = {
 }
 
 
+def alias_tables(table: DataFrame) -> dict:
+    """(source_type, vendor, field[, rank]) rows -> {source type: [(vendor field, canonical field)]}.
+
+    A table of vendor names is configuration: it is read on the driver, where plans are built.
+    """
+    order = ["source_type", *(["rank"] if "rank" in table.columns else []), "vendor"]
+    out: dict = {}
+    for r in table.orderBy(*order).collect():
+        if r.field not in FIELDS:
+            raise ValueError(f"{r.source_type}: {r.field!r} is no canonical field")
+        out.setdefault(r.source_type, []).append((r.vendor, r.field))
+    return out
+
+
+def with_aliases(sources: dict, tables: dict) -> dict:
+    """Sources whose vendor aliases come from tables instead of the built-in ones, where a table has them."""
+    return {n: {**spec, "aliases": tables[spec["source_type"]]} if spec.get("source_type") in tables else spec for n, spec in sources.items()}
+
+
 def parse_lines(lines: DataFrame, spec: dict, source: str | None = None,
                 header: str | None = None) -> DataFrame:
-    """Lines of one source -> canonical events with bookkeeping columns."""
-    kind, dataset = spec.get("type", "jsonl"), spec.get("dataset")
+    """Lines of one source -> canonical events with bookkeeping columns.
+
+    ``aliases`` in the spec, (vendor field, canonical field) in fill order, replaces the built-in ones
+    of its source type.
+    """
+    kind, dataset, aliases = spec.get("type", "jsonl"), spec.get("dataset"), spec.get("aliases")
     if kind == "apache":
         parsed = parse_apache(lines, dataset or "web")
     elif kind == "syslog":
-        parsed = parse_syslog(lines, dataset or "auth")
+        parsed = parse_syslog(lines, dataset or "auth", aliases)
     elif kind == "csv":
         parsed = parse_delimited(lines, header or spec["header_line"],
                                  spec.get("delimiter", ","), dataset,
-                                 spec.get("source_type"))
+                                 spec.get("source_type"), aliases)
     else:
-        parsed = parse_json(lines, dataset, spec.get("source_type"))
+        parsed = parse_json(lines, dataset, spec.get("source_type"), aliases)
     return normalize(parsed, spec.get("source_type"), source, spec.get("year", 2026),
-                     spec.get("offset", "+00:00"))
+                     spec.get("offset", "+00:00"), aliases)
 
 
 #: bits of ``_pos`` below the file number: files of up to 8 TB, a million of them
@@ -142,16 +165,36 @@ def error_kinds(records: DataFrame) -> DataFrame:
             .groupBy("source", F.col("_error").alias("error")).agg(F.count(F.lit(1)).alias("n")))
 
 
+#: Rows of one file at most; partitions of the write follow the session's advisory size.
+FILE_ROWS = 5_000_000
+
+
 def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
     """Partitioned by day and dataset, so rule scopes prune folders.
 
-    Rows are spread by (day, dataset, random spread) first: few files per folder, yet a folder
-    holding most of the data is still written by many tasks.
+    Rows are rebalanced by folder: adaptive execution splits a folder with most of the data over as
+    many tasks as its measured size needs, and small folders share tasks.
+    """
+    (events.withColumn("event_date", F.to_date("ts")).hint("rebalance", "event_date", "event_dataset")
+     .write.mode(mode).option("maxRecordsPerFile", FILE_ROWS).partitionBy("event_date", "event_dataset").parquet(path))
+
+
+def compact_events(spark: SparkSession, path: str, since: str | None = None, before: str | None = None) -> None:
+    """Rewrite day folders (from ``since``, before ``before``) whose files appends have left small.
+
+    The days are first written to the shared scratch folder and then replace their old folders, so
+    a failure in between loses nothing: either the old or the complete new files are there to copy again.
     """
-    spread = F.pmod(F.xxhash64("event_seq"), F.lit(32))
-    (events.withColumn("event_date", F.to_date("ts"))
-     .repartition("event_date", "event_dataset", spread)
-     .write.mode(mode).partitionBy("event_date", "event_dataset").parquet(path))
+    days = spark.read.parquet(path)
+    if since is not None:
+        days = days.filter(F.col("event_date") >= F.lit(since).cast("date"))
+    if before is not None:
+        days = days.filter(F.col("event_date") < F.lit(before).cast("date"))
+    copy = scratch_path(spark, "compact")
+    days.hint("rebalance", "event_date", "event_dataset").write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("event_date", "event_dataset").parquet(copy)
+    fresh = spark.read.schema(days.schema).parquet(copy)
+    (fresh.hint("rebalance", "event_date", "event_dataset").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .option("maxRecordsPerFile", FILE_ROWS).partitionBy("event_date", "event_dataset").parquet(path))
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

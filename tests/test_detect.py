@@ -180,3 +180,15 @@ def test_skew_helpers(spark):
     assert exact_median(df, "t", 500).first().median == statistics.median(r[2] for r in rows)
     own = time_slices(df, "t", back=40, forward=20).filter("own")
     assert own.count() == len(rows)
+
+
+def test_sketches_stay_within_their_error(spark):
+    from secframe.operators.threshold import LG_K, distinct_sketches, merge_sketches
+    rows = spark.range(300_000).selectExpr("0 AS rule_ix", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE CAST(id % 50 AS STRING) END AS key", "0L AS bucket",
+                                           "id AS t", "CAST(xxhash64(id) % 40000 AS STRING) AS dval", "id % 4 AS slice")
+    parts = [distinct_sketches(rows.filter(f"slice = {i}")) for i in range(4)]
+    merged = merge_sketches(parts[0].union(parts[1]).union(parts[2]).union(parts[3]))
+    got = {r.key: (r.observed, r.n) for r in merged.select("key", "observed", F.hll_sketch_estimate("sketch").alias("n")).collect()}
+    want = rows.groupBy("key").agg(F.count(F.lit(1)).alias("o"), F.count_distinct("dval").alias("n")).collect()
+    error = 1.04 / 2 ** (LG_K / 2)
+    assert all(got[r.key][0] == r.o and abs(got[r.key][1] - r.n) <= 4 * error * r.n for r in want) and len(want) > 40

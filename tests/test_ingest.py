@@ -115,3 +115,46 @@ def test_json_lists_and_vendor_fields(spark):
     assert match({"event.action": "X"}) == match({"event.action": {"all": ["x", "failed-logon"]}}) == match({"ports": "2"}) == [a.event_action]
     assert match({"event.action": {"all": ["x", "y"]}}) == match({"event.action": {"equals": "x"}}) == []
     assert match({"EventID": "4625", "User": "U1"}) == [a.event_action] and match({"event.action": "plain"}) == ["plain"]
+
+
+def test_a_new_vendor_needs_no_code(spark):
+    from secframe.functions.match import Fields, compile_condition
+    from secframe.sources.registry import alias_tables, with_aliases
+    table = spark.createDataFrame([("Acme", "srcAddr", "source.ip", 1), ("Acme", "login", "user.name", 2), ("Acme", "acct", "user.name", 1)],
+                                  "source_type string, vendor string, field string, rank int")
+    sources = with_aliases({"acme": {"file": "x", "type": "jsonl", "source_type": "Acme", "dataset": "vpn"}, **SOURCES}, alias_tables(table))
+    assert "aliases" not in sources["auth"]
+    df = parse_lines(lines(spark, '{"@timestamp":"2026-09-02T03:20:00Z","srcAddr":"203.0.113.5","login":"zoe","acct":"-","other":"1"}',
+                           '{"@timestamp":"2026-09-02T03:20:01Z","acct":"amy","login":"zoe"}'), sources["acme"], "acme")
+    ev = good_events(df).orderBy("ts")
+    a, b = ev.collect()
+    assert (a.source_ip, a.user_name, a.source_ip_not_private, a.extra, b.user_name) == ("203.0.113.5", "zoe", True, {"other": "1"}, "amy")
+    assert ev.filter(compile_condition([{"srcAddr": "203.0.113.5", "login": "ZOE"}], Fields(ev))).count() == 1
+    import pytest
+    with pytest.raises(ValueError, match="no canonical field"):
+        alias_tables(spark.createDataFrame([("Acme", "a", "no.such")], "source_type string, vendor string, field string"))
+
+
+def test_sink_splits_a_large_folder_and_compacts_small_files(spark, tmp_path):
+    from secframe.sources.normalize import conform
+    from secframe.sources.registry import compact_events
+    import glob
+    import os
+    rows = spark.range(60_000).selectExpr("id AS event_seq", "timestamp_seconds(1767225600 + id % 80000) AS ts",
+                                          "CASE WHEN id % 10 = 0 THEN 'dns' ELSE 'web' END AS event_dataset", "sha2(CAST(id AS STRING), 512) AS event_original")
+    sizes = lambda p, d: [os.path.getsize(f) for f in glob.glob(f"{p}/event_date=*/event_dataset={d}/*.parquet")]
+    out, old = str(tmp_path / "e"), spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        write_events(conform(rows), out)
+        web = sizes(out, "web")
+        assert len(web) >= 4 and max(web) < 3 * min(web) and len(sizes(out, "dns")) <= 3
+        for i in range(5):
+            write_events(conform(rows.filter(f"event_seq % 5 = {i}").withColumn("event_dataset", F.lit("late"))), out)
+        before = len(sizes(out, "late"))
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
+        compact_events(spark, out)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    assert before >= 5 and len(sizes(out, "late")) == 1
+    assert read_events(spark, out).count() == 120_000
