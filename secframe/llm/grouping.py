@@ -51,19 +51,46 @@ def _open(between: DataFrame, owner: DataFrame) -> DataFrame:
     return named.join(several, "key").select("key", "id", "c")
 
 
-def exact_pairs(sets: DataFrame, like: int, block: int = BLOCK) -> DataFrame:
-    """(a, b) of (id, c, members) with different c that can be alike: no pair of that similarity is lost.
+#: Counters of the rough order: members of one counter are taken for equally frequent.
+COUNTERS = 1 << 18
 
-    Members are ordered rarest first.  Alike sets share one of their first members, so early in both
-    that enough members can follow.
-    """
+
+def _rough_counts(sets: DataFrame, scratch: Scratch) -> Column:
+    """How often the members of each counter occur, as one array of fixed size (a scalar subquery)."""
+    counts = sets.select(F.explode("members").alias("m")).groupBy(F.pmod(F.col("m"), F.lit(COUNTERS)).alias("i")).agg(F.count(F.lit(1)).alias("n"))
+    counts = scratch.keep(counts, "counters")
+    dense = sets.sparkSession.range(COUNTERS).join(counts, F.col("id") == F.col("i"), "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+    return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "n"))), lambda x: x["n"])).scalar()
+
+
+def _ordered_sets(sets: DataFrame) -> DataFrame:
+    """(id, c, ms): members with their counts, rarest first."""
     flat = sets.select("id", "c", F.xxhash64("members").alias("sid"), F.explode("members").alias("m"))
     count = flat.groupBy("m").agg(F.count(F.lit(1)).alias("n"))
     order = F.sort_array(F.collect_list(F.struct("n", "m")))
+    return flat.join(count, "m").groupBy("id", "c", "sid").agg(order.alias("ms")).select("id", "c", "ms")
+
+
+def _roughly_ordered_sets(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same by the counters of the members: any order that all sets share is valid, and this one moves no members."""
+    with_counts = sets.withColumn("counts", _rough_counts(sets, scratch))
+    at = lambda m: F.struct(F.get("counts", F.pmod(m, F.lit(COUNTERS)).cast("int")).alias("n"), m.alias("m"))
+    return with_counts.select("id", "c", F.sort_array(F.transform("members", at)).alias("ms"))
+
+
+def exact_pairs(sets: DataFrame, like: int, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
+    """(a, b) of (id, c, members) with different c that can be alike: no pair of that similarity is lost.
+
+    Members are ordered rarest first, roughly so where a scratch folder is given.  Alike sets share
+    one of their first members, so early in both that enough members can follow.
+    """
+    ordered = _ordered_sets(sets) if scratch is None else _roughly_ordered_sets(sets, scratch)
     size = F.size("ms")
-    head = flat.join(count, "m").groupBy("id", "c", "sid").agg(order.alias("ms")).select("id", "c", size.alias("size"), F.posexplode(
+    head = ordered.select("id", "c", size.alias("size"), F.posexplode(
         F.slice("ms", F.lit(1), size - F.floor((size * like + 99) / 100).cast("int") + 1)).alias("at", "x"))
     head = head.filter("x.n > 1").select("id", "c", "size", "at", F.col("x.m").alias("m"))
+    if scratch is not None:
+        head = scratch.keep(head, "heads")
     lists = head.groupBy("m").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"))
     head = head.join(lists.filter("n > 1").drop("n"), "m").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     head = head.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -83,10 +110,11 @@ def shares(a: Column, b: Column, like: int) -> Column:
 
 
 def groups(between: DataFrame, links: DataFrame, alike: Callable[[DataFrame], DataFrame],
-           sets_of: Callable[[DataFrame], DataFrame], scratch: Scratch, like: int) -> DataFrame:
+           sets_of: Callable[[DataFrame], DataFrame], scratch: Scratch, like: int, rough: bool = False) -> DataFrame:
     """(node, component) over ``links`` (a, b) and all alike pairs among members of one band in ``between``.
 
     ``alike`` keeps the alike ones of pairs (a, b); ``sets_of`` gives (id, c, members) of ids (id, c).
+    ``rough``: members are ordered by counters instead of their own counts, which moves less.
     """
     ends = links.select(F.explode(F.array("a", "b")).alias("node"))
     owner = scratch.keep(connected_components(links, ends), "owner0")
@@ -99,7 +127,7 @@ def groups(between: DataFrame, links: DataFrame, alike: Callable[[DataFrame], Da
         step += 1
         if before is not None and 2 * n > before:
             ids = left.select("id", "c").distinct()
-            pairs = scratch.keep(exact_pairs(scratch.keep(sets_of(ids), "open_sets"), like), "exact_pairs")
+            pairs = scratch.keep(exact_pairs(scratch.keep(sets_of(ids), "open_sets"), like, scratch=scratch if rough else None), "exact_pairs")
             return _merge(owner, scratch.keep(alike(pairs), "exact_links"), scratch, f"owner{step}")
         who = F.struct("c", "id")
         ends = left.groupBy("key").agg(F.min(who).alias("lo"), F.max(who).alias("hi"))

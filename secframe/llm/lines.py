@@ -97,7 +97,7 @@ def similar_groups(signed: DataFrame, lines: DataFrame, scratch: Scratch, like:
         return wide.select("id", "c", shingle_hashes(F.col("wide")).alias("h")).select("id", "c", F.array_distinct("h").alias("members"))
 
     links = scratch.keep(alike(pairs), "links")
-    owner = groups(between, links, alike, sets_of, scratch, like)
+    owner = groups(between, links, alike, sets_of, scratch, like, rough=True)
     scratch.drop("pairs", "asked", "texts", "links")
     return owner
 
@@ -126,21 +126,21 @@ def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", like: in
     order = F.struct("doc", "pos", "own")
     first = placed.groupBy("group").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     gone = placed.join(first, "group").filter(~((F.col("own") == F.col("first.own")) & (F.col("pos") == F.col("first.pos"))))
-    gone = scratch.keep(gone.select("own", "pos").distinct().groupBy("own").agg(F.collect_list("pos").alias("gone")), "gone")
+    gone = scratch.keep(gone.select("own", "pos").distinct().groupBy("own").agg(F.collect_list("pos").alias("__gone")).withColumnRenamed("own", "__of"), "gone")
     scratch.drop("signed", "placed")
 
     parts = F.split(F.col(text), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("gone"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("__gone"))
     cut = F.array_join(F.transform(left, lambda i: F.get(F.col("__parts"), i)), "\n")
     taken = ("n_lines", "n_removed", "emptied")
     base = docs.drop(*[c for c in docs.columns if c in taken])
-    out = base.withColumn("__own", own).join(gone, F.col("__own") == F.col("own"), "left").withColumn("__parts", parts)
-    out = out.withColumn("__new", F.when(F.col("gone").isNull(), F.col(text)).otherwise(cut))
+    out = base.withColumn("__own", own).join(gone, F.col("__own") == F.col("__of"), "left").withColumn("__parts", parts)
+    out = out.withColumn("__new", F.when(F.col("__gone").isNull(), F.col(text)).otherwise(cut))
     return out.select(
         *[F.col("__new").alias(c) if c == text else F.col(f"`{c}`") for c in base.columns],
         F.when(F.col(text).isNull(), 0).otherwise(F.size("__parts")).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"),
-        (F.col("gone").isNotNull() & (F.btrim(F.col("__new"), F.lit(" \t\n\r\x0b\x0c")) == "")).alias("emptied"))
+        F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias("n_removed"),
+        (F.col("__gone").isNotNull() & (F.btrim(F.col("__new"), F.lit(" \t\n\r\x0b\x0c")) == "")).alias("emptied"))
 
 
 def op2_line_dedup(spark, sf_dir):

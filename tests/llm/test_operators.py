@@ -277,3 +277,10 @@ def test_proximity_of_an_edited_passage(spark):
     found = D.passages(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect()
     assert (1, "7", 2, "exact") in {tuple(r) for r in found} and (2, "7", 1, "near") in {tuple(r) for r in found}
     assert {r.doc_id for r in found} == {1, 2, 3}
+
+
+def test_line_dedup_bears_its_own_column_names(spark):
+    df = spark.createDataFrame([(1, "alpha beta gamma delta", "x", "y", 3), (2, "alpha beta gamma delta\nother words here", "p", "q", 4)],
+                               "doc_id bigint, text string, own string, gone string, pos int")
+    got = {r.doc_id: (r.text, r.own, r.gone, r.pos) for r in N.line_dedup(df).collect()}
+    assert got == {1: ("alpha beta gamma delta", "x", "y", 3), 2: ("other words here", "p", "q", 4)}
