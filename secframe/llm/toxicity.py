@@ -247,4 +247,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
 
 
 def op5_toxicity(spark, sf_dir):
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("flagged")
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
