@@ -37,7 +37,7 @@ def record_bytes(page_id, url, payload: bytes, refers_to=None, date: str = DATE)
     block = http if revisit else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {date}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + quote(url, safe="%/:=&?~#+!$,;'@()*[]"))
+        head.append("WARC-Target-URI: " + quote(url, safe="/:=&?~#+!$,;'@()*[]"))     # '%' too, so that reading gives the same text
     head.append(f"WARC-Payload-Digest: sha1:{digest_of(payload)}")
     if revisit:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {name(refers_to)}"]
@@ -94,6 +94,7 @@ class _Bytes:
         if not got:
             raise EOFError(f"archive ends at {at}, not at {self.size}")
         self.data += got
+        self.step *= 2          # so that a long member is copied a few times only
         return True
 
     def at(self, offset: int, n: int) -> bytes:

@@ -284,3 +284,9 @@ def test_line_dedup_bears_its_own_column_names(spark):
                                "doc_id bigint, text string, own string, gone string, pos int")
     got = {r.doc_id: (r.text, r.own, r.gone, r.pos) for r in N.line_dedup(df).collect()}
     assert got == {1: ("alpha beta gamma delta", "x", "y", 3), 2: ("other words here", "p", "q", 4)}
+
+
+def test_warc_urls_come_back_as_written():
+    for url in ("http://a/%41?x=1%20b", "http://a/é ü", "100%", "a%zz&b=c#d"):
+        import gzip
+        assert W.parse_record(gzip.decompress(W.record_bytes(1, url, b"x")))["url"] == url
