@@ -90,11 +90,11 @@ class _Bytes:
         if at >= self.size:
             return False
         self.source.seek(at)
-        got = self.source.read(min(self.step, self.size - at))
+        # as much again as is held, so that a long member is copied a few times only
+        got = self.source.read(min(max(self.step, len(self.data)), self.size - at))
         if not got:
             raise EOFError(f"archive ends at {at}, not at {self.size}")
         self.data += got
-        self.step *= 2          # so that a long member is copied a few times only
         return True
 
     def at(self, offset: int, n: int) -> bytes:
