@@ -7,11 +7,11 @@ checksum.  The index of blocks lets every task decode its own ones.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,8 @@ END_ID = 0
 #: Frequencies add up to 2 ** SCALE; states lie in [2 ** 31, 2 ** 63) and move 32 bits at a time.
 SCALE, LANES = 20, 1024
 BLOCK_TOKENS, FILE_BYTES = 131_072, 256 << 20
-#: Words a worker remembers, none longer than LONG characters.
-REMEMBERED, LONG = 500_000, 64
+#: Pieces a worker remembers, none longer than LONG bytes.
+REMEMBERED, LONG = 600_000, 64
 _U = np.uint64
 _HEAD = struct.Struct("<4sIQIQI")     # mark, documents, tokens, lanes, words, crc32 of the rest
 _BLOCK = b"rANB"
@@ -40,60 +40,118 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 # ---------------------------------------------------------------- tokens
 
-#: A single space between characters that are no white space, where pre-tokens of this vocabulary always part.
-_JOINT = re.compile("(?<=[^\\s\u180e\u200b]) (?=[^\\s\u180e\u200b])")
-#: Between a letter and one of these marks they part as well.
-_MARK = re.compile("(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,!?;:&$%#*])")
-_ODD_ASCII = ("  ", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
-_ODD_WIDE = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
-
-
-def joints(text: str) -> list[str]:
-    """The text cut at its joints; the spaces there are left out."""
-    if text[:1] == " " or text[-1:] == " " or any(o in text for o in _ODD_ASCII) or not text.isascii() and _ODD_WIDE.search(text):
-        return _JOINT.split(text)
-    return text.split(" ")          # every space is a joint
+#: Bytes looked at, pieces put together, and words in one text for the library, at a time.
+LOOK, GATHER, TOGETHER = 1 << 22, 1 << 18, 256
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+#: Marks before which a letter always ends a pre-token.
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,!?;:&$%#*")] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[list(range(65, 91)) + list(range(97, 123))] = True
+#: What may follow a joint: no white space, and no byte that begins some wide white space.
+_SOLID = ~_SPACE
+_SOLID[[0xC2, 0xE1, 0xE2, 0xE3]] = False
+
+
+def joints(data: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 where pre-tokens of this vocabulary always part.
+
+    A single space or line end between characters that are surely no white space begins a piece, such a
+    line end is a piece of its own, and a mark after a Latin letter begins one.
+    """
+    out = []
+    for lo in range(0, len(data), LOOK):
+        n = min(LOOK, len(data) - lo)
+        b = np.zeros(n + 5, np.uint8)                          # four bytes before, one after
+        b[:4], b[-1] = 32, 32
+        some = data[max(0, lo - 4):lo + n + 1]
+        at = 4 - min(lo, 4)
+        b[at:at + len(some)] = some
+        here, one, two = b[4:-1], b[3:-2], b[2:-3]
+        plain = one < 0x80
+        wide = ~plain & ((two >= 0xC3) & (two < 0xE0) | (b[1:-4] >= 0xE4) & (b[1:-4] < 0xF0) | (b[:-5] >= 0xF0))
+        alone = ((here == 32) | (here == 10)) & (plain & ~_SPACE[one] | wide) & _SOLID[b[5:]]
+        latin = (two == 0xC3) & ~plain & (one != 0x97) & (one != 0xB7)
+        out.append(lo + np.flatnonzero(alone | _MARK[here] & (_LETTER[one] | latin)))
+        out.append(lo + np.flatnonzero(alone & (here == 10)) + 1)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 class Encoder:
-    """Ids of texts by way of their space-separated words; the library encodes each new stem or mark once."""
+    """Ids of texts by way of their pieces between joints; the library encodes each distinct piece once."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.library, self.remembered, self.words, self.parts = Tokenizer.from_file(path), remembered, {}, {}
+        self.library, self.remembered, self.pieces = Tokenizer.from_file(path), remembered, {}
         self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-
-    def _learn(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece, put together from its parts."""
-        if len(self.parts) > self.remembered:
-            self.parts = {}
-        parts = self.parts
-        split = [_MARK.split(w) for w in pieces]
-        new = list({x for xs in split for x in xs if x not in parts})
-        for x, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            parts[x] = np.array(e.ids, self.kind).tobytes()
-        out = [b"".join([parts[x] for x in xs]) for xs in split]
+        self.width = np.dtype(self.kind).itemsize
+        self.line = self.library.encode("\n", add_special_tokens=False).ids[0]
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Remembers ids of new pieces.
+
+        Words of letters alone go to the library many in one text, each with a line end after it, which
+        always is a pre-token of its own there.
+        """
+        texts = [x.decode() for x in pieces]
+        plain = [t[t[:1] == " ":].isalpha() for t in texts]
+        words, rest = list(compress(pieces, plain)), [i for i, p in enumerate(plain) if not p]
+        call = lambda some: [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
+        together = [t + "\n" for t in compress(texts, plain)]
+        ids = call(["".join(together[i:i + TOGETHER]) for i in range(0, len(together), TOGETHER)])
+        ids = np.fromiter(chain.from_iterable(ids), self.kind)
+        ends = np.flatnonzero(ids == self.line)
+        if len(ends) != len(words):
+            raise ValueError("a line end is no token of its own in this vocabulary")
+        data, ends = ids.tobytes(), ends * self.width
+        starts = np.r_[0, ends[:-1] + self.width]
+        self.pieces.update((x, data[i:j]) for x, i, j in zip(words, starts.tolist(), ends.tolist()))
+        for i, got in zip(rest, call([texts[i] for i in rest])):
+            self.pieces[pieces[i]] = np.array(got, self.kind).tobytes()
+
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        if len(self.pieces) > self.remembered:
+            self.pieces = {}
+        known = self.pieces
+        new = [x for x in pieces if x not in known]
+        if new:
+            self._learn(new)
+        out = [known[x] for x in pieces]
         for x in new:
             if len(x) > LONG:
-                del parts[x]
+                del known[x]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.StringArray) -> pa.BinaryArray:
         """Little-endian ids of each text with the end id."""
-        if len(self.words) > self.remembered:
-            self.words = {}
-        words = self.words              # by the word without the space before it
-        cut = [joints(t) for t in texts]
-        heads = self._learn([ws[0] for ws in cut])
-        new = list({w for ws in cut for w in ws[1:] if w not in words})
-        words.update(zip(new, self._learn([" " + w for w in new])))
-        end = np.array([END_ID], self.kind).tobytes()
-        out = [b"".join([head, *[words[w] for w in ws[1:]], end]) for head, ws in zip(heads, cut)]
-        for w in new:
-            if len(w) > LONG:
-                del words[w]
-        return out
+        if not len(texts):
+            return pa.array([], pa.binary())
+        texts = pa.concat_arrays([texts.cast(pa.binary()), pa.array([b""], pa.binary())])     # an own buffer
+        ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts)]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[:ends[-1]]
+        cuts = np.sort(np.concatenate([joints(data[ends[0]:]) + ends[0], ends]).astype(np.int32))
+        cuts = cuts[np.r_[True, cuts[1:] != cuts[:-1]]]
+        flat, sizes = [], [np.zeros(0, np.int64)]
+        if len(cuts) > 1:
+            pieces = pa.BinaryArray.from_buffers(
+                pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
+            ids = self._ids(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+            begin, store = np.cumsum(size) - size, np.frombuffer(b"".join(ids), self.kind)
+            codes = pieces.indices.to_numpy()
+            for i in range(0, len(codes), GATHER):
+                c = codes[i:i + GATHER]
+                n = size[c]
+                stop = np.cumsum(n)
+                flat.append(store[np.repeat(begin[c] - stop + n, n) + np.arange(stop[-1])])
+                sizes.append(n)
+        before = np.r_[0, np.cumsum(np.concatenate(sizes))][np.searchsorted(cuts, ends)]      # tokens before each text
+        flat = np.concatenate(flat or [np.zeros(0, self.kind)])
+        flat = np.insert(flat, before[1:], np.array(END_ID, self.kind))
+        offsets = ((before + np.arange(len(before))) * self.width).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(texts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
 
 
 @lru_cache(maxsize=2)
@@ -109,11 +167,11 @@ def tokenize(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str
 
     def run(batches):
         coder, shard, place = encoder(path), TaskContext.get().partitionId(), 0
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, LOOK):
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [pa.array([shard] * n, pa.int32()), pa.array(range(place, place + n), pa.int64()),
-                 batch.column(0), pa.array(coder.encode(batch.column(1).to_pylist()), pa.binary())],
+                 batch.column(0), coder.encode(batch.column(1))],
                 ["shard", "place", "doc_id", "ids"])
             place += n
 
