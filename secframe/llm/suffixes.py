@@ -138,39 +138,62 @@ class Shard:
                 break
             depth *= 2
         order = np.argsort(rank, kind="stable")
-        self.body, self.place = self.body[order], self.place[order]
+        self.body, self.place = self.body[order].astype(np.int32), self.place[order].astype(np.int32)
         self.has = self.place >= BLOCK
         self.before = np.where(self.has, symbol[np.maximum(order - BLOCK, 0)], U64(0))
 
 
+def stable_order(x: np.ndarray) -> np.ndarray:
+    """Stable order of numbers from 0 below 2 ** 32, by 16 bits at a time."""
+    order = np.argsort((x & 0xFFFF).astype(np.uint16), kind="stable")
+    if len(x) and x.max() >> 16:
+        order = order[np.argsort((x >> 16).astype(np.uint16)[order], kind="stable")]
+    return order
+
+
+def _numbered(values: np.ndarray) -> np.ndarray:
+    """Dense numbers of values, in their order."""
+    order = np.argsort(values)
+    values = values[order]
+    out = np.empty(len(order), np.int32)
+    out[order] = np.cumsum(np.r_[False, values[1:] != values[:-1]], dtype=np.int32)
+    return out
+
+
 def merge(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(body, place, group) of the merged rows; rows of a group share WIDTH bytes, ends are groups of their own."""
+    """(body, place, group) of the merged rows; rows of a group share WIDTH bytes, ends are groups of their own.
+
+    The list is used up: what a shard holds is let go once it is joined with that of the others.
+    """
     sizes = np.array([len(s.place) for s in shards])
-    offset = np.cumsum(sizes) - sizes
     has = np.concatenate([s.has for s in shards])
     before = np.concatenate([s.before for s in shards])
-    symbol = np.unique(before, return_inverse=True)[1].astype(np.int32)
+    body = np.concatenate([s.body for s in shards])
+    place = np.concatenate([s.place for s in shards])
     z = np.repeat(np.arange(len(shards), dtype=np.uint16), sizes)
     ends = np.repeat(np.arange(len(shards), dtype=np.uint16), [s.ends for s in shards])
-    group = np.zeros(len(z), np.int64)
-    row = np.empty(len(z), np.int64)
+    shards.clear()
+    symbol = _numbered(before)
+    del before
+    group = np.zeros(len(z), np.int32)
+    row = np.empty(len(z), np.int32)
+    count = np.arange(len(z), dtype=np.int32)
 
     def place_rows():
         # the n-th entry of a shard in the interleave is its n-th suffix
-        row[np.argsort(z, kind="stable")] = np.arange(len(z))
+        row[np.argsort(z, kind="stable")] = count
 
     place_rows()
     for _ in range(WIDTH // BLOCK):
         live = has[row]
         c = symbol[row[live]]
-        order = np.argsort(c, kind="stable")
+        order = stable_order(c)
         old, c = group[live][order], c[order]
         z = np.concatenate([ends, z[live][order]])
+        del order, live
         split = np.r_[True, (c[1:] != c[:-1]) | (old[1:] != old[:-1])] if len(c) else np.zeros(0, bool)
-        group = np.concatenate([np.arange(len(ends)), len(ends) - 1 + np.cumsum(split)])
+        group = np.concatenate([count[:len(ends)], len(ends) - 1 + np.cumsum(split, dtype=np.int32)])
         place_rows()
-    body = np.concatenate([s.body for s in shards])
-    place = np.concatenate([s.place for s in shards])
     return body[row], place[row], group
 
 
@@ -185,11 +208,13 @@ def repeated_starts(bodies: list[bytes], weights: np.ndarray, shard_bytes: int =
     body, place, group = merge(shards)
     total = np.bincount(group, weights[body])
     sizes = np.array([len(b) for b in bodies], np.int64)
-    twice = (total[group] >= 2) & (place + WIDTH <= sizes[body])
+    twice = (total >= 2)[group] & (place + WIDTH <= sizes[body])
     body, place = body[twice], place[twice]
+    del total, group, twice
     order = np.lexsort((place, body))
-    cuts = np.searchsorted(body[order], np.arange(len(bodies) + 1))
-    return [place[order][a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+    body, place = body[order], place[order]
+    cuts = np.searchsorted(body, np.arange(len(bodies) + 1))
+    return [place[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def runs(places: np.ndarray) -> list[tuple[int, int]]:
