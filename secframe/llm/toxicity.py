@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from secframe.llm.common import table, text_of
+from secframe.llm.common import Scratch, table, text_of
 from secframe.llm.hashing import U64, WordHashes
 from secframe.llm.storage import slices
 
@@ -21,6 +21,8 @@ BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 8, 8, (1, 2, 3)
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WORDS = 2500, 5000, 20_000
 EPOCHS, BATCH, RATE, WORD_DROP, L2, PRIOR = 12, 32, 0.02, 0.0, 1e-3, 4.0
 SLICE_BYTES = 300_000
+#: Bins of logits, from which cuts are found, per unit.
+PER_UNIT = 32
 PAD = 2 * BUCKETS
 
 _KEEP = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
@@ -43,7 +45,6 @@ class Network:
                   "v": rng.normal(0, 0.5, n).astype(np.float32), "c": np.zeros(1, np.float32)}
         for w in WIDTHS:
             self.p[f"w{w}"] = rng.normal(0, 0.5, (w, DIM, FILTERS)).astype(np.float32)
-        self.shift = 0.0
 
     def start(self, docs: list[np.ndarray], y: np.ndarray) -> None:
         """First embeddings: the shrunk log odds of each used row, and a little noise."""
@@ -131,11 +132,11 @@ class Network:
         """What scoring needs: a row of filter outputs per bucket and filter place."""
         cols = [self.p["e"] @ self.p[f"w{w}"][j] for w in WIDTHS for j in range(w)]
         return {"rows": np.concatenate(cols, 1).astype(np.float32), "b": self.p["b"], "v": self.p["v"],
-                "c": float(self.p["c"][0]) + self.shift}
+                "c": float(self.p["c"][0])}
 
 
-def scores(model: dict, docs: list[np.ndarray]) -> np.ndarray:
-    """Probabilities; a text without words is scored by the filters' output on nothing."""
+def logits(model: dict, docs: list[np.ndarray]) -> np.ndarray:
+    """Log odds, within 60; a text without words is scored by the filters' output on nothing."""
     pad = np.full((max(WIDTHS), 2), PAD, np.int32)
     flat = np.concatenate([x for d in docs for x in (d, pad)])
     sizes = np.array([len(d) + len(pad) for d in docs])
@@ -152,7 +153,7 @@ def scores(model: dict, docs: list[np.ndarray]) -> np.ndarray:
             col += FILTERS
         best.append(np.maximum.reduceat(z, cuts)[::2])
     h = np.maximum(np.concatenate(best, 1) + model["b"], 0)
-    return 1 / (1 + np.exp(-np.clip(h @ model["v"] + model["c"], -60, 60).astype(np.float64)))
+    return np.clip(h @ model["v"] + model["c"], -60, 60).astype(np.float64)
 
 
 def is_held_out(id: Column) -> Column:
@@ -160,90 +161,105 @@ def is_held_out(id: Column) -> Column:
     return F.crc32(F.coalesce(id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id: str, text: str, lang: str) -> list:
-    """Rows (buckets, toxic, lang) of a bounded sample of labelled documents, in the order of a hash of their ids."""
+def sets_cuts(id: Column) -> Column:
+    """Every fourth row by a hash of its id; at every size such rows set the cuts and train nothing."""
+    return F.pmod(F.xxhash64(F.lit(PER_UNIT), id.cast("string")), F.lit(4)) == 0
+
+
+def known_labels(labels: DataFrame, id: str) -> DataFrame:
+    """(id, toxic) outside the held-out rows; of several labels of one id the largest counts."""
     known = labels.filter(F.col(id).isNotNull() & F.col("toxic").isNotNull()).groupBy(id).agg(F.max("toxic").alias("toxic"))
-    known = known.filter(~is_held_out(F.col(id)))
+    return known.filter(~is_held_out(F.col(id)))
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, id: str, text: str) -> list:
+    """Rows (id, toxic, buckets) of a bounded sample of labelled documents, in the order of a hash of their ids."""
+    known = known_labels(labels, id).filter(~sets_cuts(F.col(id)))
     order = F.xxhash64(F.col(id).cast("string"))
     some = lambda t, n: known.filter(F.col("toxic") == t).orderBy(order, id).limit(n)
     picked = some(1, SAMPLE_TOXIC).unionByName(some(0, SAMPLE_CLEAN))
-    rows = docs.select(F.col(id).alias("__id"), text_of(text).alias("__text"), F.col(lang).alias("__lang")).join(
-        picked, F.col("__id") == F.col(id)).select("__id", "toxic", F.coalesce("__lang", F.lit("")).alias("lang"), "__text")
+    rows = docs.select(F.col(id).alias("__id"), text_of(text).alias("__text")).join(
+        picked, F.col("__id") == F.col(id)).select("__id", "toxic", "__text")
 
     def hashed(batches, words=WordHashes()):
-        for batch in slices(batches, 3):
-            got = [word_buckets(t, words) for t in batch.column(3).to_pylist()]
+        for batch in slices(batches, 2):
+            got = [word_buckets(t, words) for t in batch.column(2).to_pylist()]
             keep = [i for i, b in enumerate(got) if len(b) <= SAMPLE_WORDS]
             take = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i).take(take) for i in range(3)), pa.array([got[i].tobytes() for i in keep], pa.binary())],
-                ["id", "toxic", "lang", "buckets"])
+                [*(batch.column(i).take(take) for i in range(2)), pa.array([got[i].tobytes() for i in keep], pa.binary())],
+                ["id", "toxic", "buckets"])
 
-    kept = rows.mapInArrow(hashed, "id bigint, toxic int, lang string, buckets binary").collect()
-    return sorted(kept, key=lambda r: r.id)
+    kept = rows.mapInArrow(hashed, "id bigint, toxic int, buckets binary").collect()
+    return sorted(kept, key=lambda r: (r.id, r.buckets))
 
 
-def _best_cut(s: np.ndarray, y: np.ndarray, default: float = 0.5) -> float:
-    """Score that splits best by F1, midway between the neighbouring scores; the default where a class lacks."""
-    if not (0 < y.sum() < len(y)):
-        return default
-    order = np.argsort(-s, kind="stable")
-    s, y = s[order], y[order]
-    hits = np.cumsum(y)
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    f1[:-1][s[:-1] == s[1:]] = -1
-    i = int(np.argmax(f1))
-    logit = lambda p: np.log(np.clip(p, 1e-12, 1 - 1e-12) / (1 - np.clip(p, 1e-12, 1 - 1e-12)))
-    mid = (logit(s[i]) + logit(s[i + 1])) / 2 if i + 1 < len(s) else logit(s[i])
-    return float(1 / (1 + np.exp(-mid)))
-
-
-def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[dict, dict]:
-    """(model for ``scores``, threshold per language).
-
-    Every fourth sampled row is kept from training; on those rows the cut with the best F1 is moved
-    to 0.5, and the thresholds per language are found.  The language is no input of a score.
-    """
-    rows = training_sample(docs, labels, id, text, lang)
-    x = [np.frombuffer(r.buckets, np.int32).reshape(-1, 2) for r in rows]
+def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> dict:
+    """Model for ``logits``; of a constant score where labels are of one class or none."""
+    rows = training_sample(docs, labels, id, text)
     y = np.array([r.toxic for r in rows], np.int64)
     net = Network()
     if not (0 < y.sum() < len(y)):
         net.p["c"][:] = 5.0 if len(y) and y.all() else -5.0
-        return net.folded(), {}
-    aside = np.arange(len(rows)) % 4 == 0
-    net.train([d for d, k in zip(x, aside) if not k], y[~aside])
-    held, truth, langs = [d for d, k in zip(x, aside) if k], y[aside], np.array([r.lang for r in rows])[aside]
-    s = np.concatenate([scores(net.folded(), held[i:i + 50]) for i in range(0, len(held), 50)])
-    cut = _best_cut(s, truth)
-    net.shift = -float(np.log(cut / (1 - cut)))
-    s = 1 / (1 + np.exp(-(np.log(np.clip(s, 1e-12, 1 - 1e-12) / (1 - np.clip(s, 1e-12, 1 - 1e-12))) + net.shift)))
-    cuts = {l: _best_cut(s[langs == l], truth[langs == l]) for l in sorted(set(langs.tolist()))}
-    return net.folded(), cuts
+    else:
+        net.train([np.frombuffer(r.buckets, np.int32).reshape(-1, 2) for r in rows], y)
+    return net.folded()
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row per document row: doc_id, held_out, score, predicted, flagged.
+def histogram(raw: DataFrame, labels: DataFrame, id: str) -> DataFrame:
+    """(lang, bin, n, toxic) of logits over all rows that set cuts."""
+    known = known_labels(labels, id).filter(sets_cuts(F.col(id))).select(F.col(id).cast("bigint").alias("doc_id"), "toxic")
+    bin = F.floor(F.col("logit") * PER_UNIT).cast("int").alias("bin")
+    return raw.join(known, "doc_id").groupBy("lang", bin).agg(
+        F.count(F.lit(1)).alias("n"), F.sum((F.col("toxic") > 0).cast("bigint")).alias("toxic"))
 
-    ``predicted`` is score >= 0.5; ``flagged`` uses the threshold of the row's language, 0.5 for a
-    language without one.  A null text counts as empty and is scored, repeated rows are scored each,
-    a null id is kept.  With labels of one class or none the score is a constant.
+
+def best_cuts(bins: DataFrame) -> DataFrame:
+    """(lang, cut): the logit that splits a language's rows best by F1, midway to the next lower bin in use.
+
+    Of equally good cuts the highest counts; a language without rows of both classes has none.
+    """
+    all = Window.partitionBy("lang")
+    order = all.orderBy(F.desc("bin"))
+    down = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = bins.select(
+        "lang", "bin", F.lead("bin").over(order).alias("below"), F.sum("toxic").over(down).alias("hits"), F.sum("n").over(down).alias("taken"),
+        F.sum("toxic").over(all).alias("toxic"), F.sum("n").over(all).alias("n")).filter("toxic > 0 AND toxic < n")
+    f1 = 2 * F.col("hits") / (F.col("taken") + F.col("toxic"))
+    cut = (F.col("bin") + F.coalesce(F.col("below") + 1, F.col("bin"))) / (2.0 * PER_UNIT)
+    return rows.groupBy("lang").agg(F.max_by(cut, F.struct(f1, "bin")).alias("cut"))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """One row per document row: doc_id, held_out, score, predicted, threshold, flagged.
+
+    Scores are moved so that the cut with the best F1 over all rows of ``sets_cuts`` lies at 0.5;
+    ``predicted`` is score >= 0.5.  ``threshold`` is the best cut of the row's language, 0.5 for a
+    language without rows of both classes, and ``flagged`` is score >= threshold.  The language is no
+    input of a score.  A null text counts as empty and is scored, a null language as the empty one,
+    repeated rows are scored each, a null id is kept, further columns are ignored.  With labels of one
+    class or none the score is a constant; an empty table gives an empty result.
     """
-    model, cuts = fit(docs, labels, id, text, lang)
-    shared = docs.sparkSession.sparkContext.broadcast(model)     # a table of fixed size
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "toxicity")
+    shared = spark.sparkContext.broadcast(fit(docs, labels, id, text))     # a table of fixed size
     base = docs.select(F.col(id).cast("bigint").alias("doc_id"), text_of(text).alias("text"), F.coalesce(F.col(lang), F.lit("")).alias("lang"))
 
     def score(batches, words=WordHashes()):
         for batch in slices(batches, 1, SLICE_BYTES):
-            s = scores(shared.value, [word_buckets(t, words) for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s)], ["doc_id", "lang", "score"])
-
-    scored = base.mapInArrow(score, "doc_id bigint, lang string, score double")
-    threshold = F.lit(0.5)
-    for name, cut in cuts.items():
-        threshold = F.when(F.col("lang") == name, F.lit(cut)).otherwise(threshold)
-    return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score",
-                         (F.col("score") >= 0.5).cast("int").alias("predicted"), (F.col("score") >= threshold).alias("flagged"))
+            x = logits(shared.value, [word_buckets(t, words) for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x)], ["doc_id", "lang", "logit"])
+
+    # texts are scored once; cuts and result only see their logits
+    raw = scratch.keep(base.mapInArrow(score, "doc_id bigint, lang string, logit double"), "logits")
+    bins = scratch.keep(histogram(raw, labels, id), "bins")
+    every = bins.groupBy(F.lit("").alias("lang"), "bin").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    cut = next((r.cut for r in best_cuts(every).collect()), 0.0)
+    sigmoid = lambda x: 1 / (1 + F.exp(-x))
+    out = raw.join(best_cuts(bins), "lang", "left").select(
+        "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), sigmoid(F.col("logit") - cut).alias("score"),
+        sigmoid(F.coalesce(F.col("cut"), F.lit(cut)) - cut).alias("threshold"))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                      "threshold", (F.col("score") >= F.col("threshold")).alias("flagged"))
 
 
 def op5_toxicity(spark, sf_dir):

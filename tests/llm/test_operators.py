@@ -290,3 +290,24 @@ def test_warc_urls_come_back_as_written():
     for url in ("http://a/%41?x=1%20b", "http://a/é ü", "100%", "a%zz&b=c#d"):
         import gzip
         assert W.parse_record(gzip.decompress(W.record_bytes(1, url, b"x")))["url"] == url
+
+
+def test_cuts_by_language_are_the_best_by_f1(spark):
+    rnd = random.Random(11)
+    bins = {}
+    for _ in range(600):
+        lang, toxic = rnd.choice(["en", "fr", "one"]), rnd.random() < 0.3
+        at = rnd.randrange(-60, 40) + (25 if toxic else 0)
+        n, t = bins.get((lang, at), (0, 0))
+        bins[lang, at] = (n + 1, t + (toxic and lang != "one"))
+    df = spark.createDataFrame([(l, b, n, int(t)) for (l, b), (n, t) in bins.items()], "lang string, bin int, n bigint, toxic bigint")
+    got = {r.lang: r.cut * T.PER_UNIT for r in T.best_cuts(df).collect()}
+    assert set(got) == {"en", "fr"}          # no toxic row, no cut
+    for lang, cut in got.items():
+        own = {b: v for (l, b), v in bins.items() if l == lang}
+
+        def f1(at):
+            above = [v for b, v in own.items() if b >= at]
+            return 2 * sum(t for _, t in above) / (sum(n for n, _ in above) + sum(t for _, t in own.values()))
+        assert f1(cut) == max(f1(b) for b in own)
+        assert not any(b < cut < b + 1 for b in own)      # no bin is cut in two
