@@ -162,7 +162,7 @@ def densest(spark, sf):
     """Earliest three-day window holding the most events of a user."""
     inst = events(spark, sf).groupBy("user_id", micros(F.col("ts")).alias("t")).agg(F.count(F.lit(1)).alias("n"))
     span = 3 * DAY * 60_000_000
-    return densest_windows(inst, ["user_id"], F.lit(span).cast("bigint"), [span])
+    return densest_windows(inst, ["user_id"], F.lit(span).cast("bigint"))
 
 
 @query("beaconing", """
@@ -179,7 +179,7 @@ def beaconing(spark, sf):
     inst = events(spark, sf).groupBy("user_id", micros(F.col("ts")).alias("t")).agg(F.count(F.lit(1)).alias("n"))
     span = 3 * DAY * 60_000_000
     width = F.lit(span).cast("bigint")
-    dense = densest_windows(inst, ["user_id"], width, [span]).filter("in_window >= 8")
+    dense = densest_windows(inst, ["user_id"], width).filter("in_window >= 8")
     stats = regularity(inst, dense, ["user_id"], width)
     return stats.filter("cov <= 0.8").select("user_id", "in_window", F.round("mean_s", 2).alias("mean_s"),
                                              F.round("cov", 3).alias("cov"))

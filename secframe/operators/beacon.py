@@ -5,8 +5,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from secframe.functions.values import floor_div
 from secframe.operators.hits import key_by_rule, literal_by_rule
-from secframe.operators.sequence import _by_window
-from secframe.operators.skew import time_slices
+from secframe.operators.skew import sliding_sum
 
 
 #: Parts of a dense window that are summed up on their own.
@@ -19,18 +18,14 @@ def instants_of(hits: DataFrame, rules) -> DataFrame:
             .withColumn("key", F.coalesce(key_by_rule(hits, rules, "beacon"), F.lit("?"))))
 
 
-def densest_windows(instants: DataFrame, keys, span, lengths) -> DataFrame:
+def densest_windows(instants: DataFrame, keys, span) -> DataFrame:
     """Earliest window of length <= span holding the most events, per key.
 
     ``instants`` is (keys, t, n) with one row per instant.  Returns keys, window_end, in_window.
     """
-    lengths = sorted(lengths)
-    w = Window.partitionBy(*keys, "slice").orderBy("t")
-    counted = time_slices(instants.withColumn("_w", span), "t", back=max(lengths)).withColumn(
-        "in_window", _by_window(F.col("_w"), lengths,
-                                lambda m: F.sum("n").over(w.rangeBetween(-m, 0))))
+    counted = sliding_sum(instants, keys, "t", "n", span, "in_window")
     best = F.max(F.struct("in_window", (-F.col("t")).alias("minus_t"))).alias("best")
-    return (counted.filter("own").groupBy(*keys).agg(best)
+    return (counted.groupBy(*keys).agg(best)
             .select(*keys, (-F.col("best.minus_t")).alias("window_end"),
                     F.col("best.in_window").alias("in_window")))
 
@@ -84,7 +79,7 @@ def beacons(hits: DataFrame, rules) -> DataFrame:
     keys = ["rule_ix", "key"]
     instants = instants_of(hits, rules).groupBy(*keys, "t").agg(F.count(F.lit(1)).alias("n"))
     span = literal_by_rule(spans, "bigint")
-    dense = densest_windows(instants, keys, span, {spans[i] for i in mine})
+    dense = densest_windows(instants, keys, span)
     dense = dense.filter((F.col("in_window") >= least) & (F.col("in_window") > 1))
     stats = regularity(instants, dense, keys, span)
     return stats.filter((F.col("cov") <= limit("max_cov", 1.0))

@@ -5,18 +5,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from secframe.functions.values import floor_div
 from secframe.operators.hits import key_by_rule, literal_by_rule
-from secframe.operators.skew import first_k, time_slices
+from secframe.operators.skew import first_k, sliding_sum, time_slices
 from secframe.session import materialize
 
 
-def _by_window(spans: Column, lengths, build) -> Column:
-    """Range frames need literal bounds: one frame per distinct window length, picked per row."""
-    out = None
-    for w in lengths:
-        out = F.when(spans == w, build(w)) if out is None else out.when(spans == w, build(w))
-    return out
-
-
 def sequence_rows(hits: DataFrame, rules) -> DataFrame:
     """Hits and priors of sequence rules with their group key."""
     mine = [i for i, r in enumerate(rules) if r.has_sequence]
@@ -28,21 +20,16 @@ def preceded(rows: DataFrame, rules) -> DataFrame:
     """Hit instants with at least ``min_count`` priors of the same key in [t - w, t].
 
     Rows are first counted per (rule, key, instant) on the map side; the sliding count then runs
-    over instants inside time slices, so neither a busy instant nor a busy key makes a large
+    over instants inside time cells, so neither a busy instant nor a busy key makes a large
     group.  Returns (rule_ix, key, t, prior_events).
     """
     spans = {i: r.span_micros("sequence") for i, r in enumerate(rules) if r.has_sequence}
-    lengths = sorted(set(spans.values()))
     least = [int(r.requires.get("min_count", 1)) if i in spans else 0 for i, r in enumerate(rules)]
     instants = rows.groupBy("rule_ix", "key", "t").agg(
         F.count_if(F.col("is_prior")).alias("priors"), F.count_if(~F.col("is_prior")).alias("n_hits"))
-    sliced = time_slices(instants, "t", back=max(lengths))
-    w = Window.partitionBy("rule_ix", "key", "slice").orderBy("t")
     span = literal_by_rule([spans.get(i, 0) for i in range(len(rules))], "bigint")
-    seen = _by_window(span, lengths, lambda m: F.sum("priors").over(w.rangeBetween(-m, 0)))
-    return (sliced.withColumn("prior_events", seen)
-            .filter(F.col("own") & (F.col("n_hits") > 0)
-                    & (F.col("prior_events") >= literal_by_rule(least, "bigint")))
+    seen = sliding_sum(instants, ["rule_ix", "key"], "t", "priors", span, "prior_events")
+    return (seen.filter((F.col("n_hits") > 0) & (F.col("prior_events") >= literal_by_rule(least, "bigint")))
             .select("rule_ix", "key", "t", "prior_events"))
 
 
@@ -54,7 +41,7 @@ def cooldown(points: DataFrame, keys, t: str, span: Column, lengths) -> DataFram
 
     The greedy walk is cut into independent runs: a point with nothing in the w before it always
     fires.  From any fired point the next one is the first point after t + w, which either starts
-    a run or lies within t + 2w, so a bounded frame finds it.  Fired points are then those
+    a run or lies within t + 2w; one pass back over points and ends finds it.  Fired points are then those
     reachable from run starts, found by pointer doubling: log2(longest run) rounds of joins on
     unique keys, with no per-key list anywhere.
     """
@@ -64,13 +51,16 @@ def cooldown(points: DataFrame, keys, t: str, span: Column, lengths) -> DataFram
     sliced = time_slices(points.withColumn("_w", span), t, back=max(lengths),
                          forward=2 * max(lengths) + 1)
     w = Window.partitionBy(*keys, "slice").orderBy(t)
-    before = _by_window(F.col("_w"), lengths,
-                        lambda m: F.count(F.lit(1)).over(w.rangeBetween(-m, -1)))
-    marked = sliced.withColumn("_start", before == 0)
-    ahead = _by_window(F.col("_w"), lengths, lambda m: F.min(F.struct(t, "_start")).over(
-        w.rangeBetween(m + 1, 2 * m)))
-    hop = F.when(~ahead["_start"], ahead[t])
-    linked = marked.withColumn("_to", hop).filter("own").select(*at, "_start", "_to")
+    marked = sliced.withColumn("_start", F.coalesce(F.col(t) - F.lag(t).over(w) > F.col("_w"), F.lit(True)))
+    # going back in time, the point last met before t + w is the first one after it
+    asks = F.when(F.col("own"), F.struct((F.col(t) + F.col("_w")).alias("at"), F.lit(None).cast("struct<t:bigint,start:boolean>").alias("point")))
+    stands = F.struct(F.col(t).alias("at"), F.struct(F.col(t).alias("t"), F.col("_start").alias("start")).alias("point"))
+    line = marked.select(*at, "slice", "_w", "_start", F.explode(F.array_compact(F.array(stands, asks))).alias("_e"))
+    back = Window.partitionBy(*keys, "slice").orderBy(F.desc("_e.at"), F.isnotnull("_e.point")).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = F.last("_e.point", ignorenulls=True).over(back)
+    linked = line.withColumn("_ahead", ahead).filter("_e.point IS NULL")
+    hop = F.when(~F.col("_ahead.start") & (F.col("_ahead.t") - F.col(t) <= 2 * F.col("_w")), F.col("_ahead.t"))
+    linked = linked.select(*at, "_start", hop.alias("_to"))
     linked = materialize(linked, "cooldown-links")
     fired = linked.filter("_start").select(*at)
     jumps = linked.filter(F.col("_to").isNotNull()).select(*at, "_to")

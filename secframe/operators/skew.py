@@ -32,6 +32,27 @@ def time_slices(df: DataFrame, t: str, back: int, forward: int = 0) -> DataFrame
         *df.columns, F.col("_home.slice").alias("slice"), F.col("_home.own").alias("own"))
 
 
+def sliding_sum(df: DataFrame, keys, t: str, value: str, span: Column, name: str) -> DataFrame:
+    """Sum of ``value`` over the rows of the same key in [t - span, t], at a cost that does not depend on how many those are.
+
+    ``df`` has one row per (keys, t) and ``span`` depends on ``keys`` only.  A value enters at t and
+    leaves after t + span, so the sum is a running one over both.  It runs inside cells, a fraction of
+    a span long, from what the cells before leave (one row per cell): a busy key is spread over its cells.
+    """
+    held, leaves = F.col(value), F.col(t) + span + 1
+    moves = df.select("*", F.explode(F.array_compact(F.array(
+        F.struct(F.col(t).alias("at"), held.alias("by"), F.lit(True).alias("own")),
+        F.when(held != 0, F.struct(leaves.alias("at"), (-held).alias("by"), F.lit(False).alias("own")))))).alias("_move"))
+    width = F.greatest(F.lit(1).cast("bigint"), floor_div(span, SLICE_FACTOR))
+    moves = moves.select(*df.columns, F.col("_move.at").alias("_at"), F.col("_move.by").alias("_by"), F.col("_move.own").alias("_own"),
+                         floor_div(F.col("_move.at"), width).alias("_cell"))
+    before = running_offset(moves, keys, [("_cell", False)], F.sum("_by"))
+    before = before.select(*keys, "_cell", F.col("offset").alias("_by"), F.lit(False).alias("_own"))
+    w = Window.partitionBy(*keys, "_cell").orderBy("_at")       # what came before has no time, so it is first
+    rows = moves.unionByName(before, allowMissingColumns=True)
+    return rows.withColumn(name, F.sum("_by").over(w)).filter("_own").select(*df.columns, name)
+
+
 def first_k(df: DataFrame, keys, order, k: int, name: str = "rank") -> DataFrame:
     """First k rows per group, numbered from 1.
 
