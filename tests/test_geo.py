@@ -31,3 +31,20 @@ def test_ranges_that_are_no_blocks(spark):
     asked = spark.createDataFrame([("10.0.0.8",), ("10.0.1.5",), ("9.255.255.255",), ("10.0.1.6",)], "ip string")
     got = {r.ip: r.label for r in locate(asked, feed).filter("lat IS NOT NULL").collect()}
     assert got == {"10.0.0.8": "few", "10.0.1.5": "across", "9.255.255.255": "across"}
+
+
+def test_a_feed_that_repeats_its_ranges(spark):
+    """Many spellings of one block are one range; of ranges deep in one another the innermost is found."""
+    from secframe.operators.geo import range_table, ranked_ranges
+    same = [(f"10.{i % 200}.{i // 200}.0/8", f"n{i:04d}", 8) for i in range(1500)]
+    deepest = 600
+    nested = [(f"2001:db8::{i:x}", f"2001:db8::{65535 - i:x}", f"r{i}") for i in range(deepest)]
+    columns = "CAST(1 AS DOUBLE) AS lat", "CAST(2 AS DOUBLE) AS lon", "CAST(NULL AS STRING) AS category"
+    feed = spark.createDataFrame(same, "cidr string, label string, prefix_len int").selectExpr("*", *columns)
+    assert ranked_ranges(range_table(feed)).count() == 1
+    (row,) = locate(spark.createDataFrame([("10.77.1.2",)], "ip string"), feed).collect()
+    assert (row.label, row.prefix_len) == ("n0000", 8)
+    deep = spark.createDataFrame(nested, "first_ip string, last_ip string, label string").selectExpr("*", *columns)
+    asked = [0, 1, 300, deepest - 1, deepest + 5]
+    got = {r.ip: r.label for r in locate(spark.createDataFrame([(f"2001:db8::{i:x}",) for i in asked], "ip string"), deep).collect()}
+    assert got == {f"2001:db8::{i:x}": f"r{min(i, deepest - 1)}" for i in asked}
