@@ -3,8 +3,9 @@
 Three stateful steps, each in append mode.  Counting per (rule, key, instant) combines on the map
 side and holds every instant until the watermark has passed it, so what follows sees each instant
 once, complete, and in time order from batch to batch.  The sliding count of priors runs per (rule,
-key, time slice): a busy key that catches up on a long backlog is spread over its slices.  The
-cooldown runs per (rule, key) on the qualifying instants only; its state is one number.
+place, time slice), where a place holds many keys, dealt by hash: a batch costs a call per place, not
+one per key, and a busy key that catches up on a long backlog is spread over its slices.  The cooldown
+runs per (rule, place) on the qualifying instants only; its state is a number per key that fired lately.
 """
 from __future__ import annotations
 
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from secframe.functions.values import micros
@@ -25,6 +26,8 @@ from secframe.schema import LOWERCASED
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass",
                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 QUALIFIED = "rule_ix int, key string, ts timestamp, t bigint, prior_events bigint"
+#: Keys are dealt to this many places.
+PLACES = 256
 FIRED = "rule_ix int, key string, t bigint, prior_events bigint"
 
 
@@ -43,79 +46,94 @@ def timed(events: DataFrame, delay: str) -> DataFrame:
     return e.select("ts", *[F.when(F.col("ts").isNotNull(), F.col(f"`{c}`")).alias(c) for c in e.columns if c != "ts"])
 
 
-class Preceded(StatefulProcessor):
-    """Own instants of a slice with enough priors in the rule's window before them."""
+def place_of(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(PLACES)).cast("int")
 
-    def __init__(self, spans: dict, least: dict):
-        self.spans, self.least = spans, least
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.priors = handle.getListState("priors", "t bigint, n bigint")
+def sliding_counts(who: np.ndarray, t: np.ndarray, n: np.ndarray, span: int) -> np.ndarray:
+    """Sum of ``n`` over the rows of the same ``who`` in [t - span, t], for every row."""
+    who, at, by = np.concatenate([who, who]), np.concatenate([t, t + span + 1]), np.concatenate([n, -n])
+    order = np.lexsort((at, who))
+    who, at = who[order], at[order]
+    last = np.append((who[1:] != who[:-1]) | (at[1:] != at[:-1]), True)     # of one key and instant
+    running = np.cumsum(by[order])[last]        # everything that enters leaves, so each key starts at zero
+    out = np.empty(len(order), np.int64)
+    out[order] = running[np.cumsum(last) - last]
+    return out[:len(t)]
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        rule_ix, name, _ = key
-        new = pd.concat(list(rows)).sort_values("t")
-        held = list(self.priors.get())
-        t = np.concatenate([np.array([p[0] for p in held], np.int64), new["t"].to_numpy(np.int64)])
-        n = np.concatenate([np.array([p[1] for p in held], np.int64), new["priors"].to_numpy(np.int64)])
-        before = np.concatenate([[0], np.cumsum(n)])
-        span = self.spans[rule_ix]
-        asked = new[new["own"] & (new["hits"] > 0)]
-        at = asked["t"].to_numpy(np.int64)
-        found = before[np.searchsorted(t, at, "right")] - before[np.searchsorted(t, at - span, "left")]
-        enough = found >= self.least[rule_ix]
-        keep = (t >= t[-1] - span) & (n > 0)
-        self.priors.clear()
-        if keep.any():
-            self.priors.put([(int(a), int(b)) for a, b in zip(t[keep], n[keep])])
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(int(t[-1] + span) // 1000 + 1)
-        yield pd.DataFrame({"rule_ix": rule_ix, "key": name, "ts": asked["ts"].to_numpy()[enough], "t": at[enough], "prior_events": found[enough]})
+
+class Later(StatefulProcessor):
+    """State for as long as a later instant can reach it; instants of later batches are later for every key."""
+
+    def keep_until(self, t: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(t) // 1000 + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """Nothing after the timer can reach back to these priors."""
-        self.priors.clear()
+        """Nothing after the timer can reach back to what is held."""
+        self.held.clear()
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-class Cooldown(StatefulProcessor):
-    """After a firing, qualifying instants up to and including the end of the rule's window are skipped."""
+class Preceded(Later):
+    """Own instants of a place and slice with enough priors of their key in the rule's window before them."""
+
+    def __init__(self, spans: dict, least: dict):
+        self.spans, self.least = spans, least
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("priors", "key string, t bigint, n bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        rule_ix, span = key[0], self.spans[key[0]]
+        new = pd.concat(list(rows), ignore_index=True)
+        held = [tuple(p) for p in self.held.get()]
+        names = np.array([p[0] for p in held] + new["key"].tolist(), object)
+        t = np.concatenate([np.array([p[1] for p in held], np.int64), new["t"].to_numpy(np.int64)])
+        n = np.concatenate([np.array([p[2] for p in held], np.int64), new["priors"].to_numpy(np.int64)])
+        found = sliding_counts(pd.factorize(names)[0], t, n, span)[len(held):]
+        enough = new["own"].to_numpy(bool) & (new["hits"].to_numpy() > 0) & (found >= self.least[rule_ix])
+        keep = (t >= t.max() - span) & (n > 0)
+        self.held.clear()
+        if keep.any():
+            self.held.put(list(zip(names[keep].tolist(), t[keep].tolist(), n[keep].tolist())))
+            self.keep_until(t.max() + span)
+        asked = new[enough]
+        yield pd.DataFrame({"rule_ix": rule_ix, "key": asked["key"].to_numpy(), "ts": asked["ts"].to_numpy(), "t": asked["t"].to_numpy(np.int64),
+                            "prior_events": found[enough]})
+
+
+class Cooldown(Later):
+    """After a firing, qualifying instants of its key up to and including the end of the rule's window are skipped."""
 
     def __init__(self, spans: dict):
         self.spans = spans
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.fired = handle.getValueState("fired", "t bigint")
+        self.held = handle.getListState("fired", "key string, t bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        rule_ix, name = key
-        last = self.fired.get()[0] if self.fired.exists() else None
-        points, span, out = pd.concat(list(rows)).sort_values("t"), self.spans[rule_ix], []
-        for t, n in zip(points["t"].tolist(), points["prior_events"].tolist()):
-            if last is None or t - last > span:
-                last = t
+        rule_ix, span, out = key[0], self.spans[key[0]], []
+        last = {name: t for name, t in self.held.get()}
+        points = pd.concat(list(rows)).sort_values("t")
+        for name, t, n in zip(points["key"].tolist(), points["t"].tolist(), points["prior_events"].tolist()):
+            if name not in last or t - last[name] > span:
+                last[name] = t
                 out.append((rule_ix, name, t, n))
-        if out:
-            self.fired.update((last,))
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer((last + span) // 1000 + 1)
+        now = int(points["t"].max())
+        self.held.clear()
+        recent = [(name, t) for name, t in last.items() if t >= now - span]
+        if recent:
+            self.held.put(recent)
+            self.keep_until(max(t for _, t in recent) + span)
         yield pd.DataFrame(out, columns=["rule_ix", "key", "t", "prior_events"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """The watermark has passed the cooldown."""
-        self.fired.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
-
 
 def stream_sequences(events: DataFrame, rules, lowercased=LOWERCASED, delay: str = "1 hour") -> DataFrame:
     """Sequence firings with cooldown: (rule_ix, key, t, prior_events), for append mode.
@@ -133,6 +151,6 @@ def stream_sequences(events: DataFrame, rules, lowercased=LOWERCASED, delay: str
     instants = keyed.groupBy("rule_ix", "key", "ts").agg(
         F.count_if(F.col("is_prior")).alias("priors"), F.count_if(~F.col("is_prior")).alias("hits"))
     sliced = time_slices(instants.withColumn("t", micros(F.col("ts"))), "t", back=max(spans.values()))
-    qualified = sliced.groupBy("rule_ix", "key", "slice").transformWithStateInPandas(
+    qualified = sliced.withColumn("place", place_of(F.col("key"))).groupBy("rule_ix", "place", "slice").transformWithStateInPandas(
         Preceded(spans, least), QUALIFIED, "append", "eventTime", eventTimeColumnName="ts")
-    return qualified.groupBy("rule_ix", "key").transformWithStateInPandas(Cooldown(spans), FIRED, "append", "eventTime")
+    return qualified.withColumn("place", place_of(F.col("key"))).groupBy("rule_ix", "place").transformWithStateInPandas(Cooldown(spans), FIRED, "append", "eventTime")

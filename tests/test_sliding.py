@@ -29,3 +29,15 @@ def test_a_busy_key_costs_no_more_than_its_events(spark):
     fired = sorted(r.t for r in cooldown(points, ["k"], "t", F.lit(n // 3).cast("bigint"), {n // 3}).collect())
     assert fired == [0, n // 3 + 1, 2 * (n // 3 + 1)]
     assert time.time() - start < 90         # some 10^10 steps in frames that are summed row by row
+
+
+def test_a_stream_is_dealt_to_places_not_to_keys(spark):
+    """However many keys arrive, a step is called a bounded number of times; counts of keys side by side stay apart."""
+    import numpy as np
+    from secframe.streaming.sequences import PLACES, place_of, sliding_counts
+    many = spark.range(20_000).select(place_of(F.col("id").cast("string")).alias("p")).groupBy("p").count()
+    assert many.count() == PLACES and many.agg(F.max("count")).first()[0] < 3 * 20_000 / PLACES
+    rnd = random.Random(9)
+    rows = [(rnd.randrange(4), rnd.randrange(60), rnd.randrange(3)) for _ in range(200)]
+    who, t, n = (np.array(c, np.int64) for c in zip(*rows))
+    assert sliding_counts(who, t, n, 7).tolist() == [sum(m for j, u, m in rows if j == k and at - 7 <= u <= at) for k, at, _ in rows]
