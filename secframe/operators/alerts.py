@@ -89,11 +89,11 @@ def entity_values(members: DataFrame) -> DataFrame:
     return _values(members, ENTITY_FIELDS).select("alert_id", F.col("field").alias("kind"), F.col("at").cast(PLACE).alias("pos"), "value")
 
 
-def listed_values(alerts: DataFrame) -> DataFrame:
+def listed_values(alerts: DataFrame, *keep: str) -> DataFrame:
     """The same from the lists of alert rows, for alerts that carry all their values in them."""
-    return (alerts.select("alert_id", F.explode("entities").alias("kind", "values"))
-            .select("alert_id", "kind", F.posexplode("values").alias("i", "value"))
-            .select("alert_id", "kind", F.struct(F.lit(0).alias("place"), F.col("i").cast("bigint").alias("t"),
+    return (alerts.select("alert_id", *keep, F.explode("entities").alias("kind", "values"))
+            .select("alert_id", *keep, "kind", F.posexplode("values").alias("i", "value"))
+            .select("alert_id", *keep, "kind", F.struct(F.lit(0).alias("place"), F.col("i").cast("bigint").alias("t"),
                                                  F.lit(0).cast("bigint").alias("event_seq")).cast(PLACE).alias("pos"), "value"))
 
 

@@ -72,11 +72,12 @@ def correlation_keys(alerts: DataFrame, *keep: str) -> DataFrame:
 
 
 def entity_rows(base: DataFrame, *keep: str) -> DataFrame:
-    """One row per alert and entity value."""
+    """One row per alert and entity value; the sets go along only where links depend on them."""
     listed = F.array(*[F.struct(F.lit(k).alias("kind"), F.col("sets")[k].alias("values"))
                        for k in STRONG + WEAK])
     return (base.select("*", F.explode(listed).alias("e"))
-            .select(*keep, "alert_id", "score", "first_seen", "last_seen", "sets",
+            .select(*keep, "alert_id", "score", "first_seen", "last_seen",
+                    F.when(~F.col("e.kind").isin(STRONG), F.col("sets")).alias("sets"),
                     F.col("e.kind").alias("kind"), F.explode("e.values").alias("value")))
 
 
@@ -182,25 +183,28 @@ def kill_chain(tactic: Column) -> Column:
 
 def merged_values(grouped: DataFrame, by: str, values: DataFrame | None = None) -> DataFrame:
     """All entity values of groups of alerts with the first place of each: (by, kind, value, at)."""
-    values = listed_values(grouped) if values is None else values
-    return (grouped.select(by, "first_seen", "alert_id").join(values, "alert_id").groupBy(by, "kind", "value")
-            .agg(F.min(F.struct("first_seen", "alert_id", "pos")).alias("at")))
+    rows = (listed_values(grouped, by, "first_seen") if values is None
+            else grouped.select(by, "first_seen", "alert_id").join(values, "alert_id"))
+    return rows.groupBy(by, "kind", "value").agg(F.min(F.struct("first_seen", "alert_id", "pos")).alias("at"))
 
 
 def merged_entities(grouped: DataFrame, by: str, keep: int = ENTITY_VALUES, values: DataFrame | None = None) -> DataFrame:
     """The first entity values per kind over a group of alerts, earliest alerts first."""
-    kept = first_k(merged_values(grouped, by, values), [by, "kind"], ["at", "value"], keep)
+    return first_entities(merged_values(grouped, by, values), by, keep)
+
+
+def first_entities(merged: DataFrame, by: str, keep: int = ENTITY_VALUES) -> DataFrame:
+    """The same from merged values."""
+    kept = first_k(merged, [by, "kind"], ["at", "value"], keep)
     lists = kept.groupBy(by, "kind").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("v"))
     return lists.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("kind", "v")))
                                  .alias("entities"))
 
 
-def entity_prints(grouped: DataFrame, by: str, values: DataFrame | None = None) -> DataFrame:
-    """Number and order-free hash of all entity values of a group; nothing is listed."""
-    values = listed_values(grouped) if values is None else values
-    flat = grouped.select(by, "alert_id").join(values, "alert_id").select(by, "kind", "value").distinct()
-    return flat.groupBy(by).agg(F.count(F.lit(1)).alias("entity_count"), F.bit_xor(F.xxhash64("kind", "value")).alias("_x"),
+def entity_prints(merged: DataFrame, by: str) -> DataFrame:
+    """Number and order-free hash of all merged entity values of a group; nothing is listed."""
+    return merged.groupBy(by).agg(F.count(F.lit(1)).alias("entity_count"), F.bit_xor(F.xxhash64("kind", "value")).alias("_x"),
                                 F.bit_xor(F.xxhash64("value", "kind")).alias("_y")).select(
         by, "entity_count", F.concat_ws("-", F.hex("_x"), F.hex("_y")).alias("_print"))
 
@@ -231,15 +235,15 @@ def _short(name: Column) -> Column:
 
 
 def build_incidents(alerts: DataFrame, components: DataFrame, run_ts=None, values: DataFrame | None = None,
-                    keep: int = ENTITY_VALUES, notes_kept: int = NOTES, timeline_rows: int = TIMELINE_ROWS) -> DataFrame:
+                    keep: int = ENTITY_VALUES, notes_kept: int = NOTES, timeline_rows: int = TIMELINE_ROWS, ranked: bool = True) -> DataFrame:
     """One row per component.  The three numbers say how much a row shows; ``entity_count`` and the
-    fingerprint cover all entity values."""
+    fingerprint cover all entity values.  Without ``ranked`` there are no rank and case id."""
     grouped = materialize(alerts.join(components, "alert_id"), "grouped-alerts")
     at = F.struct("first_seen", "alert_id")
     stats = grouped.groupBy("component").agg(
         worst_severity(F.col("severity")).alias("severity"), F.max("score").alias("score"),
         F.min("first_seen").alias("opened_at"), F.max("last_seen").alias("last_activity"),
-        F.count(F.lit(1)).alias("alert_count"), F.count_distinct("rule_id").alias("rule_count"),
+        F.count(F.lit(1)).alias("alert_count"), F.size(F.collect_set("rule_id")).cast("bigint").alias("rule_count"),
         F.array_sort(F.collect_set("rule_id")).alias("rules"),
         kill_chain(F.col("tactic")).alias("tactics"),
         F.min_by("rule_name", at).alias("_first_name"), F.max_by("rule_name", at).alias("_last_name"))
@@ -250,7 +254,8 @@ def build_incidents(alerts: DataFrame, components: DataFrame, run_ts=None, value
                     ["component"], ["first_seen", "alert_id"], notes_kept)
     notes = noted.groupBy("component").agg(F.transform(F.array_sort(F.collect_list(
         F.struct("rank", "note"))), lambda x: x["note"]).alias("triage_notes"))
-    entities = merged_entities(grouped, "component", keep, values).join(entity_prints(grouped, "component", values), "component")
+    merged = materialize(merged_values(grouped, "component", values), "merged-values")
+    entities = first_entities(merged, "component", keep).join(entity_prints(merged, "component"), "component")
     lines = incident_timeline(grouped, keep=timeline_rows).select("component", F.col("events").alias("timeline"),
                                               "further")
     out = stats
@@ -274,15 +279,17 @@ def build_incidents(alerts: DataFrame, components: DataFrame, run_ts=None, value
         "sla_due": sla_due(F.col("severity"), F.col("opened_at")),
         "status": F.lit("new"), "assignee": F.lit(None).cast("string"),
         "closed_at": F.lit(None).cast("timestamp"),
-        "_hour": floor_div(micros(F.col("opened_at")), HOUR)})
-    out = global_rank(out, [("score", True), ("_hour", False)],
+        "_hour": floor_div(micros(F.col("opened_at")), HOUR)}).drop("_first_name", "_last_name", "_print")
+    if not ranked:
+        return out.drop("_hour")
+    # ranking reads its input twice
+    out = global_rank(materialize(out, "unranked"), [("score", True), ("_hour", False)],
                       [F.col("opened_at"), F.col("component")], "rank")
     day = F.date_format(F.col("last_activity") if run_ts is None else F.lit(run_ts).cast("timestamp"),
                         "yyyyMMdd")
     number = F.col("rank").cast("string")
     return out.withColumn("case_id", F.concat_ws("-", F.lit("INC"), day, F.when(
-        F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number))).drop(
-            "_first_name", "_last_name", "_hour", "_print")
+        F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number))).drop("_hour")
 
 
 def incidents(alerts: DataFrame, window_minutes: float = cfg.CORRELATION_MINUTES,

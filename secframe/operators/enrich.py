@@ -9,6 +9,7 @@ from secframe.operators.alerts import listed_values
 from secframe.operators.geo import locate
 from secframe.operators.skew import first_k
 from secframe.plans import settings as cfg
+from secframe.session import materialize
 
 #: What a row shows: asset hosts, intel hits, and hits named in the reason.
 ASSET_HOSTS, INTEL_HITS, REASON_HITS = 6, 12, 4
@@ -25,7 +26,10 @@ def _exploded(alerts: DataFrame, *kinds: str, values: DataFrame | None = None) -
 
 
 def match_ips(values: DataFrame, intel_ip: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Exact feed hits; addresses in anonymizer networks count as hits of a fixed confidence."""
+    """Exact feed hits; addresses in anonymizer networks count as hits of a fixed confidence.
+
+    Every address is judged once, however many alerts name it.
+    """
     ips = values.filter(F.col("kind").isin("source_ip", "destination_ip"))
     feed = intel_ip.select(F.col("ip").alias("value"), F.col("category").alias("f_category"),
                            F.col("confidence").alias("f_confidence"), *([F.col("feed").alias("f_feed")] if "feed" in intel_ip.columns
@@ -33,13 +37,13 @@ def match_ips(values: DataFrame, intel_ip: DataFrame, prefixes: DataFrame) -> Da
     places = locate(ips.select(F.trim("value").alias("ip")), prefixes).select(
         F.col("ip").alias("value"), F.col("category").alias("g_category"))
     anonymous = F.col("g_category") == "anonymizer"
-    return (ips.withColumn("value", F.trim("value")).join(feed, "value", "left")
-            .join(places, "value", "left")
-            .withColumn("category", F.coalesce("f_category", F.when(anonymous, "anonymizer")))
-            .withColumn("confidence", F.coalesce("f_confidence", F.when(
-                anonymous, F.lit(cfg.ANONYMIZER_CONFIDENCE))))
-            .withColumn("feed", F.when(F.col("f_category").isNotNull(), F.col("f_feed")).when(anonymous, cfg.ANONYMIZER_SOURCE))
-            .filter(F.col("category").isNotNull())
+    known = (places.join(feed, "value", "left")
+             .withColumn("category", F.coalesce("f_category", F.when(anonymous, "anonymizer")))
+             .withColumn("confidence", F.coalesce("f_confidence", F.when(
+                 anonymous, F.lit(cfg.ANONYMIZER_CONFIDENCE))))
+             .withColumn("feed", F.when(F.col("f_category").isNotNull(), F.col("f_feed")).when(anonymous, cfg.ANONYMIZER_SOURCE))
+             .filter(F.col("category").isNotNull()).select("value", "category", "confidence", "feed"))
+    return (ips.withColumn("value", F.trim("value")).join(known, "value")
             .select("alert_id", "kind", "pos", "value", "category", "confidence", "feed"))
 
 
@@ -54,11 +58,12 @@ def domain_suffixes(domain: Column) -> Column:
 def match_domains(values: DataFrame, intel_domain: DataFrame) -> DataFrame:
     """Feed suffix of each domain, at label boundaries; the first in feed order wins."""
     names = values.filter(F.col("kind").isin("destination_domain", "dns_question_name"))
-    tried = names.select("*", F.explode(domain_suffixes(F.col("value"))).alias("suffix"))
+    tried = names.select("value").distinct().select("value", F.explode(domain_suffixes(F.col("value"))).alias("suffix"))
     feed = intel_domain.withColumn("suffix", F.lower("suffix"))
     hit = F.min(F.struct("feed_rank", "suffix", "category", "confidence")).alias("h")
-    return (tried.join(feed, "suffix").groupBy("alert_id", "kind", "pos", "value").agg(hit)
-            .select("alert_id", "kind", "pos", "value", "h.category", "h.confidence", F.lit("domain-feed").alias("feed")))
+    known = tried.join(feed, "suffix").groupBy("value").agg(hit)
+    return (names.join(known, "value").select("alert_id", "kind", "pos", "value", "h.category", "h.confidence", F.lit("domain-feed").alias("feed"))
+            .distinct())
 
 
 def asset_values(alerts: DataFrame, values: DataFrame, assets: DataFrame) -> DataFrame:
@@ -161,9 +166,11 @@ def enrich(alerts: DataFrame, intel_ip: DataFrame | None = None,
     ``shown_hits`` of ``intel_hits``.
 
     Lookup tables are joined plainly: Spark broadcasts them while their measured size is small
-    and shuffles on the lookup key when it is not.
+    and shuffles on the lookup key when it is not.  The alerts are written once: a dozen branches
+    read them, and each would compute them anew.
     """
     spark = alerts.sparkSession
+    alerts = materialize(alerts, "alerts")
     intel_ip = cfg.intel_ip(spark) if intel_ip is None else intel_ip
     intel_domain = cfg.intel_domain(spark) if intel_domain is None else intel_domain
     prefixes = cfg.geo_prefixes(spark) if prefixes is None else prefixes
@@ -174,7 +181,7 @@ def enrich(alerts: DataFrame, intel_ip: DataFrame | None = None,
     hits = match_ips(asked, intel_ip, prefixes).unionByName(match_domains(asked, intel_domain))
     rank = F.when(F.col("kind") == "source_ip", 0).when(F.col("kind") == "destination_ip", 1) \
             .when(F.col("kind") == "destination_domain", 2).otherwise(3)
-    hits = hits.withColumn("r", rank)
+    hits = materialize(hits.withColumn("r", rank), "intel-hits")
     best = hits.groupBy("alert_id").agg(F.max("confidence").alias("intel_confidence"), F.count(F.lit(1)).alias("intel_hits"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "kind", "value", "category", "confidence", "feed"))), lambda x: F.struct(
         *[x[f].alias(f) for f in ("kind", "value", "category", "confidence", "feed")]))

@@ -104,6 +104,39 @@ def test_enrichment_by_domain_label(alerts):
     assert enrich(alerts(other).drop("score")).first().intel == []
 
 
+def counted(df):
+    """The frame, and an accumulator of how many rows were computed for all its readers."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def pass_on(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    return df.mapInArrow(pass_on, df.schema), seen
+
+
+def test_enrichment_computes_its_alerts_once(alerts):
+    rows, seen = counted(alerts(GUESS, SHELL, SWEEP).drop("score"))
+    assert enrich(rows).count() == 3 and enrich(rows).select("score").distinct().count() >= 1
+    assert seen.value == 6      # once per call
+
+
+def test_feed_hits_of_repeated_and_untrimmed_values(alerts, spark):
+    from secframe.operators.enrich import match_domains, match_ips
+    from secframe.plans import settings as cfg
+    row = lambda aid, kind, v: (aid, kind, (0, 0, 0), v)
+    values = spark.createDataFrame([
+        row("a", "source_ip", " 203.0.113.44"), row("b", "source_ip", "203.0.113.44"), row("b", "destination_ip", "45.155.205.7"),
+        row("a", "destination_domain", "x.exfil-drop.cloud"), row("b", "destination_domain", "x.exfil-drop.cloud"),
+        row("c", "destination_domain", "notexfil-drop.cloud"), row("c", "source_ip", None)],
+        "alert_id string, kind string, pos struct<place:int,t:bigint,event_seq:bigint>, value string")
+    ips = match_ips(values, cfg.intel_ip(spark), cfg.geo_prefixes(spark)).collect()
+    assert sorted((r.alert_id, r.value, r.confidence, r.feed) for r in ips) == [
+        ("a", "203.0.113.44", 88, "abuseipdb"), ("b", "203.0.113.44", 88, "abuseipdb"), ("b", "45.155.205.7", 60, "static-anonymizer-list")]
+    domains = match_domains(values, cfg.intel_domain(spark)).collect()
+    assert sorted((r.alert_id, r.category) for r in domains) == [("a", "exfil-host"), ("b", "exfil-host")]
+
+
 def test_journal_order_over_files(spark, tmp_path):
     line = lambda status, at: json.dumps({"case_id": "C7", "status": status, "decided_at": at}) + "\n"
     (tmp_path / "a.jsonl").write_text(line("closed", "2026-03-02T10:00:00") * 1 + "x" * 4000 + "\n")
