@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from secframe.functions.net import ipv4_number, is_internal
 from secframe.operators.correlate import merged_entities
 from secframe.plans import settings as cfg
+from secframe.session import materialize
 
 SCOPED_VALUES = 6
 NO_RESPONSE = "no alert met the policy bar"
@@ -64,7 +65,8 @@ def response_plan(incidents: DataFrame, alerts: DataFrame, membership: DataFrame
     playbooks = cfg.playbooks(alerts.sparkSession) if playbooks is None else playbooks
     members = (alerts.join(membership, "alert_id")
                .join(incidents.select("component", "case_id"), "component"))
-    trig = triggers(members)
+    trig = triggers(members).select("case_id", "alert_id", "first_seen", "tactic", "rule_id", "entities")
+    trig = materialize(trig, "triggers")     # read by five branches
     scoped = merged_entities(trig, "case_id", SCOPED_VALUES, values).withColumnRenamed("entities", "scoped")
     why = trig.groupBy("case_id").agg(F.concat(
         F.array_join(F.array_sort(F.collect_set("tactic")), " + "), F.lit(" -> "),

@@ -121,6 +121,14 @@ def test_enrichment_computes_its_alerts_once(alerts):
     assert seen.value == 6      # once per call
 
 
+def test_response_plan_computes_its_alerts_once(alerts):
+    a = alerts(GUESS, SHELL, SWEEP)
+    inc, members = incidents(a)
+    rows, seen = counted(a)
+    assert len(response_plan(inc, rows, members).collect()) > 2
+    assert seen.value == 3
+
+
 def test_feed_hits_of_repeated_and_untrimmed_values(alerts, spark):
     from secframe.operators.enrich import match_domains, match_ips
     from secframe.plans import settings as cfg
