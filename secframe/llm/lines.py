@@ -1,16 +1,17 @@
 """Fuzzy line dedup: MinHash over character shingles, banding, exact Jaccard, union-find.
 
 Equal lines are one node from the start: their signature is one aggregate over exploded shingles.
-Lines that share a band meet the first and the last line of that band, each such pair is checked on
-whole shingle sets, pairs of the lines between go on to ``grouping`` until they are linked or known
-not to be alike, and components keep the line that comes first.
+Lines that share a band meet the first and the last line of that band, pairs of the lines between go
+on to ``grouping`` until they are linked or known not to be alike, and components keep the line that
+comes first.  A pair is checked on whole shingle sets unless the sketches of its lines, parities of
+their shingles, differ in more places than sets that are alike can.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from secframe.llm.common import Scratch, table, text_of
-from secframe.llm.grouping import first_stars, groups, shares
+from secframe.llm.grouping import band_pairs, first_stars, groups, shares
 
 SHINGLE = 8
 #: Lines link when their shingle sets have this Jaccard similarity, in hundredths.
@@ -18,6 +19,10 @@ LIKE = 80
 #: The signature is a square of GRID x GRID values; its rows, columns and (broken) diagonals are the bands.
 #: Any five of the nine values hold a whole band, so pairs at 0.80 are met with probability 0.99.
 GRID = 3
+#: Shingles of a line that are hashed in one row of the signature's aggregate.
+STEP = 8
+#: Words of 64 bits in a sketch.
+SKETCH = 16
 
 
 def _masks() -> list[int]:
@@ -63,42 +68,71 @@ def shingle_hashes(wide: Column) -> Column:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(d1, d2, s0, s1, ...) of lines (d1, d2, norm), one row per distinct line.
+    """(d1, d2, n, s0, s1, ...) of lines (d1, d2, norm), one row per distinct line that occurs n times.
 
     Equal lines have equal signatures, so they meet in the same aggregate and no text is moved.
     """
     at = lines.select("d1", "d2", _wide(F.col("norm")).alias("wide"))
-    at = at.select("d1", "d2", "wide", F.explode(_starts(F.col("wide"))).alias("i"))
-    h = at.select("d1", "d2", F.xxhash64(F.substring(F.col("wide"), F.col("i"), F.lit(4 * SHINGLE))).alias("h"))
-    return h.groupBy("d1", "d2").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"s{j}") for j, m in enumerate(_masks())])
+    last = F.greatest(F.length("wide") - 4 * SHINGLE + 1, F.lit(1))
+    at = at.select("d1", "d2", "wide", last.alias("last"), F.explode(F.sequence(F.lit(1), last, F.lit(4 * STEP))).alias("i"))
+    start = lambda k: F.col("i") + 4 * k
+    h = at.select("d1", "d2", "i", *[F.when(start(k) <= F.col("last"), F.xxhash64(F.substring(F.col("wide"), start(k), F.lit(4 * SHINGLE)))).alias(f"h{k}")
+                                for k in range(STEP)])
+    least = lambda m: F.least(*[F.col(f"h{k}").bitwiseXOR(F.lit(m)) for k in range(STEP)])
+    times = F.count(F.when(F.col("i") == 1, 1)).alias("n")
+    return h.groupBy("d1", "d2").agg(times, *[F.min(least(m)).alias(f"s{j}") for j, m in enumerate(_masks())])
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """(id, n, b0, b1, ...) of lines (id, norm): number of distinct shingles, and for each bit whether an odd number of them fall on it."""
+    sets = texts.select("id", F.array_distinct(shingle_hashes(_wide(F.col("norm")))).alias("x"))
+    h = sets.select("id", F.explode("x").alias("h"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    h = h.select("id", bit.alias("bit"), F.shiftright("h", 6).bitwiseAND(F.lit(SKETCH - 1)).alias("word"))
+    words = [F.bit_xor(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(f"b{w}") for w in range(SKETCH)]
+    return h.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *words)
+
+
+def may_be_alike(like: int) -> Column:
+    """Of sketches a_n, a_b0, ... and b_n, b_b0, ...: true for all pairs of that similarity.
+
+    Sets x, y with 100 |x and y| >= like |x or y| differ in at most (100 - like) / (100 + like) of
+    |x| + |y| members, and a bit of the sketches differs only where a member of one set alone falls on it.
+    """
+    places = [F.bit_count(F.col(f"a_b{w}").bitwiseXOR(F.col(f"b_b{w}"))) for w in range(SKETCH)]
+    return sum(places[1:], places[0]) * (100 + like) <= (F.col("a_n") + F.col("b_n")) * (100 - like)
 
 
 def similar_groups(signed: DataFrame, lines: DataFrame, scratch: Scratch, like: int = LIKE) -> DataFrame:
     """(node, component) of distinct lines whose shingle sets are alike: ids of ``signed``, texts from ``lines`` (d1, d2, norm)."""
     keys = F.array(*[F.xxhash64(F.lit(i), *[F.col(f"s{j}") for j in band]) for i, band in enumerate(bands())])
-    pairs, between = first_stars(signed.select("id", F.explode(keys).alias("key")))
-    pairs = scratch.keep(pairs, "pairs")
-    between = scratch.keep(between, "between")
+    pairs, between = first_stars(signed.select("id", F.explode(keys).alias("key")), scratch)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     asked = scratch.keep(signed.select("id", "d1", "d2").join(ids, "id", "left_semi"), "asked")
-    # what is asked for grows with the corpus: merged at every size, never broadcast
-    texts = scratch.keep(lines.join(asked.hint("merge"), ["d1", "d2"]).select("id", "norm").dropDuplicates(["id"]), "texts")
+    # what is asked for grows with the corpus: shuffled at every size, never broadcast; the texts need no sort
+    texts = scratch.keep(lines.join(asked.hint("shuffle_hash"), ["d1", "d2"]).select("id", "norm").dropDuplicates(["id"]), "texts")
+    sketched = scratch.keep(sketches(texts), "sketched")
+    of = lambda c: sketched.select(F.col("id").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in sketched.columns[1:]])
     side = lambda c: texts.select(F.col("id").alias(c), F.col("norm").alias(f"{c}_norm"))
 
     def alike(pairs: DataFrame) -> DataFrame:
+        likely = pairs.join(of("a"), "a").join(of("b"), "b").filter(may_be_alike(like)).select("a", "b")
+        return same_sets(scratch.keep(likely, "likely"))
+
+    def same_sets(pairs: DataFrame) -> DataFrame:
         both = pairs.join(side("a"), "a").join(side("b"), "b").select(
             "a", "b", _wide(F.col("a_norm")).alias("a_wide"), _wide(F.col("b_norm")).alias("b_wide"))
         both = both.select("a", "b", shingle_hashes(F.col("a_wide")).alias("x"), shingle_hashes(F.col("b_wide")).alias("y"))
         both = both.select("a", "b", F.array_distinct("x").alias("x"), F.array_distinct("y").alias("y"))
         return both.filter(shares(F.col("x"), F.col("y"), like)).select("a", "b")
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        wide = ids.join(texts, "id").select("id", "c", _wide(F.col("norm")).alias("wide"))
-        return wide.select("id", "c", shingle_hashes(F.col("wide")).alias("h")).select("id", "c", F.array_distinct("h").alias("members"))
+    def links_within(left: DataFrame) -> DataFrame:
+        met = band_pairs(left.join(sketched, "id"), may_be_alike(like))
+        return same_sets(scratch.keep(met, "band_pairs"))
 
     links = scratch.keep(alike(pairs), "links")
-    owner = groups(between, links, alike, sets_of, scratch, like, rough=True)
-    scratch.drop("pairs", "asked", "texts", "links")
+    owner = groups(between, links, alike, links_within, scratch)
+    scratch.drop("shared", "asked", "texts", "sketched", "links")
     return owner
 
 
@@ -113,16 +147,19 @@ def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", like: in
     """
     scratch = Scratch(docs.sparkSession, "lines")
     own = F.unhex(F.md5(F.concat_ws("\x01", F.coalesce(F.col(id).cast("string"), F.lit("\x02")), text_of(text))))
-    at = docs.select(own.alias("own"), F.col(id).alias("doc"), F.posexplode(F.split(text_of(text), "\n")).alias("pos", "line"))
+    # named before the explosion, so that a text is digested once and not for each of its lines
+    at = docs.select(own.alias("own"), F.col(id).alias("doc"), F.split(text_of(text), "\n").alias("parts"))
+    at = at.select("own", "doc", F.posexplode("parts").alias("pos", "line"))
     at = at.select("own", "doc", "pos", normal_form(F.col("line")).alias("norm")).filter("norm <> ''")
     # 128 bits tell lines apart
     at = at.select("own", "doc", "pos", F.xxhash64("norm").alias("d1"), F.xxhash64(F.lit(1), "norm").alias("d2"), "norm")
     texts = at.select("d1", "d2", "norm")
     signed = scratch.keep(signatures(texts).withColumn("id", F.monotonically_increasing_id()), "signed")
     owner = similar_groups(signed, texts, scratch, like)
-    group = signed.select("id", "d1", "d2").join(owner, F.col("id") == F.col("node"), "left").select(
+    # a line that occurs once and is like no other stays, so its place is not asked for
+    group = signed.select("id", "d1", "d2", "n").join(owner, F.col("id") == F.col("node"), "left").filter("n > 1 OR component IS NOT NULL").select(
         "d1", "d2", F.coalesce("component", "id").alias("group"))
-    placed = scratch.keep(at.drop("norm").join(group, ["d1", "d2"]).select("own", "doc", "pos", "group"), "placed")
+    placed = scratch.keep(at.drop("norm").join(group.hint("shuffle_hash"), ["d1", "d2"]).select("own", "doc", "pos", "group"), "placed")
     order = F.struct("doc", "pos", "own")
     first = placed.groupBy("group").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     gone = placed.join(first, "group").filter(~((F.col("own") == F.col("first.own")) & (F.col("pos") == F.col("first.pos"))))

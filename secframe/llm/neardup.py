@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from secframe.llm.common import Scratch, table, text_of
-from secframe.llm.grouping import first_stars, groups, shares
+from secframe.llm.grouping import exact_pairs, first_stars, groups, shares
 from secframe.llm.hashing import U64, WordHashes, chain, mix
 from secframe.llm.storage import slices
 
@@ -152,9 +152,13 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", lik
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         return both.filter(shares(F.col("a_set"), F.col("b_set"), like)).select("a", "b")
 
+    def links_within(left: DataFrame) -> DataFrame:
+        open_sets = scratch.keep(left.select("id", "c").distinct().join(sets, "id"), "open_sets")
+        return alike(scratch.keep(exact_pairs(open_sets, like), "exact_pairs"))
+
     links = scratch.keep(alike(pairs).unionByName(member).distinct(), "links")
     scratch.drop("pairs")
-    owner = groups(between, links, alike, lambda ids: ids.join(sets, "id"), scratch, like)
+    owner = groups(between, links, alike, links_within, scratch)
     scratch.drop("sets")
     return signed.select("id", "n").join(owner, F.col("id") == F.col("node"), "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),

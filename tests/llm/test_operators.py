@@ -264,6 +264,36 @@ def test_line_twins_inside_a_template_family(spark):
     assert wrong <= 5          # pairs that share no band: one in a hundred at 0.80
 
 
+def test_sketches_leave_few_pairs_of_a_line_family_and_lose_none(spark):
+    """Lines at about 0.7 to each other in one band: the join gives the alike pairs and few others, not the square of the family."""
+    from secframe.llm.grouping import band_pairs
+    rnd = random.Random(8)
+    own = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    head, lines = own(300), []
+    for _ in range(60):
+        line = head + own(60)
+        lines += [line, line[:-3] + own(3)]
+    texts = spark.createDataFrame(list(enumerate(lines)), "id bigint, norm string")
+    sketched = N.sketches(texts)
+    rows = sketched.withColumn("key", F.lit(1)).withColumn("c", F.col("id"))
+    for block in (2000, 50):
+        got = {tuple(r) for r in band_pairs(rows, N.may_be_alike(80), block).collect()}
+        sets = [brute.line_shingles(x) for x in lines]
+        want = {(i, j) for j in range(len(lines)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+        assert len(want) >= 60 and want <= got and len(got) <= 2 * len(want)
+    assert {r.id: r.n for r in sketched.collect()} == {i: len(s) for i, s in enumerate(sets)}
+
+
+def test_signatures_count_and_cover_every_shingle(spark):
+    """Lines around the number of shingles hashed at a time: each shingle takes part, places are counted once a line."""
+    lines = ["abcdefghijklmnopqrstuvwxyz"[:n] for n in (1, 7, 8, 9, 15, 16, 23, 24, 26)] + ["a" * 40] * 3
+    df = spark.createDataFrame([(x, x) for x in lines], "d1 string, norm string").withColumn("d2", F.lit(0))
+    masks = N._masks()
+    got = {r.d1: (r.n, [r[f"s{j}"] for j in range(len(masks))]) for r in N.signatures(df).collect()}
+    hashes = {r.d1: r.h for r in df.select("d1", N.shingle_hashes(N._wide(F.col("norm"))).alias("h")).collect()}
+    assert got == {x: (lines.count(x), [min(h ^ m for h in hashes[x]) for m in masks]) for x in lines}
+
+
 def test_proximity_of_an_edited_passage(spark):
     item = [f"w{i}" for i in range(10, 20)]
     docs = [(1, "a b " + " ".join(item)), (2, "c " + " ".join(item).replace("w14 w15", "w14 more w15") + " d"),
