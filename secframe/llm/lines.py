@@ -8,19 +8,24 @@ their shingles, differ in more places than sets that are alike can.
 """
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from secframe.llm.common import Scratch, table, text_of
+from secframe.llm.common import Scratch, spark_partitions, table, text_of
 from secframe.llm.grouping import band_pairs, first_stars, groups, shares
 
 SHINGLE = 8
+#: White space inside a line.
+BLANK = " \t\r\x0b\x0c"
 #: Lines link when their shingle sets have this Jaccard similarity, in hundredths.
 LIKE = 80
 #: The signature is a square of GRID x GRID values; its rows, columns and (broken) diagonals are the bands.
 #: Any five of the nine values hold a whole band, so pairs at 0.80 are met with probability 0.99.
 GRID = 3
 #: Shingles of a line that are hashed in one row of the signature's aggregate.
-STEP = 8
+STEP = 4
 #: Words of 64 bits in a sketch.
 SKETCH = 16
 
@@ -44,8 +49,19 @@ def bands() -> list[list[int]]:
         [GRID * ((slope * c + r) % GRID) + c for c in at] for slope in at for r in at]
 
 
+def band_keys() -> list[Column]:
+    """A key per band of lines s0, s1, ...; keys of different bands differ too."""
+    return [F.xxhash64(F.lit(i), *[F.col(f"s{j}") for j in band]) for i, band in enumerate(bands())]
+
+
+def trimmed(line: Column) -> Column:
+    """Without white space around it; trimming walks over a whole line, so only lines that need it are trimmed."""
+    ends = [line.startswith(c) | line.endswith(c) for c in BLANK]
+    return F.when(reduce(or_, ends), F.btrim(line, F.lit(BLANK))).otherwise(line)
+
+
 def normal_form(line: Column) -> Column:
-    return F.lower(F.btrim(line, F.lit(" \t\r\x0b\x0c")))
+    return F.lower(trimmed(line))
 
 
 def _wide(line: Column) -> Column:
@@ -75,22 +91,27 @@ def signatures(lines: DataFrame) -> DataFrame:
     at = lines.select("d1", "d2", _wide(F.col("norm")).alias("wide"))
     last = F.greatest(F.length("wide") - 4 * SHINGLE + 1, F.lit(1))
     at = at.select("d1", "d2", "wide", last.alias("last"), F.explode(F.sequence(F.lit(1), last, F.lit(4 * STEP))).alias("i"))
-    start = lambda k: F.col("i") + 4 * k
-    h = at.select("d1", "d2", "i", *[F.when(start(k) <= F.col("last"), F.xxhash64(F.substring(F.col("wide"), start(k), F.lit(4 * SHINGLE)))).alias(f"h{k}")
-                                for k in range(STEP)])
+    # past the end the last shingle is hashed again: no smallest value changes, and none is null
+    start = lambda k: F.least(F.col("i") + 4 * k, F.col("last"))
+    h = at.select("d1", "d2", "i", *[F.xxhash64(F.substring(F.col("wide"), start(k), F.lit(4 * SHINGLE))).alias(f"h{k}") for k in range(STEP)])
     least = lambda m: F.least(*[F.col(f"h{k}").bitwiseXOR(F.lit(m)) for k in range(STEP)])
     times = F.count(F.when(F.col("i") == 1, 1)).alias("n")
     return h.groupBy("d1", "d2").agg(times, *[F.min(least(m)).alias(f"s{j}") for j, m in enumerate(_masks())])
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """(id, n, b0, b1, ...) of lines (id, norm): number of distinct shingles, and for each bit whether an odd number of them fall on it."""
-    sets = texts.select("id", F.array_distinct(shingle_hashes(_wide(F.col("norm")))).alias("x"))
-    h = sets.select("id", F.explode("x").alias("h"))
+    """(id, n, b0, b1, ...) of lines (id, norm): number of distinct shingles, and for each bit whether an odd number of them fall on it.
+
+    A shingle changes one word of its line; the words of a line meet in its partition, with no further shuffle.
+    """
+    sets = texts.repartition(spark_partitions(texts.sparkSession), "id").select("id", F.array_distinct(shingle_hashes(_wide(F.col("norm")))).alias("x"))
+    # outer, though no set is empty: an inner explosion of a column adds a filter that computes the column once more
+    h = sets.select("id", F.explode_outer("x").alias("h"))
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
     h = h.select("id", bit.alias("bit"), F.shiftright("h", 6).bitwiseAND(F.lit(SKETCH - 1)).alias("word"))
-    words = [F.bit_xor(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(f"b{w}") for w in range(SKETCH)]
-    return h.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *words)
+    h = h.groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("bit").alias("bits"))
+    words = [F.bit_xor(F.when(F.col("word") == w, F.col("bits")).otherwise(F.lit(0).cast("bigint"))).alias(f"b{w}") for w in range(SKETCH)]
+    return h.groupBy("id").agg(F.sum("n").alias("n"), *words)
 
 
 def may_be_alike(like: int) -> Column:
@@ -103,14 +124,28 @@ def may_be_alike(like: int) -> Column:
     return sum(places[1:], places[0]) * (100 + like) <= (F.col("a_n") + F.col("b_n")) * (100 - like)
 
 
-def similar_groups(signed: DataFrame, lines: DataFrame, scratch: Scratch, like: int = LIKE) -> DataFrame:
-    """(node, component) of distinct lines whose shingle sets are alike: ids of ``signed``, texts from ``lines`` (d1, d2, norm)."""
-    keys = F.array(*[F.xxhash64(F.lit(i), *[F.col(f"s{j}") for j in band]) for i, band in enumerate(bands())])
-    pairs, between = first_stars(signed.select("id", F.explode(keys).alias("key")), scratch)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    asked = scratch.keep(signed.select("id", "d1", "d2").join(ids, "id", "left_semi"), "asked")
+def first_shared() -> Column:
+    """Of keys a_k0, a_k1, ... and b_k0, b_k1, ...: whether ``key`` is the first band that the two lines share.
+
+    A pair of different components shares every earlier band too where it was met in a star and found unlike, or
+    where both are still open; so the pair comes out in one of its bands only, and none is lost.
+    """
+    return F.coalesce(*[F.when(F.col(f"a_k{i}") == F.col(f"b_k{i}"), F.col(f"a_k{i}")) for i in range(len(bands()))]) == F.col("key")
+
+
+def similar_groups(signed: DataFrame, lines: DataFrame, scratch: Scratch, like: int = LIKE) -> tuple[DataFrame, DataFrame]:
+    """(node, component) of distinct lines whose shingle sets are alike, ids of ``signed``, and the rows of
+    ``lines`` (d1, d2, norm, ...) that occur again or were compared: (id, n, ...) without d1, d2 and norm."""
+    keys = band_keys()
+    pairs, between = first_stars(signed.select("id", F.explode(F.array(*keys)).alias("key")), scratch)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("asked", F.lit(True))
+    asked = signed.select("id", "d1", "d2", "n", *[k.alias(f"k{i}") for i, k in enumerate(keys)]).join(ids, "id", "left")
+    asked = scratch.keep(asked.filter("n > 1 OR asked"), "asked")
+    keyed = asked.filter("asked").select("id", *[f"k{i}" for i in range(len(keys))])
     # what is asked for grows with the corpus: shuffled at every size, never broadcast; the texts need no sort
-    texts = scratch.keep(lines.join(asked.hint("shuffle_hash"), ["d1", "d2"]).select("id", "norm").dropDuplicates(["id"]), "texts")
+    seen = lines.join(asked.select("id", "d1", "d2", "n", "asked").hint("shuffle_hash"), ["d1", "d2"]).drop("d1", "d2")
+    seen = scratch.keep(seen.withColumn("norm", F.when(F.col("asked"), F.col("norm"))).drop("asked"), "seen")
+    texts = scratch.keep(seen.filter("norm IS NOT NULL").select("id", "norm").dropDuplicates(["id"]), "texts")
     sketched = scratch.keep(sketches(texts), "sketched")
     of = lambda c: sketched.select(F.col("id").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in sketched.columns[1:]])
     side = lambda c: texts.select(F.col("id").alias(c), F.col("norm").alias(f"{c}_norm"))
@@ -127,13 +162,13 @@ def similar_groups(signed: DataFrame, lines: DataFrame, scratch: Scratch, like:
         return both.filter(shares(F.col("x"), F.col("y"), like)).select("a", "b")
 
     def links_within(left: DataFrame) -> DataFrame:
-        met = band_pairs(left.join(sketched, "id"), may_be_alike(like))
+        met = band_pairs(left.join(sketched, "id").join(keyed, "id"), may_be_alike(like) & first_shared())
         return same_sets(scratch.keep(met, "band_pairs"))
 
     links = scratch.keep(alike(pairs), "links")
     owner = groups(between, links, alike, links_within, scratch)
     scratch.drop("shared", "asked", "texts", "sketched", "links")
-    return owner
+    return owner, seen.drop("norm")
 
 
 def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", like: int = LIKE) -> DataFrame:
@@ -147,24 +182,22 @@ def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", like: in
     """
     scratch = Scratch(docs.sparkSession, "lines")
     own = F.unhex(F.md5(F.concat_ws("\x01", F.coalesce(F.col(id).cast("string"), F.lit("\x02")), text_of(text))))
-    # named before the explosion, so that a text is digested once and not for each of its lines
+    # named before the explosion, so that a text is digested once and not for each of its lines; outer, so that it is not cut twice
     at = docs.select(own.alias("own"), F.col(id).alias("doc"), F.split(text_of(text), "\n").alias("parts"))
-    at = at.select("own", "doc", F.posexplode("parts").alias("pos", "line"))
-    at = at.select("own", "doc", "pos", normal_form(F.col("line")).alias("norm")).filter("norm <> ''")
+    at = at.select("own", "doc", F.posexplode_outer("parts").alias("pos", "line"))
+    at = at.filter(trimmed(F.col("line")) != "").select("own", "doc", "pos", normal_form(F.col("line")).alias("norm"))
     # 128 bits tell lines apart
     at = at.select("own", "doc", "pos", F.xxhash64("norm").alias("d1"), F.xxhash64(F.lit(1), "norm").alias("d2"), "norm")
-    texts = at.select("d1", "d2", "norm")
-    signed = scratch.keep(signatures(texts).withColumn("id", F.monotonically_increasing_id()), "signed")
-    owner = similar_groups(signed, texts, scratch, like)
+    signed = scratch.keep(signatures(at.select("d1", "d2", "norm")).withColumn("id", F.monotonically_increasing_id()), "signed")
+    owner, seen = similar_groups(signed, at, scratch, like)
     # a line that occurs once and is like no other stays, so its place is not asked for
-    group = signed.select("id", "d1", "d2", "n").join(owner, F.col("id") == F.col("node"), "left").filter("n > 1 OR component IS NOT NULL").select(
-        "d1", "d2", F.coalesce("component", "id").alias("group"))
-    placed = scratch.keep(at.drop("norm").join(group.hint("shuffle_hash"), ["d1", "d2"]).select("own", "doc", "pos", "group"), "placed")
+    placed = seen.join(owner, F.col("id") == F.col("node"), "left").filter("n > 1 OR component IS NOT NULL")
+    placed = scratch.keep(placed.select("own", "doc", "pos", F.coalesce("component", "id").alias("group")), "placed")
     order = F.struct("doc", "pos", "own")
     first = placed.groupBy("group").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     gone = placed.join(first, "group").filter(~((F.col("own") == F.col("first.own")) & (F.col("pos") == F.col("first.pos"))))
     gone = scratch.keep(gone.select("own", "pos").distinct().groupBy("own").agg(F.collect_list("pos").alias("__gone")).withColumnRenamed("own", "__of"), "gone")
-    scratch.drop("signed", "placed")
+    scratch.drop("signed", "seen", "placed")
 
     parts = F.split(F.col(text), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("__gone"))

@@ -284,6 +284,31 @@ def test_sketches_leave_few_pairs_of_a_line_family_and_lose_none(spark):
     assert {r.id: r.n for r in sketched.collect()} == {i: len(s) for i, s in enumerate(sets)}
 
 
+def test_a_pair_leaves_the_join_inside_the_bands_once(spark):
+    """Lines of one family share several bands; each pair comes out of the first of them, at any block size."""
+    from secframe.llm.grouping import _cells
+    rnd = random.Random(9)
+    own = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    head = own(300)
+    texts = spark.createDataFrame([(i, head + own(25)) for i in range(40)], "id bigint, norm string")
+    signed = N.signatures(texts.select("id", "norm", F.col("id").alias("d1"), F.lit(0).alias("d2"))).withColumn("id", F.col("d1")).localCheckpoint()
+    keyed = signed.select("id", F.col("id").alias("c"), *[k.alias(f"k{i}") for i, k in enumerate(N.band_keys())])
+    rows = keyed.withColumn("key", F.explode(F.array(*[f"k{i}" for i in range(len(N.bands()))]))).join(N.sketches(texts), "id").localCheckpoint()
+    for block in (2000, 7):
+        a, b = _cells(rows, "key", block)
+        met = a.join(b, ["key", "row", "col"]).filter((F.col("a_id") < F.col("b_id")) & N.may_be_alike(80))
+        every = [tuple(r) for r in met.select("a_id", "b_id").collect()]
+        once = [tuple(r) for r in met.filter(N.first_shared()).select("a_id", "b_id").collect()]
+        assert len(every) > 3 * len(set(every)) > 0 and sorted(once) == sorted(set(every))
+
+
+def test_lines_are_trimmed_of_the_same_white_space(spark):
+    lines = ["", " ", "a", " A", "B\t", "\r\x0b c\x0c", "\xa0d ", "e f", " \t\r", "\u00c9 ", "g\u2003"]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    got = df.select(N.normal_form(F.col("line")), F.lower(F.btrim("line", F.lit(" \t\r\x0b\x0c")))).collect()
+    assert all(r[0] == r[1] for r in got) and [r[0] for r in got][:6] == ["", "", "a", "a", "b", "c"]
+
+
 def test_signatures_count_and_cover_every_shingle(spark):
     """Lines around the number of shingles hashed at a time: each shingle takes part, places are counted once a line."""
     lines = ["abcdefghijklmnopqrstuvwxyz"[:n] for n in (1, 7, 8, 9, 15, 16, 23, 24, 26)] + ["a" * 40] * 3
